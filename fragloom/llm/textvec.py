@@ -103,9 +103,13 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of values[first[i]:first[i + 1]]."""
-    sums = np.concatenate([np.zeros(1, np.float64 if values.dtype.kind == "f" else np.int64), np.cumsum(values)])
-    return sums[first[1:]] - sums[first[:-1]]
+    """Sums of values[first[i]:first[i + 1]]; each row's own sum, so that long batches lose no digits."""
+    n = len(first) - 1
+    out = np.zeros(n, np.float64 if values.dtype.kind == "f" else np.int64)
+    full = np.flatnonzero(first[1:] > first[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, first[:-1][full])
+    return out
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
