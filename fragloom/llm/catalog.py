@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_score, media, simhash, token_counts, toxicity, url_filters
+from . import edit_fingerprints, lm_score, media, simhash, token_counts, toxicity, url_filters
 from .shared import table
 
 
@@ -13,6 +13,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit-embedding fingerprints of every document and of its edited text, compared."""
+    return edit_fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from four fifths of the labels."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -38,5 +43,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_toxicity, op6_media_columns, op7_lm_scoring, op9_simhash_near_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_document_fingerprints, op5_toxicity, op6_media_columns, op7_lm_scoring, op9_simhash_near_dedup, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {}
