@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_fingerprints, lm_score, media, simhash, token_counts, toxicity, url_filters
+from . import edit_fingerprints, lm_score, media, simhash, substrings, token_counts, toxicity, url_filters
 from .shared import table
 
 
@@ -33,6 +33,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that near-repeat in a document with a smaller id."""
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
@@ -43,5 +48,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_document_fingerprints, op5_toxicity, op6_media_columns, op7_lm_scoring, op9_simhash_near_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_document_fingerprints, op5_toxicity, op6_media_columns, op7_lm_scoring, op8_substring_dedup, op9_simhash_near_dedup, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {}
