@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_fingerprints, lm_score, media, simhash, substrings, token_counts, toxicity, url_filters
+from . import edit_fingerprints, lm_score, media, mixing, pieces, simhash, substrings, token_counts, toxicity, url_filters
 from .shared import table
 
 
@@ -13,6 +13,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document as a digest, and whether they decode to its text."""
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of every document that mix its domains to the target weights."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit-embedding fingerprints of every document and of its edited text, compared."""
     return edit_fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
@@ -48,5 +58,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_document_fingerprints, op5_toxicity, op6_media_columns, op7_lm_scoring, op8_substring_dedup, op9_simhash_near_dedup, op10_url_filters)}
-ORACLE_SQL: dict[str, str] = {}
+import corpus_pipeline  # noqa: E402  deleted together with this package
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_mixing, op4_document_fingerprints, op5_toxicity, op6_media_columns, op7_lm_scoring, op8_substring_dedup, op9_simhash_near_dedup, op10_url_filters)}
+QUERIES["pipeline"] = corpus_pipeline.query
+ORACLE_SQL: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

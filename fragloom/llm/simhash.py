@@ -164,3 +164,13 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> Dat
     lead = named.join(least, "root").select(F.col("node").alias("fp"), "least")
     lead = distinct.join(lead, "fp", "left").select("fp", F.coalesce("least", "doc").alias("component_id"))
     return fps.join(lead, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows and columns of docs that name their component; of rows that share an id and a component, one stays.
+
+    Rows with a null id can't be told apart by name and all stay. Only ids are joined, not texts.
+    """
+    leads = near_dedup(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_lead")).distinct()
+    kept = docs.join(leads, F.col("doc_id") == F.col("_lead"), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
