@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import enzymes, haplotypes, intervals, kmers, pairs, select, sets, stats, variants
+from ..functions import align
+from ..operators import enzymes, haplotypes, intervals, kmers, masking, pairs, select, sets, stats, variants
+from ..sources import readers, writers
 from . import adapters as A
+from . import mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -542,3 +545,85 @@ def kmer_coverage(spark, d):
 @query(A.READS, sql=f"select qid, {RC} seq from reads")
 def reverse_complement(spark, d):
     return A.reads(spark, d).withColumn("seq", kmers.reverse_complement(F.col("seq")))
+
+
+# ---- alignments and reads ------------------------------------------------------------------------------------------
+
+
+@query(
+    A.READS, "p as (select a.qid, substring(a.seq, 1, 200) x, substring(b.seq, 1, 200) y from reads a join reads b on b.qid = a.qid + 1)", "d as (select *, levenshtein(x, y) d, length(x) n, length(y) m from p)",
+    sql="select qid, cast(d as bigint) distance, round(((n + m) / 2 - d) * 2 - 5 * d, 6) score, round(100 * (1 - 2 * d / (n + m)), 6) \"identity\" from d",
+)
+def align_identity(spark, d):
+    a = A.reads(spark, d).select("qid", F.substring("seq", 1, 200).alias("x"))
+    b = a.select((F.col("qid") - 1).alias("qid"), F.col("x").alias("y"))
+    c = align.edit_columns(F.col("x"), F.col("y"))
+    return a.join(b, "qid").select("qid", c["distance"].cast("long").alias("distance"), *(F.round(c[n].cast("double"), 6).alias(n) for n in ("score", "identity")))
+
+
+@query(
+    A.FRAGS, "x as (select read_id, frag_id, \"identity\" pi, case hp when 0 then 'max-cov' when 1 then 'complete' else 'perfect' end kind, case hp when 0 then 0.999 when 1 then 0.99999 else 0.9999999 end p from frags)",
+    "r as (select *, row_number() over (partition by read_id order by pi desc) i, max(pi) over (partition by read_id) best from x)", "s as (select read_id, max(case when i = 2 then pi end) nxt from r group by read_id)",
+    """q as (select read_id, frag_id, ceil(round(-10 * log10(1 - p * coalesce(abs(1 - case when pi = best then nxt else best end / pi), 1)), 6)) q from r join s using (read_id))""",
+    sql="select read_id, frag_id, cast(least(60, greatest(0, q)) as bigint) mapq from q",
+)
+def mapq(spark, d):
+    kind = F.when(F.col("hp") == 0, "max-cov").when(F.col("hp") == 1, "complete").otherwise("perfect")
+    rows = A.frags(spark, d).select("read_id", "frag_id", F.col("identity").alias("pi"), kind.alias("kind"))
+    return mapping.mapping_quality(rows, ["read_id"], "pi", "kind").select("read_id", "frag_id", "mapq")
+
+
+def _named(spark, d):
+    """Fragments with the columns of the writers, made of the fragment view."""
+    at = F.col("frag_id") * 1000
+    return A.frags(spark, d).select(
+        "read_id", "frag_id", "subject_id", F.format_string("read%d", "read_id").alias("read_name"), F.lit(100_000).alias("qsize"), at.alias("fwd_qoff"), (at + F.col("frag_size")).alias("fwd_qend"),
+        (F.col("mapq") % 2).alias("qdir"), F.format_string("chr%d", "subject_id").alias("sname"), F.lit(100_050_000).alias("ssize"), F.col("subject_offset").alias("soff"), (F.col("subject_offset") + F.col("frag_size")).alias("send"),
+        F.col("frag_size").alias("matches"), F.col("frag_size").alias("length"), "mapq", at.alias("enzyme_qoff"), (at + F.col("frag_size")).alias("enzyme_qend"), F.col("subject_offset").alias("enzyme_soff"),
+        (F.col("subject_offset") + F.col("frag_size")).alias("enzyme_send"), F.format_string("%.4f", "identity").alias("pi"), F.lit(None).cast("string").alias("sa"),
+        F.concat(F.col("frag_size").cast("string"), F.lit("M")).alias("frag_cigar"), F.lit("*").alias("frag_seq"), F.lit(None).cast("string").alias("frag_qual"),
+        F.concat(F.col("frag_size").cast("string"), F.lit("M")).alias("cigar"), F.lit("*").alias("seq"), F.lit(None).cast("string").alias("qual"),
+    )
+
+
+_TAGS = "printf('qS:i:%d', frag_id * 1000), printf('qE:i:%d', frag_id * 1000 + frag_size), printf('vS:i:%d', subject_offset), printf('vE:i:%d', subject_offset + frag_size), printf('pi:f:%.4f', \"identity\"), printf('qi:i:%d', read_id)"
+
+
+@query(
+    A.FRAGS,
+    sql=f"""select concat_ws(chr(9), printf('read%d', read_id), 100000, frag_id * 1000, frag_id * 1000 + frag_size, case mapq % 2 when 0 then '+' else '-' end, printf('chr%d', subject_id), 100050000, subject_offset, subject_offset + frag_size,
+ frag_size, frag_size, mapq, {_TAGS}) "value" from frags""",
+)
+def paf_text(spark, d):
+    return writers.paf_lines(_named(spark, d))
+
+
+@query(
+    A.FRAGS,
+    sql="""select concat_ws(chr(9), printf('read%d_%010d:%03d:%010d:%010d', read_id, read_id, frag_id, subject_id, subject_offset), case mapq % 2 when 1 then 16 else 0 end, printf('chr%d', subject_id), subject_offset + 1, mapq, frag_size || 'M', '*', 0, 0, '*', '*',
+ printf('qi:i:%d', read_id), printf('qd:i:%d', mapq % 2), printf('qs:i:%d', frag_id * 1000), printf('qe:i:%d', frag_id * 1000 + frag_size), printf('qS:i:%d', frag_id * 1000), printf('qE:i:%d', frag_id * 1000 + frag_size), 'ql:i:100000',
+ printf('si:i:%d', subject_id), printf('ss:i:%d', subject_offset), printf('se:i:%d', subject_offset + frag_size), printf('vS:i:%d', subject_offset), printf('vE:i:%d', subject_offset + frag_size), 'sl:i:100050000', printf('pi:f:%.4f', "identity")) "value" from frags""",
+)
+def sam_text(spark, d):
+    return writers.sam_lines(_named(spark, d), fragments=True)
+
+
+@query(A.FRAGS, sql="select printf('read%d', read_id) read_name, read_id, frag_id, subject_id, subject_offset from frags")
+def frag_name_roundtrip(spark, d):
+    names = _named(spark, d).select(writers.frag_name().alias("name"))
+    return names.select(*(c.alias(n) for n, c in readers.parse_name(F.col("name")).items()))
+
+
+@query()
+def candidate_chains(spark, d):
+    return mapping.candidates(_seeds(spark, d), A.reads(spark, d), K)
+
+
+@query()
+def map_reads(spark, d):
+    return mapping.map_reads(A.reads(spark, d), A.genome(spark, d), DPNII, K, STRIDE).drop("q_row", "s_row", "frag_seq")
+
+
+@query()
+def repeat_mask(spark, d):
+    return masking.repeat_regions(A.genome(spark, d))
