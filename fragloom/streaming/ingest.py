@@ -15,7 +15,7 @@ SCHEMA = "name string, seq string, qual string"
 
 def fastq_stream(spark: SparkSession, folder: str, files: int = 16) -> DataFrame:
     """(name, seq, qual) of FASTQ files as they arrive in a folder, each read whole; `files` at most in a batch."""
-    texts = spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", files).text(folder)
+    texts = spark.readStream.schema("value string").option("maxFilesPerTrigger", files).text(folder, wholetext=True)
     lines = texts.select(F.split(F.rtrim("value"), "\n").alias("l"))
     record = F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1))
     rows = lines.where(F.size("l") >= 4).select("l", record.alias("i"))
