@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import docs_of, parts, written
-from .textvec import LOWER, SPACE, SLICE_BYTES, U, Words, row_sums, slices, utf8
+from .textvec import LOWER, SPACE, U, Words, row_sums, slices, utf8
 
 ORDER = 6
 #: Concentration; sweeps, and how many of the first are not kept.
 THETA, SWEEPS, BURN_IN = 1.0, 5, 2
 END = 10
 WORD, GRAM = 0, 1
+#: Bytes of text that are worked on at once.
+SLICE = 2 << 20
 
 
 def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +72,7 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 def bounded(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Slices of few enough bytes and rows (a row's number has 16 bits)."""
-    for batch in slices(iter(table.combine_chunks().to_batches()), most=SLICE_BYTES):
+    for batch in slices(iter(table.combine_chunks().to_batches()), most=SLICE):
         for at in range(0, batch.num_rows, 1 << 16):
             yield batch.slice(at, 1 << 16)
 
