@@ -27,6 +27,9 @@ SPACE = "▁"
 #: Distinct chunks that a task remembers; then it begins anew.
 REMEMBERED = 1_000_000
 _B = 0x9E3779B97F4A7C15
+#: Pairs of pieces whose answer is remembered, each in its own slot (9 MB).
+_SLOTS = 1 << 20
+_SPREAD = U(0xD6E8FEB86659FD93)  # brings the low bits of short texts' hashes to the top
 _POWERS = np.array([pow(_B, i, 1 << 64) for i in range(65)], U)
 
 
@@ -53,27 +56,39 @@ class Pieces:
     def __post_init__(self):
         usable = [i for i, t in enumerate(self.texts) if t]
         keys = np.array([_hash(self.texts[i]) for i in usable], U)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(usable, np.int32)[order]
+        spread = keys * _SPREAD
+        order = np.argsort(spread)
+        self.keys, self.ids = spread[order], np.array(usable, np.int32)[order]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
         self.hash = np.zeros(len(self.texts) + 1, U)
         self.hash[usable] = keys
         self.size = np.array([len(t) for t in self.texts] + [1], np.int64)
         self.longest = int(self.size.max())
-        near = np.zeros(1 << 18, bool)
-        near[(self.keys >> U(46)).astype(np.int64)] = True
-        self.near = near
+        top = (self.keys >> U(46)).astype(np.int64)
+        self.first = np.searchsorted(top, np.arange((1 << 18) + 1)).astype(np.int32)  # of the keys with each leading 18 bits
+        self.crowd = int(np.diff(self.first).max(initial=0))
+        self.remembered = None
         if self.kind == BPE:
             self._splits()
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes; -1: none."""
+        """Ids of the pieces with these hashes, -1: none. The leading bits say where in the sorted keys a hash would stand."""
         out = np.full(hashes.shape, -1, np.int32)
-        maybe = np.flatnonzero(self.near[(hashes >> U(46)).astype(np.int64)])
-        own = hashes.ravel()[maybe]
-        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        out.ravel()[maybe] = np.where(self.keys[at] == own, self.ids[at], -1)
+        hashes = hashes * _SPREAD
+        top = (hashes.ravel() >> U(46)).astype(np.int32)
+        at = self.first[top]
+        live = np.flatnonzero(self.first[top + 1] > at)
+        at, own, end = at[live], hashes.ravel()[live], self.first[top[live] + 1]
+        flat = out.ravel()
+        for _ in range(self.crowd):
+            same = self.keys[at] == own
+            flat[live[same]] = self.ids[at[same]]
+            at += 1
+            go = ~same & (at < end)
+            if not go.any():
+                break
+            live, at, own, end = live[go], at[go], own[go], end[go]
         return out
 
     def _splits(self):
@@ -112,7 +127,21 @@ class Pieces:
         return np.where((self.hash[a] == 0) | (self.hash[b] == 0), -1, out)
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging the characters of a and b, side by side, gives a and b: no merge across comes earlier than theirs."""
+        """Whether merging the characters of a and b, side by side, gives a and b; answers are remembered by pair."""
+        if self.remembered is None:
+            self.remembered = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
+        pairs, answers = self.remembered
+        pair = a.astype(np.int64) << 32 | b
+        slot = ((pair.view(U) * U(_B)) >> U(44)).astype(np.int64)
+        ok = answers[slot]
+        new = np.flatnonzero(pairs[slot] != pair)
+        if len(new):
+            ok[new] = self._apart(a[new], b[new])
+            pairs[slot[new]], answers[slot[new]] = pair[new], ok[new]
+        return ok
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same, worked out: no merge across comes earlier than those that make a and b."""
         ok = np.ones(len(a), bool)
         live, limit = np.arange(len(a)), np.full(len(a), 1 << 60)
         a, b = a.copy(), b.copy()
