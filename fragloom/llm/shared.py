@@ -44,3 +44,11 @@ def parts(df: DataFrame) -> int:
 def docs_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty); other columns, whatever their names, are left behind."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, longer by underscores until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -171,6 +171,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows with a null id can't be told apart by name and all stay. Only ids are joined, not texts.
     """
-    leads = near_dedup(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_lead")).distinct()
-    kept = docs.join(leads, F.col("doc_id") == F.col("_lead"), "left_semi")
+    leads = near_dedup(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(leads, "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
