@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import docs_of, parts, written
+from .shared import docs_of, free_name, written
 from .textvec import LOWER, SPACE, row_sums, slices, utf8
 
 #: Hashed trigrams; bound of the training sample (labelled documents with the smallest hashes of their ids).
-KINDS, SAMPLE = 8_192, 3_000
+KINDS, SAMPLE = 8_192, 2_000
 STEPS, CLOSE = 25, 1e-7
 #: Target weights of the query, by domain.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> Classifier:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches):
             code, at, _, _ = trigrams(batch.column("text"))
-            blobs = [np.bincount(code[a:b], minlength=KINDS).astype(np.uint16 if b - a < 1 << 16 else np.uint32).astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            blobs = [np.stack(np.unique(code[a:b], return_counts=True)).astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(blobs, pa.binary())], ["domain", "counts"])
 
     got = docs_of(docs).join(F.broadcast(ids), "doc_id").select("domain", "text").mapInArrow(run, "domain string, counts binary").toArrow()  # SAMPLE ids at most
@@ -106,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> Classifier:
     domains = tuple(sorted(set(names))) or ("",)
     counts = np.zeros((max(1, len(names)), KINDS), np.float32)
     for i, blob in enumerate(got.column("counts").to_pylist()):
-        counts[i] = np.frombuffer(blob, "<u4")
+        kinds, n = np.frombuffer(blob, "<u4").reshape(2, -1)
+        counts[i, kinds] = n
     return train(counts, np.array([domains.index(x) for x in names] or [0]), domains)
 
 
@@ -204,13 +205,13 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     classifier = fit(docs, labels, domain)
     members = written(memberships(docs, classifier), "memberships")
     steps, _ = rates(members, targets, classifier.domains, 1.0)
-    columns = docs.columns
+    chance = free_name(docs, "chance")
 
     def run(batches):
         for batch in slices(batches):
             p, _ = classifier.posterior(batch.column("text"))
-            r, u = rate(p, steps, 1.0), batch.column("_u").to_numpy()
+            r, u = rate(p, steps, 1.0), batch.column(chance).to_numpy()
             times = np.floor(r + 1e-9 + u * (1 - 1e-9)).astype(np.int64)
-            yield batch.drop_columns(["_u"]).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+            yield batch.drop_columns([chance]).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
 
-    return docs.withColumn("_u", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0).mapInArrow(run, docs.schema).select(*columns)
+    return docs.withColumn(chance, F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0).mapInArrow(run, docs.schema)
