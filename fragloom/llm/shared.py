@@ -37,12 +37,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def parts(df: DataFrame) -> int:
-    """Input splits of df, which grow with its bytes; nothing runs for this."""
+    """Partitions of df: of a table its splits, which grow with its bytes, and nothing runs for this (exchanges in df would)."""
     return max(1, df.rdd.getNumPartitions())
 
 
+#: Bytes of the Arrow batches that go to Python and back.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches by bytes: Spark's default counts 10,000 rows, which of long texts is too much for an executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(BATCH_BYTES))
+
+
 def docs_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty); other columns, whatever their names, are left behind."""
+    bounded_batches(df.sparkSession)
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
