@@ -1,22 +1,15 @@
 import os
-import random
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from plain import prose  # noqa: E402
 
 #: Names that operators use inside.
 CLASHING = ("n_tokens", "score", "fp", "held_out", "block", "rate", "id", "part", "label", "_u", "_spans", "domain", "start", "head")
 
 
-def prose(seed, n, vocabulary=400):
-    r = random.Random(seed)
-    pool = random.Random(5)
-    vocabulary = ["".join(pool.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pool.randint(2, 9))) for _ in range(vocabulary)]
-    return " ".join(r.choice(vocabulary) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """Null, empty, blank and very long texts, repeated rows, ties, null ids, other columns."""
