@@ -71,6 +71,16 @@ def extract_hashed(seqs: DataFrame, key: str, k: int, stride: int = 1) -> DataFr
     return seqs.select(key, "seq").mapInArrow(run, f"{key} {kind}, hash long, soff long")
 
 
+def extract_intervals(seqs: DataFrame, regions: DataFrame, k: int, stride: int = 1) -> DataFrame:
+    """(sid, hash, soff) of the k-mers inside intervals (chr, start, stop), every `stride` bases from each interval's start on.
+
+    Intervals are rows, so Spark deals them to tasks; only their own bases go to Python.
+    """
+    cut = F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    rows = seqs.join(regions.withColumnRenamed("chr", "sid"), "sid").select(F.struct("sid", "start").alias("at"), cut.alias("seq"))
+    return extract_hashed(rows, "at", k, stride).select("at.sid", "hash", (F.col("at.start") + F.col("soff")).alias("soff"))
+
+
 def both_strands(seqs: DataFrame) -> DataFrame:
     """seqs with strand 0 and, reverse-complemented, strand 1."""
     return seqs.withColumn("strand", F.lit(0)).unionByName(seqs.withColumns({"seq": reverse_complement(F.col("seq")), "strand": F.lit(1)}))

@@ -386,6 +386,15 @@ def fragment_digest(spark, d):
     return enzymes.digest(A.genome(spark, d), DPNII, "sid")
 
 
+@query(
+    A.READS, "b as (select qid, 0 strand, seq from reads union all select qid, 1, translate(reverse(seq), 'ACGT', 'TGCA') from reads)",
+    "s as (select qid, strand, cast(i as bigint) locus from (select qid, strand, seq, unnest(range(1, length(seq) - 4)) i from b) where substring(seq, i + 1, 4) = 'GATC')",
+    sql="select qid, cast(strand as bigint) strand, locus from s union all select qid, strand, unnest([0, length(seq), length(seq) + 1]) from b",
+)
+def read_loci(spark, d):
+    return enzymes.read_loci(A.reads(spark, d), DPNII).select("qid", F.col("strand").cast("long").alias("strand"), "locus")
+
+
 PLACES = "places as (select sid, cast(length(seq) // 2 as bigint) p from genome)"
 
 
@@ -482,6 +491,31 @@ def kmer_stats(spark, d):
     return kmers.index_stats(counted, kmers.cutoff(counted, 1e-4, 100))
 
 
+def _halves(spark, d):
+    """The first and the second half of each sequence, as two kinds of regions."""
+    seqs = A.genome(spark, d)
+    n, half = F.length("seq").cast("long"), F.floor(F.length("seq") / 2)
+    return seqs, seqs.select(F.col("sid").alias("chr"), F.lit(0).cast("long").alias("start"), half.alias("stop")), seqs.select(F.col("sid").alias("chr"), half.alias("start"), n.alias("stop"))
+
+
+def _half_sql(name: str, lo: str, hi: str, frac: str, least: int) -> list[str]:
+    rows = f"{name} as (select sid, cast(i as bigint) soff, substring(seq, cast(i as integer) + 1, 15) kmer from (select sid, seq, unnest(range({lo}, {hi} - 14, 4)) i from genome))"
+    count = f"{name}c as (select kmer, count(*) n from {name} group by kmer)"
+    cut = f"{name}k as (select greatest(coalesce((select n from (select n, row_number() over (order by n desc) - 1 i, count(*) over () c from {name}c) where i = cast(floor(c * {frac}) as bigint)), 0), {least}) cutoff)"
+    return [rows, count, cut]
+
+
+@query(
+    A.GENOME, *_half_sql("x", "0", "length(seq) // 2", "0.1", 1), *_half_sql("y", "length(seq) // 2", "length(seq)", "0.0001", 100),
+    sql="""select sid, cast(count(*) as bigint) n, cast(sum(soff) as bigint) places from (select sid, soff from x where kmer in (select kmer from xc, xk where n <= cutoff) union all
+ select sid, soff from y where kmer in (select kmer from yc, yk where n <= cutoff)) group by sid""",
+)
+def index_build(spark, d):
+    seqs, repeats, others = _halves(spark, d)
+    postings = kmers.index(kmers.extract_intervals(seqs, repeats, K, STRIDE), kmers.extract_intervals(seqs, others, K, STRIDE), "hash")
+    return postings.groupBy("sid").agg(F.count("*").alias("n"), F.sum("soff").alias("places"))
+
+
 HASH = "+".join(f"(instr('ACGT', substring(kmer, {i + 1}, 1)) - 1) * {4 ** (K - 1 - i)}" for i in range(K))
 
 
@@ -619,6 +653,11 @@ def candidate_chains(spark, d):
     return mapping.candidates(_seeds(spark, d), A.reads(spark, d), K)
 
 
+@query()
+def chromosome_ranks(spark, d):
+    return mapping.ranked_chromosomes(candidate_chains(spark, d))
+
+
 @query()
 def map_reads(spark, d):
     return mapping.map_reads(A.reads(spark, d), A.genome(spark, d), DPNII, K, STRIDE).drop("q_row", "s_row", "frag_seq")
