@@ -62,4 +62,4 @@ import corpus_pipeline  # noqa: E402  deleted together with this package
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_mixing, op4_document_fingerprints, op5_toxicity, op6_media_columns, op7_lm_scoring, op8_substring_dedup, op9_simhash_near_dedup, op10_url_filters)}
 QUERIES["pipeline"] = corpus_pipeline.query
-ORACLE_SQL: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE_SQL: dict[str, str] = {"op10_url_filters": url_filters.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

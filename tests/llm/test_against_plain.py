@@ -332,6 +332,18 @@ def test_ranks_against_a_matrix(spark):
     assert np.allclose([own[h] for h in hosts], x)
 
 
+def test_urls_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, f"http://{h}/{p}", "".join(f"<a href='https://{x}/y'>" for x in out)) for i, (h, p, out) in enumerate([("s.com", "en/1", []), ("f.zz", "", ["s.com", "g.zz"]), ("g.zz", "a?b", ["s.com", "s.com", "k.zz"]), ("example.com", "en/7", ["g.zz"]), ("f.zz", "x", ["s.com"])])]
+    rows += [(9, None, None), (10, "http://f.zz#a", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    expected = con.sql(url_filters.oracle()).df().sort_values("page_id").astype(object).where(lambda d: d.notna(), None)
+    got = url_filters.judge(pages).toPandas().sort_values("page_id")[list(expected.columns)].astype(object).where(lambda d: d.notna(), None)
+    assert got.values.tolist() == expected.values.tolist() and got["distrust"].nunique() > 3
+
+
 def test_distrust_flows_against_links(spark):
     page = "<a href='http://{0}/x'>"
     rows = [(i, f"http://spam{i}.com/en/1", "") for i in range(3)] + [(10 + i, f"http://farm.zz/{i}", "".join(page.format(f"spam{j}.com") for j in range(3))) for i in range(2)]
