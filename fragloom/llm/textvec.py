@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer row is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -124,3 +125,21 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
     place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
     whole = row[: n - width + 1] == row[width - 1 :]
     return mix(h[whole]), row[: n - width + 1][whole], place[: n - width + 1][whole]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second bytes, and so on: high bytes of small numbers are runs of zeros, which shuffles compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unplaned(blob: bytes, kind, n: int, at: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
+def release() -> None:
+    """Gives freed memory back: a worker lives on between stages, and what it keeps counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
