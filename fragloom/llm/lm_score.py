@@ -8,8 +8,9 @@ probabilities and the other tables, all dishes of a level at once; new tables ar
 probabilities are averaged over the kept samples.
 
 Documents are dealt to blocks; a block asks once for each of its distinct words and byte strings, with its counts in
-training rows, and buckets of keys add the counts up, sample their part of the model, and answer. Nothing that grows with
-the corpus reaches the driver or is broadcast.
+training rows, and buckets of keys add the counts up. Distinct byte strings alone go on to their stem (the byte before the
+last), where seating is sampled, and come back to the buckets, which answer the blocks. Nothing that grows with the corpus
+reaches the driver or is broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import docs_of, parts, written
-from .textvec import LOWER, SPACE, U, Words, row_sums, slices, utf8
+from .textvec import LOWER, SPACE, U, Words, mix, planes, release, row_sums, slices, unplaned, utf8
 
 ORDER = 6
 #: Concentration; sweeps, and how many of the first are not kept.
@@ -30,7 +31,7 @@ THETA, SWEEPS, BURN_IN = 1.0, 5, 2
 END = 10
 WORD, GRAM = 0, 1
 #: Bytes of text that are worked on at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +73,10 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 def bounded(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Slices of few enough bytes and rows (a row's number has 16 bits)."""
-    for batch in slices(iter(table.combine_chunks().to_batches()), most=SLICE):
+    for batch in slices(iter(table.to_batches()), most=SLICE):
         for at in range(0, batch.num_rows, 1 << 16):
             yield batch.slice(at, 1 << 16)
+        release()
 
 
 def ask(table: pa.Table, buckets: int) -> pa.Table:
@@ -92,15 +94,19 @@ def ask(table: pa.Table, buckets: int) -> pa.Table:
         at = runs(gram)
         found[GRAM][0].append(gram[at])
         found[GRAM][1].append(np.add.reduceat(train[(key & U(0xFFFF)).astype(np.int64)].astype(np.int64), at) if len(at) else at)
+        del words, key, gram, each
+        for kind, (keys, counts) in found.items():  # merged as they grow, so that a block is held about once
+            if len(keys) > 1 and sum(map(len, keys[1:])) > len(keys[0]):
+                found[kind] = tuple([x] for x in summed(keys, counts))
     out = {"block": [], "kind": [], "bucket": [], "keys": [], "counts": []}
     for kind, (keys, counts) in found.items():
         keys, counts = summed(keys, counts)
-        bucket = (keys % U(buckets)).astype(np.int64) if kind == WORD else (keys >> U(8) & U(255)).astype(np.int64)
+        bucket = (mix(keys) % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(bucket.max(initial=-1) + 2))
         for b in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[b] : cut[b + 1]]
-            for name, value in (("block", block), ("kind", kind), ("bucket", b), ("keys", keys[own].tobytes()), ("counts", counts[own].astype(np.int32).tobytes())):
+            for name, value in (("block", block), ("kind", kind), ("bucket", b), ("keys", planes(keys[own])), ("counts", planes(counts[own].astype(np.int32)))):
                 out[name].append(value)
     kinds = {"block": pa.int32(), "kind": pa.int32(), "bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
@@ -196,28 +202,56 @@ def averaged(keys: np.ndarray, counts: np.ndarray, root: np.ndarray, seed: int)
     return sum_ / kept
 
 
-def answer(table: pa.Table, root: np.ndarray) -> pa.Table:
-    """What a bucket answers each block: counts of words over all blocks, or log10 probabilities of byte strings."""
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    asked = [np.frombuffer(x, U) for x in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]
-    keys, total = summed(asked, counts)
-    values = total.astype(np.float64) if kind == WORD else np.log10(averaged(keys, total, root, bucket))
-    replies = [values[np.searchsorted(keys, x)].astype(np.float32 if kind == GRAM else np.int64).tobytes() for x in asked]
+def _columns(table: pa.Table, *names: str) -> list:
+    kinds = {"keys": U, "counts": np.int32, "values": np.float32}
+    return [[unplaned(x, kinds[n], len(x) // np.dtype(kinds[n]).itemsize) for x in table.column(n).to_pylist()] for n in names]
+
+
+def _reply(table: pa.Table, asked: list[np.ndarray], keys: np.ndarray, values: np.ndarray, tokens: int = 0, types: int = 0) -> pa.Table:
+    """The values of the keys that each row of table asks for; the bucket's sums stand in its first row."""
     n = table.num_rows
-    once = [i == 0 and kind == WORD for i in range(n)]
-    return pa.table(
-        {
-            "block": table.column("block"), "kind": table.column("kind"), "keys": table.column("keys"), "values": pa.array(replies, pa.binary()),
-            "tokens": pa.array([int(total.sum()) if x else 0 for x in once], pa.int64()), "types": pa.array([int((total > 0).sum()) if x else 0 for x in once], pa.int64()),
-        }
-    )
+    once = lambda x: pa.array([x if i == 0 else 0 for i in range(n)], pa.int64())
+    replies = pa.array([planes(values[np.searchsorted(keys, x)]) for x in asked], pa.binary())
+    return pa.table({"block": table.column("block"), "kind": table.column("kind"), "keys": table.column("keys"), "values": replies, "tokens": once(tokens), "types": once(types)})
+
+
+REPLY = "block int, kind int, keys binary, values binary, tokens long, types long"
+
+
+def count_words(table: pa.Table) -> pa.Table:
+    """What a bucket of words answers each block: their counts over all blocks."""
+    asked, counts = _columns(table, "keys", "counts")
+    keys, total = summed(asked, counts)
+    return _reply(table, asked, keys, total, int(total.sum()), int((total > 0).sum()))
+
+
+def total_grams(table: pa.Table) -> pa.Table:
+    """A bucket's byte strings and their counts over all blocks, by the byte before the last: by restaurants that hang together."""
+    keys, total = summed(*_columns(table, "keys", "counts"))
+    stem = (keys >> U(8) & U(255)).astype(np.int64)
+    rows = [(b, table.column("bucket")[0].as_py(), planes(keys[stem == b]), planes(total[stem == b])) for b in np.unique(stem).tolist()]
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("stem", "bucket", "keys", "counts"), zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+
+
+def sample_stem(table: pa.Table, root: np.ndarray) -> pa.Table:
+    """(bucket, keys, values): log10 probabilities of the byte strings of one stem, from the seating of its restaurants."""
+    keys = _columns(table, "keys")[0]
+    counts = [unplaned(x, np.int64, len(x) // 8) for x in table.column("counts").to_pylist()]
+    all_, total = summed(keys, counts)
+    logs = np.log10(averaged(all_, total, root, table.column("stem")[0].as_py())).astype(np.float32)
+    return pa.table({"bucket": table.column("bucket"), "keys": table.column("keys"), "values": pa.array([planes(logs[np.searchsorted(all_, x)]) for x in keys], pa.binary())})
+
+
+def reply_grams(asked: pa.Table, model: pa.Table) -> pa.Table:
+    keys, values = (np.concatenate(x) if x else np.zeros(0, np.float32) for x in _columns(model, "keys", "values"))
+    order = np.argsort(keys)
+    return _reply(asked, _columns(asked, "keys")[0], keys[order], values[order])
 
 
 def look_up(rows: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     own = rows.filter(pa.compute.equal(rows.column("kind"), kind))
-    keys = [np.frombuffer(x, U) for x in own.column("keys").to_pylist()]
-    values = [np.frombuffer(x, np.float32 if kind == GRAM else np.int64) for x in own.column("values").to_pylist()]
+    keys, kept = _columns(own, "keys")[0], np.float32 if kind == GRAM else np.int64
+    values = [unplaned(x, kept, len(x) // np.dtype(kept).itemsize) for x in own.column("values").to_pylist()]
     if not keys:
         return np.zeros(0, U), np.zeros(0)
     keys, values = np.concatenate(keys), np.concatenate(values).astype(np.float64)
@@ -295,8 +329,12 @@ def lm_scores(docs: DataFrame, fold: int = 10) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == 0, F.lit(False))
     rows = docs_of(docs).withColumn("held_out", held).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     root = root_of(rows)
-    asked = rows.groupBy("block").applyInArrow(lambda t: ask(t, blocks), "block int, kind int, bucket int, keys binary, counts binary")
-    told = asked.groupBy("kind", "bucket").applyInArrow(lambda t: answer(t, root), "block int, kind int, keys binary, values binary, tokens long, types long")
+    asked = written(rows.groupBy("block").applyInArrow(lambda t: ask(t, blocks), "block int, kind int, bucket int, keys binary, counts binary"), "asked")
+    words, grams = asked.where(F.col("kind") == WORD), asked.where(F.col("kind") == GRAM)
+    totals = grams.groupBy("bucket").applyInArrow(lambda t: total_grams(t), "stem int, bucket int, keys binary, counts binary")
+    model = totals.groupBy("stem").applyInArrow(lambda t: sample_stem(t, root), "bucket int, keys binary, values binary")
+    told = words.groupBy("bucket").applyInArrow(lambda t: count_words(t), REPLY)
+    told = told.unionByName(grams.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(lambda a, b: reply_grams(a, b), REPLY))
     told = written(told, "answers")
     tokens, types = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     ends = rows.where("not held_out").count()
