@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, merge
 from .shared import docs_of, written
-from .textvec import U, Words, mix, shingles, slices, utf8
+from .textvec import U, Words, mix, release, shingles, slices, utf8
 
 RADIUS, WIDTH, SEED = 2, 3, 42
 #: Fingerprints from which the driver makes the tree of shards, and the distinct fingerprints that a shard shall have.
@@ -211,6 +211,7 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
                 following[full, k] = np.minimum.reduceat(h, at)
             lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (fp, least, following))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "fp", "least", "next"])
+            release()
 
     return docs_of(docs).mapInArrow(run, "doc_id long, fp array<long>, least array<long>, next array<long>")
 
