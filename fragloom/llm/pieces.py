@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import docs_of
-from .textvec import U, slices, span_hashes, utf8
+from .textvec import U, release, slices, span_hashes, utf8
 
 MODEL = "piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
@@ -337,6 +337,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids, at = encoder(batch.column("text"))
             blob = pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), blob], ["doc_id", "n_tokens", "ids"])
+            release()
 
     return docs_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
