@@ -176,26 +176,45 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> Dat
 #: For near copies: words of a fingerprint, of a shingle, and the radius. At a similarity of 0.8 (Jaccard, shingles) distances are
 #: 39 +- 6 of 256 bits, at 0.7 49 +- 6, at 0.5 69 +- 7, and 128 +- 8 between strangers.
 WORDS, SHINGLE, NEAR = 4, 5, 50
+#: Similarity that links are verified for, and rows of a block of a group whose parts are compared.
+SIMILAR, BLOCK = 0.8, 1_024
 #: Least shingles by which fingerprints are dealt to shards (at 0.8, 0.2 % of pairs share none), and the shard from which on
 #: the second least one counts as well.
 DEALS, LARGE = 4, 4_096
 
 
+def shingle_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Five-word shingles of the batch's texts (a text of fewer words is one shingle), the row of each, and the first of each row (rows + 1)."""
+    words = Words(batch.column("text"))
+    whole = words.hashes()
+    item, row, _ = shingles(whole, words.counts, SHINGLE)
+    short = np.flatnonzero((words.counts > 0) & (words.counts < SHINGLE))
+    if len(short):
+        extra = np.array([np.bitwise_xor.reduce(mix(whole[words.first[i] : words.first[i + 1]] + np.arange(words.counts[i], dtype=U))) for i in short.tolist()], U)
+        order = np.argsort(np.concatenate([row, short]), kind="stable")
+        item, row = np.concatenate([item, extra])[order], np.concatenate([row, short])[order]
+    return item, row, np.searchsorted(row, np.arange(batch.num_rows + 1))
+
+
+def set_hashes(item: np.ndarray, row: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """A hash of each row's set of shingles, whatever their order and repeats; zero for none."""
+    key = mix(item ^ mix(row.astype(U)))
+    order = np.argsort(key)
+    once = np.zeros(len(key), U)
+    once[order[np.append(True, key[order[1:]] != key[order[:-1]])] if len(key) else order] = 1
+    out, full = np.zeros(len(cut) - 1, U), np.flatnonzero(cut[1:] > cut[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(mix(item ^ U(0x3C3C)) * once, cut[:-1][full])
+    return out
+
+
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (WORDS longs), least and next (DEALS longs each) of each row: fingerprints of five-word shingles, and the
-    smallest and second smallest shingle by DEALS hash functions. Texts of fewer words are one shingle; of none: zeros."""
+    """doc_id, same (a hash of the set of five-word shingles), fp (WORDS longs), least and next (DEALS longs each) of each row:
+    fingerprints of the shingles, and the smallest and second smallest by DEALS hash functions. Texts without words: zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, most=1 << 20):
-            words = Words(batch.column("text"))
-            item, row, _ = shingles(words.hashes(), words.counts, SHINGLE)
-            short = np.flatnonzero((words.counts > 0) & (words.counts < SHINGLE))
-            if len(short):
-                whole = words.hashes()
-                extra = np.array([np.bitwise_xor.reduce(mix(whole[words.first[i] : words.first[i + 1]] + np.arange(words.counts[i], dtype=U))) for i in short.tolist()], U)
-                order = np.argsort(np.concatenate([row, short]), kind="stable")
-                item, row = np.concatenate([item, extra])[order], np.concatenate([row, short])[order]
-            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            item, row, cut = shingle_rows(batch)
             full = np.flatnonzero(cut[1:] > cut[:-1])
             at, size = cut[:-1][full], np.diff(cut)[full]
             fp = np.zeros((batch.num_rows, WORDS), U)
@@ -209,46 +228,145 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
                 least[full, k] = np.minimum.reduceat(h, at)
                 h[h == np.repeat(least[full, k], size)] = ~U(0)
                 following[full, k] = np.minimum.reduceat(h, at)
+            same = pa.array(set_hashes(item, row, cut).view(np.int64))
             lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (fp, least, following))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "fp", "least", "next"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), same, *lists], ["doc_id", "same", "fp", "least", "next"])
+            release()
+
+    return docs_of(docs).mapInArrow(run, "doc_id long, same long, fp array<long>, least array<long>, next array<long>")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """same, items (the sorted set of shingles) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches, most=1 << 20):
+            item, row, cut = shingle_rows(batch)
+            items = [np.unique(item[a:b]).tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(set_hashes(item, row, cut).view(np.int64)), pa.array(items, pa.binary())], ["same", "items"])
             release()
 
-    return docs_of(docs).mapInArrow(run, "doc_id long, fp array<long>, least array<long>, next array<long>")
+    return docs_of(docs).mapInArrow(run, "same long, items binary")
+
+
+def alike(x: np.ndarray, y: np.ndarray, similar: float = SIMILAR) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    if min(len(x), len(y)) < similar * max(len(x), len(y)) or not len(x):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similar * (len(x) + len(y) - both)
+
+
+def alike_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are alike."""
+
+    def verify(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("items", "others"))
+            good = [alike(np.frombuffer(i, U), np.frombuffer(j, U)) for i, j in zip(x, y, strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    both = pairs.join(sets.withColumnRenamed("same", "a"), "a").join(sets.select(F.col("same").alias("b"), F.col("items").alias("others")), "b")
+    return both.select("a", "b", "items", "others").mapInArrow(verify, "a long, b long")
+
+
+def blocks(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """rows with own, lo and hi: rows of a value of `by` (n of them) are dealt to blocks of about `size`, and each row goes to
+    every pair (lo, hi) of blocks that has its own. So any two rows of a value meet: those of one block where lo is hi."""
+    many = F.ceil(F.col("n") / size).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("same"), many).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
+    return dealt.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("with")
+
+
+def rejoined(same: np.ndarray, part: np.ndarray, fp: np.ndarray, items: list[bytes], cross: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+    """Links of alike rows within the radius that join different parts (cross: the block of each row, of which only pairs across count)."""
+    _, of = np.unique(part, return_inverse=True)
+    top, found = list(range(len(of))), []
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    sets = [np.frombuffer(x, U) for x in items]
+    for at in range(0, len(same), LEAF):
+        close = np.bitwise_count(fp[at : at + LEAF, None] ^ fp[None, at:]).sum(2, dtype=np.int16) <= radius
+        close &= of[at : at + LEAF, None] != of[None, at:]
+        if cross is not None:
+            close &= cross[at : at + LEAF, None] != cross[None, at:]
+        for a, b in np.argwhere(np.triu(close, 1)).tolist():
+            x, y = root(int(of[at + a])), root(int(of[at + b]))
+            if x != y and alike(sets[at + a], sets[at + b]):
+                top[max(x, y)] = min(x, y)
+                found.append((int(same[at + a]), int(same[at + b])))
+    return found
 
 
 def near_copies(docs: DataFrame, radius: int = NEAR) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its group) of rows with an id: groups of texts that are alike in about 0.8 of
-    their five-word shingles and more, as far as links reach.
+    """doc_id, class_id (the smallest doc_id of its group) of rows with an id: groups of texts whose sets of five-word shingles
+    have a Jaccard similarity of 0.8 and more, as far as such links reach.
 
-    Copies collapse to one fingerprint. Fingerprints are dealt to shards by their least shingles, since at this radius no
-    distance to a vantage tells most strangers apart; each shard is split by vantages as far as that helps, and returns a forest.
+    Texts of equal sets collapse to one. Fingerprints are dealt to shards by their least shingles, since at this radius no
+    distance to a vantage tells most strangers apart; each shard is split by vantages as far as that helps, and returns a forest
+    of candidates. Its links are verified on the sets themselves. Where that leaves a group of candidates in several parts,
+    the pairs across its parts are verified, too, until the parts are joined or no pair is left.
     """
     spark = docs.sparkSession
     fps = written(wide_fingerprints(docs.where("doc_id is not null")), "wide")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("least", "next"), "doc_id").alias("by")), "distinct")
-    pairs = F.explode(F.arrays_zip("by.least", "by.next"))
-    dealt = distinct.select("doc", "fp", pairs.alias("at")).select("doc", "fp", F.col("at.least").alias("key"), F.col("at.next").alias("then"))
+    by = F.min_by(F.struct("fp", "least", "next"), "doc_id").alias("by")
+    distinct = written(fps.groupBy("same").agg(F.min("doc_id").alias("doc"), by).select("same", "doc", "by.*"), "distinct")
+    pairs = F.explode(F.arrays_zip("least", "next"))
+    dealt = distinct.select("same", "fp", pairs.alias("at")).select("same", "fp", F.col("at.least").alias("key"), F.col("at.next").alias("then"))
     large = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("key", F.lit(True).alias("large"))
-    dealt = dealt.join(large, "key", "left").select("doc", "fp", F.when(F.col("large"), F.xxhash64("key", "then")).otherwise(F.col("key")).alias("key"))
+    dealt = dealt.join(large, "key", "left").select("same", "fp", F.when(F.col("large"), F.xxhash64("key", "then")).otherwise(F.col("key")).alias("key"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def join(table: pa.Table) -> pa.Table:
-        key, doc = table.column("key").to_numpy(), table.column("doc").to_numpy()
+        key, same = table.column("key").to_numpy(), table.column("same").to_numpy()
         fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
         order = np.argsort(key, kind="stable")
-        key, doc, fp = key[order], doc[order], fp[order]
+        key, same, fp = key[order], same[order], fp[order]
         cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         ends = []
         for i in np.flatnonzero(np.diff(cut) > 1).tolist():
             a, b = forest(fp[cut[i] : cut[i + 1]], radius)
-            ends.append((doc[cut[i] + a], doc[cut[i] + b]))
+            ends.append((same[cut[i] + a], same[cut[i] + b]))
         a, b = (np.concatenate(x) if ends else np.zeros(0, np.int64) for x in (zip(*ends, strict=True) if ends else ((), ())))
         return pa.table({"a": a, "b": b})
 
-    edges = dealt.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: join(t), "a long, b long")
-    roots = connected_components(edges)
-    named = distinct.select("fp", "doc").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left")
-    return fps.select("doc_id", "fp").join(named, "fp").select("doc_id", F.coalesce("root", "doc").alias("class_id"))
+    found = dealt.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: join(t), "a long, b long")
+    found = written(found.distinct(), "candidates")
+    groups = written(connected_components(found), "groups")
+    chosen = distinct.join(groups.select(F.col("node").alias("same")), "same", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
+    sets = written(shingle_sets(docs.join(chosen, "doc_id", "left_semi")).dropDuplicates(["same"]), "sets")
+    sure = written(alike_links(found, sets), "sure")
+    part = connected_components(sure).withColumnRenamed("root", "part")
+    state = written(groups.join(part, "node", "left").select(F.col("node").alias("same"), "root", F.coalesce("part", "node").alias("part")), "parts")
+    open_ = state.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high").select("root", "n")
+    rest = blocks(state.join(open_, "root"), "root", BLOCK).join(distinct.select("same", "fp"), "same").join(sets, "same")
+
+    def join_parts(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("root", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
+        key = np.stack([table.column(c).to_numpy() for c in ("root", "lo", "hi")], 1)
+        same, part, own = (table.column(c).to_numpy() for c in ("same", "part", "own"))
+        fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+        items = table.column("items").to_pylist()
+        cut = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))), len(key)).tolist()
+        links = []
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            links += rejoined(same[s:e], part[s:e], fp[s:e], items[s:e], own[s:e] if key[s, 1] != key[s, 2] else None, radius)
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    more = rest.groupBy(F.pmod(F.xxhash64("root", "lo", "hi"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: join_parts(t), "a long, b long")
+    shared = distinct.groupBy("doc").agg(F.min("same").alias("b"), F.count("*").alias("n")).where("n > 1")  # rows of one id
+    shared = distinct.join(shared, "doc").select(F.col("same").alias("a"), "b")
+    roots = connected_components(sure.unionByName(more).unionByName(shared))
+    named = distinct.select("same", "doc").join(roots.withColumnRenamed("node", "same"), "same")
+    lead = named.join(named.groupBy("root").agg(F.min("doc").alias("class_id")), "root").select("same", "class_id")
+    named = distinct.join(lead, "same", "left").select("same", F.coalesce("class_id", "doc").alias("class_id"))
+    return fps.select("doc_id", "same").join(named, "same").select("doc_id", "class_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

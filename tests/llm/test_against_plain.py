@@ -292,6 +292,38 @@ def test_vantage_trees_lose_no_pair():
     assert (label == expected).all() and len(set(label.tolist())) < len(fps)
 
 
+def revised(words, share, seed):
+    """The words with runs of new ones, so that about that Jaccard similarity of five-word shingles is left."""
+    r, words = random.Random(seed), list(words)
+    left = int(len(words) * 2 * share / (1 + share))
+    at = r.randrange(left)
+    return words[:at] + [f"new{seed}x{i}" for i in range(len(words) - left)] + words[at + len(words) - left :]
+
+
+def test_near_copies_are_verified(spark, monkeypatch):
+    base = [plain.prose(s, 300).split() for s in range(12)]
+    rows = {100 * s: b for s, b in enumerate(base)}
+    for s, b in enumerate(base):
+        for i, share in enumerate((0.72, 0.76, 0.78, 0.82, 0.85, 0.92, 0.72, 0.9)):
+            rows[100 * s + i + 1] = revised(rows[100 * s + i] if i > 4 else b, share, 100 * s + i + 1)
+    line = "the same line again and again ".split()
+    rows |= {5_000: line * 60 + base[0][:60], 5_001: line * 60 + base[1][:60]}  # one line hides what else there is
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows.items()], "doc_id long, text string")
+    order = sorted(rows)
+    grams = [{tuple(rows[d][i : i + 5]) for i in range(len(rows[d]) - 4)} for d in order]
+    fps = {r.doc_id: np.array(r.fp).view(np.uint64) for r in simhash.wide_fingerprints(docs).collect()}
+    alike = lambda i, j: len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+    near = lambda i, j: int(np.bitwise_count(fps[order[i]] ^ fps[order[j]]).sum()) <= simhash.NEAR
+    loose = sum(near(i, j) and alike(i, j) < 0.8 for i in range(len(order)) for j in range(i))
+    assert loose > 20
+    expected = plain.components(order, lambda i, j: near(i, j) and alike(i, j) >= 0.8)
+    assert len(set(expected)) < len(order) - 20
+    for block in (simhash.BLOCK, 3):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.doc_id: r.class_id for r in simhash.near_copies(docs).collect()}
+        assert [got[d] for d in order] == expected
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(r.randint(200, 400), r.randint(200, 400)) for _ in range(150)] + [(None, 3), (5, 5)]
