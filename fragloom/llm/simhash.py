@@ -178,8 +178,8 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> Dat
 WORDS, SHINGLE, NEAR = 4, 5, 50
 #: Similarity that links are verified for, and rows of a block of a group whose parts are compared.
 SIMILAR, BLOCK = 0.8, 1_024
-#: Least shingles by which fingerprints are dealt to shards (at 0.8, 0.2 % of pairs share none), and the shard from which on
-#: the second least one counts as well.
+#: Least shingles by which fingerprints are dealt to shards (at 0.8, 0.2 % of pairs share none), and the rows of a shard; beyond
+#: them its rows go to blocks of half as many, and every two blocks meet in a shard of their own.
 DEALS, LARGE = 4, 4_096
 
 
@@ -209,8 +209,8 @@ def set_hashes(item: np.ndarray, row: np.ndarray, cut: np.ndarray) -> np.ndarray
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, same (a hash of the set of five-word shingles), fp (WORDS longs), least and next (DEALS longs each) of each row:
-    fingerprints of the shingles, and the smallest and second smallest by DEALS hash functions. Texts without words: zeros."""
+    """doc_id, same (a hash of the set of five-word shingles), fp (WORDS longs) and least (DEALS longs) of each row: fingerprints
+    of the shingles, and the smallest by DEALS hash functions. Texts without words: zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, most=1 << 20):
@@ -218,22 +218,19 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
             full = np.flatnonzero(cut[1:] > cut[:-1])
             at, size = cut[:-1][full], np.diff(cut)[full]
             fp = np.zeros((batch.num_rows, WORDS), U)
-            least, following = np.zeros((2, batch.num_rows, DEALS), U)
+            least = np.zeros((batch.num_rows, DEALS), U)
             for k in range(WORDS if len(full) else 0):
                 h = mix(item ^ U(0xA5A5 + k))
                 ones = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), at, 0, dtype=np.int32)
                 fp[full, k] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(U)[:, 0]
             for k in range(DEALS if len(full) else 0):
-                h = mix(item ^ U(0x5A5A + k))
-                least[full, k] = np.minimum.reduceat(h, at)
-                h[h == np.repeat(least[full, k], size)] = ~U(0)
-                following[full, k] = np.minimum.reduceat(h, at)
+                least[full, k] = np.minimum.reduceat(mix(item ^ U(0x5A5A + k)), at)
             same = pa.array(set_hashes(item, row, cut).view(np.int64))
-            lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (fp, least, following))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), same, *lists], ["doc_id", "same", "fp", "least", "next"])
+            lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (fp, least))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), same, *lists], ["doc_id", "same", "fp", "least"])
             release()
 
-    return docs_of(docs).mapInArrow(run, "doc_id long, same long, fp array<long>, least array<long>, next array<long>")
+    return docs_of(docs).mapInArrow(run, "doc_id long, same long, fp array<long>, least array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -270,9 +267,9 @@ def alike_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "items", "others").mapInArrow(verify, "a long, b long")
 
 
-def blocks(rows: DataFrame, by: str, size: int) -> DataFrame:
-    """rows with own, lo and hi: rows of a value of `by` (n of them) are dealt to blocks of about `size`, and each row goes to
-    every pair (lo, hi) of blocks that has its own. So any two rows of a value meet: those of one block where lo is hi."""
+def blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows with own, lo and hi: the n rows of a group are dealt to blocks of about `size`, and each row goes to every pair
+    (lo, hi) of blocks that has its own. So any two rows of a group meet."""
     many = F.ceil(F.col("n") / size).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("same"), many).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
     return dealt.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("with")
@@ -314,12 +311,12 @@ def near_copies(docs: DataFrame, radius: int = NEAR) -> DataFrame:
     """
     spark = docs.sparkSession
     fps = written(wide_fingerprints(docs.where("doc_id is not null")), "wide")
-    by = F.min_by(F.struct("fp", "least", "next"), "doc_id").alias("by")
+    by = F.min_by(F.struct("fp", "least"), "doc_id").alias("by")
     distinct = written(fps.groupBy("same").agg(F.min("doc_id").alias("doc"), by).select("same", "doc", "by.*"), "distinct")
-    pairs = F.explode(F.arrays_zip("least", "next"))
-    dealt = distinct.select("same", "fp", pairs.alias("at")).select("same", "fp", F.col("at.least").alias("key"), F.col("at.next").alias("then"))
-    large = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("key", F.lit(True).alias("large"))
-    dealt = dealt.join(large, "key", "left").select("same", "fp", F.when(F.col("large"), F.xxhash64("key", "then")).otherwise(F.col("key")).alias("key"))
+    dealt = distinct.select("same", "fp", F.explode("least").alias("key"))
+    large = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE)
+    dealt = blocks(dealt.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1))), LARGE // 2).where("n = 1 or lo <> hi")
+    dealt = dealt.select("same", "fp", F.when(F.col("n") > 1, F.xxhash64("key", "lo", "hi")).otherwise(F.col("key")).alias("key"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def join(table: pa.Table) -> pa.Table:
@@ -344,7 +341,7 @@ def near_copies(docs: DataFrame, radius: int = NEAR) -> DataFrame:
     part = connected_components(sure).withColumnRenamed("root", "part")
     state = written(groups.join(part, "node", "left").select(F.col("node").alias("same"), "root", F.coalesce("part", "node").alias("part")), "parts")
     open_ = state.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high").select("root", "n")
-    rest = blocks(state.join(open_, "root"), "root", BLOCK).join(distinct.select("same", "fp"), "same").join(sets, "same")
+    rest = blocks(state.join(open_, "root"), BLOCK).join(distinct.select("same", "fp"), "same").join(sets, "same")
 
     def join_parts(table: pa.Table) -> pa.Table:
         table = table.sort_by([("root", "ascending"), ("lo", "ascending"), ("hi", "ascending")])

@@ -324,6 +324,25 @@ def test_near_copies_are_verified(spark, monkeypatch):
         assert [got[d] for d in order] == expected
 
 
+def test_large_groups_lose_no_pair(spark, monkeypatch):
+    head = plain.prose(1, 150).split()
+    made = [" ".join(head + plain.prose(s, 12).split()) for s in range(2, 12_000)]
+    item, _, cut = simhash.shingle_rows(pa.RecordBatch.from_arrays([pa.array([" ".join(head), *made])], ["text"]))
+    lows = np.array([np.sort(mix(item[: cut[1]] ^ U(0x5A5A + k)))[:2] for k in range(simhash.DEALS)])
+    sides = [], []
+    for i, text in enumerate(made, 1):
+        two = np.array([np.sort(mix(item[cut[i] : cut[i + 1]] ^ U(0x5A5A + k)))[:2] for k in range(simhash.DEALS)])
+        if (two[:, 0] == lows[:, 0]).all():
+            other = (two[:, 1] != lows[:, 1]).tolist()
+            if other in ([True, True, False, False], [False, False, True, True]):
+                sides[other[3]].append(text)  # least shingles are all the head's; no second least one is common to both sides
+    rows = sides[0][:3] + sides[1][:3]
+    assert len(rows) == 6
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "LARGE", 4)
+    assert {r.class_id for r in simhash.near_copies(docs).collect()} == {0}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(r.randint(200, 400), r.randint(200, 400)) for _ in range(150)] + [(None, 3), (5, 5)]
