@@ -3,7 +3,8 @@
 The writer makes one program: a table of programs (PID 0), its map, and one private stream whose elementary packets
 carry the payload. The first transport packet of each elementary packet has an adaptation field with the random-access
 flag and a clock reference; every elementary packet has a presentation timestamp. The reader is general: it takes any
-188-byte stream, follows its tables, checks continuity counters and gathers the elementary packets of every stream.
+188-byte stream, finds its packets again after stray or lost bytes, follows its tables across packets, checks continuity
+counters and gathers the elementary packets of every stream.
 """
 
 from __future__ import annotations
@@ -98,19 +99,64 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _sections(grid: np.ndarray, pid: int, pids: np.ndarray, begins: np.ndarray, from_: np.ndarray) -> list[bytes]:
-    """Sections with a right checksum that begin in packets of this PID (tables of one packet, as in most streams, or more)."""
+def _packets(data: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where packets begin, and how often packets didn't follow one another: there, the next place counts from which two more
+    sync bytes stand at a packet's distance (or the end comes first). A packet that the next one cuts short is left out."""
+    n = len(data)
+    sync = data == SYNC
+    sure = sync.copy()
+    for away in (PACKET, 2 * PACKET):
+        sure[: max(0, n - away)] &= sync[away:]
+    sure = np.flatnonzero(sure[: max(0, n - PACKET + 1)])
+    starts, at, losses, step = [], 0, 0, 64
+    while at + PACKET <= n:
+        most = min(step, (n - at) // PACKET)
+        good = sync[at : at + most * PACKET : PACKET]
+        run = most if good.all() else int(np.argmin(good))
+        if run:
+            starts.append(at + PACKET * np.arange(run))
+            at += run * PACKET
+        step = 2 * step if run == most else 64
+        if run < most:
+            losses += 1
+            last = int(starts[-1][-1]) if starts else -1
+            to = np.searchsorted(sure, last + 1)
+            if to == len(sure):
+                return (np.concatenate(starts) if starts else np.zeros(0, np.int64)), losses
+            if starts and sure[to] < at:
+                starts[-1] = starts[-1][:-1]
+                starts = starts if len(starts[-1]) else starts[:-1]
+            at = int(sure[to])
+    return (np.concatenate(starts) if starts else np.zeros(0, np.int64)), losses + (at < n)
+
+
+def _repeated(grid: np.ndarray, at: np.ndarray, from_: np.ndarray, counter: np.ndarray, carries: np.ndarray) -> np.ndarray:
+    """Which packets of one PID (places at) say the payload of the one before again, under the same count."""
+    again = np.zeros(len(at), bool)
+    for i in (np.flatnonzero((counter[at[1:]] == counter[at[:-1]]) & carries[at[1:]] & carries[at[:-1]]) + 1).tolist():
+        again[i] = grid[at[i], from_[at[i]] :].tobytes() == grid[at[i - 1], from_[at[i - 1]] :].tobytes()
+    return again
+
+
+def _sections(grid: np.ndarray, at: np.ndarray, begins: np.ndarray, from_: np.ndarray) -> list[bytes]:
+    """Sections with a right checksum in the packets at these places; the pointer of a packet in which sections begin says how
+    many bytes before them still end an earlier one."""
     found, held = [], b""
-    for i in np.flatnonzero(pids == pid).tolist():
-        body = grid[i, from_[i] :].tobytes()
-        if begins[i]:
-            held = body[1 + body[0] :] if body else b""
-        else:
-            held += body
+
+    def take(held: bytes) -> bytes:
         while len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := 3 + ((held[1] & 15) << 8 | held[2])):
             if size >= 12 and crc32_mpeg(held[:size]) == 0:
                 found.append(held[:size])
             held = held[size:]
+        return held
+
+    for i in at.tolist():
+        body = grid[i, from_[i] :].tobytes()
+        if begins[i] and body:
+            take(held + body[1 : 1 + body[0]] if held else b"")
+            held = take(body[1 + body[0] :])
+        else:
+            held = take(held + body) if held else b""
     return found
 
 
@@ -118,47 +164,48 @@ def demux(media: bytes) -> dict:
     """Programs and streams of a transport stream.
 
     Returns {"packets", "bad_sync", "programs": {number: map PID}, "streams": [{"pid", "kind", "payload", "units",
-    "stamps", "random_access", "breaks"}]}: the bytes of each stream's elementary packets put together, their number
-    and presentation timestamps (-1: none), which of them are random-access points, and continuity-counter breaks.
-    Bytes after the last whole packet and packets out of sync are counted in bad_sync and left out.
+    "stamps", "random_access", "offsets", "breaks"}]}: the bytes of each stream's elementary packets put together, their
+    number, presentation timestamps (-1: none), which of them are random-access points, the bytes of the stream at which
+    they begin, and continuity-counter breaks. bad_sync counts the places where bytes between packets had to be skipped.
     """
-    whole = len(media) // PACKET
-    grid = np.frombuffer(media, np.uint8, whole * PACKET).reshape(whole, PACKET)
-    good = grid[:, 0] == SYNC
-    out = {"packets": whole, "bad_sync": int((~good).sum()) + (len(media) > whole * PACKET), "programs": {}, "streams": []}
-    grid = grid[good]
+    data = np.frombuffer(media, np.uint8)
+    starts, losses = _packets(data)
+    grid = np.lib.stride_tricks.sliding_window_view(data, PACKET)[starts] if len(starts) else np.zeros((0, PACKET), np.uint8)
+    out = {"packets": len(starts), "bad_sync": losses, "programs": {}, "streams": []}
     pids = (grid[:, 1].astype(np.int32) & 31) << 8 | grid[:, 2]
     begins, control, counter = grid[:, 1] & 0x40 > 0, grid[:, 3] >> 4 & 3, grid[:, 3] & 15
-    field = control & 2 > 0
+    field, carries = control & 2 > 0, control & 1 > 0
     length = np.where(field, grid[:, 4].astype(np.int32) + 1, 0)
-    from_ = np.minimum(np.where(control & 1 > 0, 4 + length, PACKET), PACKET)
+    from_ = np.minimum(np.where(carries, 4 + length, PACKET), PACKET)
     flags = np.where(field & (length > 1), grid[:, 5], 0)
-    for s in _sections(grid, 0, pids, begins, from_):
+
+    def own(pid: int) -> tuple[np.ndarray, int]:
+        """The places of a PID's packets, repeated ones left out, and the breaks of its count."""
+        at = np.flatnonzero(pids == pid)
+        again = _repeated(grid, at, from_, counter, carries)
+        at = at[~again]
+        step = (counter[at[1:]].astype(np.int32) - counter[at[:-1]]) & 15
+        return at, int(((step != carries[at[1:]]) & (flags[at[1:]] & 0x80 == 0)).sum())
+
+    for s in _sections(grid, own(0)[0], begins, from_):
         for i in range(8, len(s) - 4, 4):
             number, pid = struct.unpack(">HH", s[i : i + 4])
             if s[0] == 0 and number:
                 out["programs"][number] = pid & 0x1FFF
     kinds: dict[int, int] = {}
-    for map_pid in out["programs"].values():
-        for s in _sections(grid, map_pid, pids, begins, from_):
+    for map_pid in dict.fromkeys(out["programs"].values()):
+        for s in _sections(grid, own(map_pid)[0], begins, from_):
             i = 12 + ((s[10] & 15) << 8 | s[11])
             while s[0] == 2 and i + 5 <= len(s) - 4:
                 kinds[(s[i + 1] & 31) << 8 | s[i + 2]] = s[i]
                 i += 5 + ((s[i + 3] & 15) << 8 | s[i + 4])
     for pid, kind in kinds.items():
-        at = np.flatnonzero(pids == pid)
-        carry = (control[at] & 1).astype(np.int32)
-        step = (counter[at].astype(np.int32)[1:] - counter[at][:-1]) & 15
-        breaks = int(((step != carry[1:]) & ~((step == 0) & (carry[1:] == 1) & (grid[at[1:], 4:] == grid[at[:-1], 4:]).all(1)) & (flags[at[1:]] & 0x80 == 0)).sum()) if len(at) > 1 else 0
-        again = np.zeros(len(at), bool)
-        if len(at) > 1:
-            again[1:] = (step == 0) & (carry[1:] == 1)
-        at = at[~again]
+        at, breaks = own(pid)
         mask = np.arange(PACKET)[None, :] >= from_[at][:, None]
         flat, ends = grid[at][mask].tobytes(), np.cumsum(PACKET - from_[at])
         first = np.flatnonzero(begins[at])
         bounds = [*(ends[first] - (PACKET - from_[at[first]])).tolist(), len(flat)]
-        parts, stamps, points = [], [], []
+        parts, stamps, points, offsets = [], [], [], []
         for k, i in enumerate(first.tolist()):
             pes = flat[bounds[k] : bounds[k + 1]]
             if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
@@ -167,7 +214,8 @@ def demux(media: bytes) -> dict:
             parts.append(pes[9 + pes[8] : 6 + size if size else None])
             stamps.append((pes[9] >> 1 & 7) << 30 | pes[10] << 22 | pes[11] >> 1 << 15 | pes[12] << 7 | pes[13] >> 1 if pes[7] & 0x80 and len(pes) > 13 else -1)
             points.append(bool(flags[at[i]] & 0x40))
-        out["streams"].append({"pid": pid, "kind": kind, "payload": b"".join(parts), "units": len(parts), "stamps": stamps, "random_access": points, "breaks": breaks})
+            offsets.append(int(starts[at[i]]))
+        out["streams"].append({"pid": pid, "kind": kind, "payload": b"".join(parts), "units": len(parts), "stamps": stamps, "random_access": points, "offsets": offsets, "breaks": breaks})
     return out
 
 
@@ -178,12 +226,16 @@ def padded(text: bytes) -> bytes:
 SCHEMA = "doc_id long, n_bytes long, media binary"
 PARSED = (
     "doc_id long, n_bytes long, media_bytes long, packets long, bad_sync long, programs int, pid int, kind int, payload binary,"
-    " units int, breaks int, stamps array<long>, random_access array<boolean>"
+    " units int, breaks int, stamps array<long>, random_access array<boolean>, offsets array<long>"
 )
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: every text as a transport stream. Null or empty text: 64 zero bytes are stored."""
+    """doc_id, n_bytes, media: every text as a transport stream. Null or empty text: 64 zero bytes are stored.
+
+    Rows are independent: repeated rows and null ids stay, very long texts get more elementary packets, an empty table gives
+    an empty one; other columns, whatever their names, are left behind.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches):
@@ -195,7 +247,7 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def parse(media: DataFrame) -> DataFrame:
-    """One row for each stream of each media value: payload, timestamps and random-access points, in order of the units."""
+    """One row for each stream of each media value: payload, and the timestamps, random-access points and byte offsets of its units in order."""
 
     def run(batches):
         for batch in slices(batches, "media"):
@@ -203,8 +255,8 @@ def parse(media: DataFrame) -> DataFrame:
             for doc, n, m in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
                 found = demux(m or b"")
                 for s in found["streams"]:
-                    rows.append((doc, n, len(m), found["packets"], found["bad_sync"], len(found["programs"]), s["pid"], s["kind"], s["payload"], s["units"], s["breaks"], s["stamps"], s["random_access"]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+                    rows.append((doc, n, len(m), found["packets"], found["bad_sync"], len(found["programs"]), s["pid"], s["kind"], s["payload"], s["units"], s["breaks"], s["stamps"], s["random_access"], s["offsets"]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
             names = [x.split()[0] for x in PARSED.split(", ")]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -212,14 +264,16 @@ def parse(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, PARSED)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps string, access_points string"
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What is read back from each stored stream, as hashes and a feature of its packets, clock and bytes.
+    """What is read back from each stored stream: hashes, a feature of its packets, clock and bytes, and its index.
 
     feature: units, continuity breaks, random-access points, first and last timestamp, and a 16-bin histogram of the
-    payload's high nibbles as shares of 255 in hex. Values depend on the text alone, so equal texts have equal values.
+    payload's high nibbles as shares of 255 in hex. timestamps: those of all units, by commas; access_points: timestamp@byte
+    of each unit that is one. Values depend on the text alone, so equal texts and repeated rows have equal values; rows of
+    any id (null, too) stay; very long texts have more units; an empty table gives an empty one.
     """
 
     def run(batches):
@@ -230,11 +284,10 @@ def digests(media: DataFrame) -> DataFrame:
                 payload = stream["payload"]
                 bins = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16) * 255 // len(payload)
                 feature = f"u{stream['units']}b{stream['breaks']}r{sum(stream['random_access'])}t{stream['stamps'][0]}-{stream['stamps'][-1]}h{bytes(bins.astype(np.uint8)).hex()}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-GRAIN:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
+                index = ",".join(f"{t}@{o}" for t, o, r in zip(stream["stamps"], stream["offsets"], stream["random_access"], strict=True) if r)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-GRAIN:]), len(m), hashlib.sha256(m).hexdigest(), feature, ",".join(map(str, stream["stamps"])), index))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], [x.split()[0] for x in DIGEST.split(", ")])
 
     return media.mapInArrow(run, DIGEST)

@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by a batched Viterbi over numpy arrays.
 
-Texts are cut where a space follows another character: no piece continues there. Distinct chunks are encoded once a task;
+Texts are cut where a space follows another character: no piece continues there (longer chunks are also cut between
+characters that stand side by side in no piece). Distinct chunks are encoded once a task;
 chunks of equal length advance together, one character at a time. Hashes of their substrings probe the sorted hashes of
 the pieces, and vectorised maxima over the pieces that end at a place store backpointers.
 
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import docs_of
-from .textvec import U, release, slices, span_hashes, utf8
+from .textvec import U, distinct_spans, release, slices, utf8
 
 MODEL = "piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
+#: Characters from which a chunk is looked through for places that no piece spans.
+LONG = 48
 SPACE = "▁"
-#: Distinct chunks that a task remembers; then it begins anew.
-REMEMBERED = 1_000_000
+#: Distinct chunks that a task remembers; then it begins anew (some 40 MB).
+REMEMBERED = 200_000
 _B = 0x9E3779B97F4A7C15
 #: Pairs of pieces whose answer is remembered, each in its own slot (9 MB).
 _SLOTS = 1 << 20
@@ -69,9 +72,18 @@ class Pieces:
         self.first = np.searchsorted(top, np.arange((1 << 18) + 1)).astype(np.int32)  # of the keys with each leading 18 bits
         self.crowd = int(np.diff(self.first).max(initial=0))
         self.remembered = None
+        self.pairs = np.array(sorted({ord(a) << 32 | ord(b) for i in usable for a, b in zip(self.texts[i], self.texts[i][1:], strict=False)}), np.int64)
         if self.kind == BPE:
             self._splits()
 
+    def parts(self, word: str) -> list[str]:
+        """A long word cut where no piece has the characters on either side next to each other: nothing spans such a place."""
+        c = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = c[:-1] << 32 | c[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
+        cut = np.flatnonzero(self.pairs[at] != pair) + 1 if len(self.pairs) else np.arange(1, len(c))
+        return [word[a:b] for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(word)], strict=True)]
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1: none. The leading bits say where in the sorted keys a hash would stand."""
         out = np.full(hashes.shape, -1, np.int32)
@@ -225,6 +237,15 @@ def viterbi(pieces: Pieces, chars: np.ndarray) -> list[list[int]]:
 def encode_words(pieces: Pieces, words: list[str]) -> list[list[int]]:
     """Ids of words (spaces as SPACE); characters without a piece are spelled in byte pieces, or unknown where there are none."""
     out: list[list[int]] = [[] for _ in words]
+    long = [i for i, w in enumerate(words) if len(w) > LONG]
+    if long:
+        parts = [pieces.parts(words[i]) for i in long]
+        distinct = list({p for own in parts for p in own if len(own) > 1})
+        ids = dict(zip(distinct, encode_words(pieces, distinct), strict=True))
+        done = {i for i, own in zip(long, parts, strict=True) if len(own) > 1}
+        for i, own in zip(long, parts, strict=True):
+            out[i] = [x for p in own for x in ids[p]] if i in done else []
+        words = ["" if i in done else w for i, w in enumerate(words)]
     length = np.array([len(w) for w in words], np.int64)
     none = len(pieces.texts)
     for size in np.unique(length[length > 0]).tolist():
@@ -259,7 +280,8 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.known, self.start, self.length, self.pool = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known: dict[bytes, int] = {}  # place in start and length
+        self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and len + 1 offsets of the rows."""
@@ -273,22 +295,18 @@ class Encoder:
         begin[1:] &= ~space[:-1]
         begin[first] = True
         starts = np.flatnonzero(begin)
-        ends = np.append(starts[1:], len(buf))[: len(starts)]
-        hashes, at, each = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        distinct, each = distinct_spans(buf, np.append(starts, len(buf)) if len(starts) else np.zeros(1, np.int64))
+        distinct = distinct.to_pylist()
         if len(self.known) > REMEMBERED:
             self._forget()
-        place = np.searchsorted(self.known, hashes)
-        new = self.known[np.minimum(place, len(self.known) - 1)] != hashes if len(self.known) else np.ones(len(hashes), bool)
-        data = buf.tobytes()
-        words = [data[s:e].decode("utf-8", "replace").replace(" ", SPACE) for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-        ids = encode_words(self.pieces, words)
+        fresh = [w for w in distinct if w not in self.known]
+        ids = encode_words(self.pieces, [w.decode("utf-8", "replace").replace(" ", SPACE) for w in fresh])
         length = np.array([len(x) for x in ids], np.int64)
         flat = np.array([i for x in ids for i in x], np.uint32)
-        start = len(self.pool) + np.cumsum(length) - length
+        self.known.update(zip(fresh, range(len(self.length), len(self.length) + len(fresh)), strict=True))
+        self.start, self.length = np.append(self.start, len(self.pool) + np.cumsum(length) - length), np.append(self.length, length)
         self.pool = np.concatenate([self.pool, flat])
-        self.known = np.insert(self.known, place[new], hashes[new])
-        self.start, self.length = np.insert(self.start, place[new], start), np.insert(self.length, place[new], length)
-        use = np.searchsorted(self.known, hashes)[each]
+        use = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[each]
         length = self.length[use]
         ends_ = np.cumsum(length)
         index = np.arange(ends_[-1] if len(ends_) else 0) + np.repeat(self.start[use] - ends_ + length, length)

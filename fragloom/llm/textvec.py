@@ -1,4 +1,4 @@
-"""UTF-8 text columns as numpy arrays: words, word hashes and sums for each row without a loop over words."""
+"""UTF-8 text columns as numpy arrays: words, distinct words and sums for each row without a loop over all words."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer row is a slice of its own.
 SLICE_BYTES = 2 << 20
 _BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -86,21 +86,29 @@ class Words:
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def distinct(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, and the number of each word's: their bytes are compared, so no two words are taken for one."""
+        inside = np.zeros(len(self.buf) + 1, np.int8)
+        inside[self.starts] = 1
+        inside[self.ends] -= 1
+        return distinct_spans(self.buf[np.cumsum(inside, dtype=np.int8)[:-1] > 0], np.append(0, np.cumsum(self.ends - self.starts)))
+
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.buf, self.starts, self.ends)
-
-
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[starts:ends], equal for equal bytes wherever they stand."""
-    n = len(buf)
-    if not n or not len(starts):
-        return np.zeros(len(starts), U)
-    power = np.multiply.accumulate(np.full(n, _BASE, U))
-    sums = np.zeros(n + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * power, out=sums[1:])
-    inverse = np.multiply.accumulate(np.full(n, _INVERSE, U))
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h ^ ((ends - starts).astype(U) << U(56)))
+        """XXH64 of each word."""
+        words, each = self.distinct()
+        return digests(words)[each]
+
+
+def distinct_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values of data[offsets[i]:offsets[i + 1]] in order of their first places, and the number of each span's."""
+    offsets = np.ascontiguousarray(offsets, np.int64)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return spans.dictionary, spans.indices.to_numpy(zero_copy_only=False)
+
+
+def digests(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """XXH64 of each value."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()), U, len(words))
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

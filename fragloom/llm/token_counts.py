@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import docs_of
-from .textvec import U, Words, row_sums, slices
+from .textvec import Words, row_sums, slices
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of pieces in one call of the encoder.
 BATCH_BYTES = 256 << 10
-#: Pieces whose lengths a task remembers; then it begins anew (24 MB).
-REMEMBERED = 1_000_000
+#: Pieces whose lengths a task remembers; then it begins anew (some 30 MB).
+REMEMBERED = 200_000
 
 
 def check_safe(spec: dict) -> None:
@@ -40,47 +40,40 @@ def counts(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    known, lengths = np.zeros(0, U), np.zeros(0, np.int64)
+    known: dict[bytes, int] = {}
     for batch in slices(batches):
         words = Words(batch.column("text"), lower=False)
-        hashes, at, each = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        place = np.searchsorted(known, hashes)
-        if len(known):
-            new = known[np.minimum(place, len(known) - 1)] != hashes
-        else:
-            new = np.ones(len(hashes), bool)
-        fresh = encode(tokenizer, words, at[new])
-        if len(known) > REMEMBERED:
-            old = lengths[place[~new]]
-            known = hashes
-            lengths = np.empty(len(hashes), np.int64)
-            lengths[new], lengths[~new] = fresh, old
-        else:
-            known = np.insert(known, place[new], hashes[new])
-            lengths = np.insert(lengths, place[new], fresh)
-        n = row_sums(lengths[np.searchsorted(known, hashes)][each], words.first)
+        distinct, each = words.distinct()
+        distinct = distinct.to_pylist()
+        fresh = [w for w in distinct if w not in known]
+        own = dict(zip(fresh, encode(tokenizer, fresh), strict=True))
+        lengths = np.fromiter((own[w] if w in own else known[w] for w in distinct), np.int64, len(distinct))
+        if len(known) + len(own) > REMEMBERED:
+            known = {}
+        known |= own
+        n = row_sums(lengths[each], words.first)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(np.diff(words.offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
         )
 
 
-def encode(tokenizer, words: Words, which: np.ndarray) -> np.ndarray:
-    """Token counts of the pieces `which`, encoded in batches of equal bytes."""
-    out = np.zeros(len(which), np.int64)
-    data = words.raw.tobytes()
-    starts, ends = words.starts[which], words.ends[which]
-    batch = (np.cumsum(ends - starts) // BATCH_BYTES) if len(which) else np.zeros(0, np.int64)
-    for lo, hi in zip(*(np.searchsorted(batch, np.unique(batch), side) for side in ("left", "right")), strict=True):
-        texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
-        out[lo:hi] = [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+def encode(tokenizer, words: list[bytes]) -> list[int]:
+    """Token counts of the pieces, encoded in batches of equal bytes."""
+    out: list[int] = []
+    batch = np.cumsum([len(w) for w in words]) // BATCH_BYTES
+    ends = np.searchsorted(batch, np.unique(batch), "right").tolist() if words else []
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        texts = [w.decode("utf-8", "replace") for w in words[lo:hi]]
+        out += [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     return out
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs.
 
-    Null or empty text: 0 bytes, 0 tokens. Rows are independent, so repeated rows and ids stay as they are; an empty
-    table gives an empty one; other columns are ignored. Very long texts are cut into pieces like any other.
+    Null or empty text: 0 bytes, 0 tokens. Rows are independent, so repeated rows, equal texts and null ids stay as they
+    are, and there are no ties; an empty table gives an empty one; other columns, whatever their names, are ignored. Very
+    long texts are cut into pieces like any other; a text without white space is a single piece.
     """
     import os
 

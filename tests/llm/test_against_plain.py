@@ -25,7 +25,10 @@ def texts(docs):
     return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
 
 
-STRANGE = ["", " ", "  a  b\n", "日本 <s> </s> <0x41>", "it's <|endoftext|> A\u0301b x<|startoftext|>y", "𓀀𓀁 x", "    def f(x):\n\treturn x", "“naïve” — café", "\u0301 a \u00a0 b", "x" * 3000]
+thue = lambda n, a, b: "".join(b if i.bit_count() % 2 else a for i in range(n))
+#: The two halves of each row have one value under any polynomial hash modulo 2 ** 64.
+TWINS = [f"{thue(n, a, b)} {thue(n, b, a)}" for n, a, b in ((2048, "a", "q"), (4096, "e", "9"))]
+STRANGE = [*TWINS, "日本語の文章です。空白がありません" * 30, "", " ", "  a  b\n", "日本 <s> </s> <0x41>", "it's <|endoftext|> A\u0301b x<|startoftext|>y", "𓀀𓀁 x", "    def f(x):\n\treturn x", "“naïve” — café", "\u0301 a \u00a0 b", "x" * 3000]
 
 
 def test_token_counts(spark, texts):
@@ -166,11 +169,54 @@ def test_media_round_trip():
     assert media.demux(b"")["streams"] == []
 
 
+def test_media_finds_packets_again():
+    r = random.Random(5)
+    payload = media.padded(bytes(r.randrange(256) for _ in range(100_000)))
+    stream = media.mux(payload)
+    for at in (188 * 20, 188 * 20 + 50, 188 * 3):
+        stray = media.demux(stream[:at] + b"\x00" + stream[at:])
+        assert stray["bad_sync"] == 1 and stray["packets"] >= len(stream) // 188 - 1
+        one = stray["streams"][0]
+        assert one["payload"] == payload and one["breaks"] == 0 if at % 188 == 0 else one["breaks"] <= 1
+    short = media.demux(stream[: 188 * 40 + 90] + stream[188 * 40 + 91 :])  # a byte of packet 40 is lost, and so the packet
+    assert short["packets"] == len(stream) // 188 - 1 and short["streams"][0]["breaks"] == 1 and len(short["streams"][0]["payload"]) == len(payload) - 184
+    twice = media.demux(stream[: 188 * 30] + stream[188 * 29 :])  # a packet said again
+    assert twice["streams"][0]["payload"] == payload and twice["streams"][0]["breaks"] == 0
+    assert media.demux(b"no stream at all" * 100)["packets"] == 0
+
+
+def test_media_tables_over_several_packets():
+    maps = [media._section(2, bytes([0xE1 + i // 200, i % 200, 0xF0, 0]) + bytes([media.PRIVATE, 0xE1, i, 0xF0, 0])) for i in range(3)]
+    programs = b"".join((i + 1).to_bytes(2, "big") + (0xE000 | 0x1000 + i).to_bytes(2, "big") for i in range(61))
+    table, second = media._section(0, programs), media._section(0, b"\x00\x63\xf0\x63")
+    flow, cut = table + second, 183  # the second packet's pointer says where the second section begins
+    head = lambda pid, begin, count: bytes([0x47, begin << 6 | pid >> 8, pid & 255, 0x10 | count])
+    packets = head(0, 1, 0) + b"\x00" + flow[:cut]
+    packets += head(0, 1, 1) + bytes([len(table) - cut]) + flow[cut:].ljust(183, b"\xff")
+    packets += b"".join((head(0x1000 + i, 1, 0) + b"\x00" + m).ljust(188, b"\xff") for i, m in enumerate(maps))
+    out = media.demux(packets)
+    assert len(out["programs"]) == 62 and out["programs"][0x63] == 0x1063 and [s["pid"] for s in out["streams"]] == [0x100, 0x101, 0x102]
+
+
 def test_media_columns(spark, odd):
+    import hashlib
+    import zlib
+
     rows = media.parse(media.store(odd)).collect()
     assert len(rows) == odd.count() and all(r.breaks == 0 and r.pid == media.DATA_PID for r in rows)
     by = {r.doc_id: r.payload for r in rows}
     assert by[9].rstrip(b"\0").decode() == "Zwei Wörter"
+    streams = {r.doc_id: r.media for r in media.store(odd).collect()}
+    for r in media.digests(media.store(odd)).collect():
+        text = next((x.text or "").encode() for x in odd.collect() if x.doc_id == r.doc_id)
+        payload = text + bytes(64 if not text else -len(text) % 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(streams[r.doc_id]), hashlib.sha256(streams[r.doc_id]).hexdigest())
+        units = -(-len(payload) // media.UNIT)
+        assert r.timestamps == ",".join(str(i * media.TICKS) for i in range(units)) and len(r.access_points.split(",")) == units
+        for point in r.access_points.split(","):
+            at = int(point.split("@")[1])
+            assert streams[r.doc_id][at] == 0x47 and streams[r.doc_id][at + 5] & 0x40 and at % 188 == 0
 
 
 def test_lm_base_and_gain(spark, docs, texts):
