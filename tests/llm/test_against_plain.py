@@ -441,6 +441,42 @@ def test_urls_in_sql(spark):
     assert got.values.tolist() == expected.values.tolist() and got["distrust"].nunique() > 3
 
 
+def test_verdicts_of_a_large_graph(spark):
+    r = random.Random(12)
+    hosts = [f"h{i}." + r.choice(["com", "net", "org", "zz", "example.com"]) for i in range(2000)]
+    rows, out = [], {h: {} for h in hosts}
+    for i in range(6000):
+        h = hosts[int(len(hosts) * r.random() ** 2)]
+        path = r.choice(["en/1", "de/2", "es/3", "en/7x", "fr/9", "q"])
+        to = [r.choice(hosts) for _ in range(r.randint(0, 4))] + [h] * (i % 2)
+        rows.append((i, f"http://{h}/{path}", "".join(f"<a href='https://{x}/y'>" for x in to[: len(to) - i % 2]) + "<a href=/own>" * (i % 2) + "<a href='mailto:a@b.c'>"))
+        for x in to:
+            out[h][x] = out[h].get(x, 0) + 1
+    got = {x.page_id: x for x in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    n = {h: i for i, h in enumerate(hosts)}
+    seeds = np.zeros((len(hosts), 3))
+    for i, url, _ in rows:
+        h = url.split("/")[2]
+        rule = got[i].rule
+        seeds[n[h]] += [rule in ("example.com/en/7",), rule is not None and rule != "example.com/en/7", 1]
+    m = np.zeros((len(hosts), len(hosts)))
+    for h, to in out.items():
+        for x, c in to.items():
+            m[n[x], n[h]] += c
+    walk = lambda m, s: [x := s] and [x := 0.15 * s + 0.85 * (m @ (x / np.where(m.sum(0) > 0, m.sum(0), 1)[:, None]) + np.where(m.sum(0) > 0, 0, 1)[:, None] * x) for _ in range(url_filters.ROUNDS)][-1]
+    trust, neutral = walk(m, seeds[:, [0, 2]]).T
+    distrust = walk(m.T, seeds[:, [1]])[:, 0]
+    bad = (distrust > url_filters.THRESHOLD * neutral + 1e-9) & (distrust > trust + 1e-9)
+    moved = 0
+    for i, url, _ in rows:
+        h = n[url.split("/")[2]]
+        assert (got[i].trust, got[i].distrust, got[i].neutral) == pytest.approx((trust[h], distrust[h], neutral[h]), abs=2e-6)
+        if got[i].rule is None:
+            assert got[i].verdict == ("block" if bad[h] else "allow")
+            moved += bad[h] != ((seeds[h, 1] > 0.5 * seeds[h, 2]) & (seeds[h, 1] > seeds[h, 0]))
+    assert moved > 20  # the walk decides, not the host's own pages
+
+
 def test_distrust_flows_against_links(spark):
     page = "<a href='http://{0}/x'>"
     rows = [(i, f"http://spam{i}.com/en/1", "") for i in range(3)] + [(10 + i, f"http://farm.zz/{i}", "".join(page.format(f"spam{j}.com") for j in range(3))) for i in range(2)]

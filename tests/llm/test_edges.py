@@ -72,7 +72,7 @@ def test_odd_pages(spark):
     pages = spark.createDataFrame(
         [(1, None, None, "x"), (2, "", "", "x"), (3, "no scheme", None, "x"), (4, "HTTP://A.Example.COM/en/7?x", None, "x"), (4, "HTTP://A.Example.COM/en/7?x", None, "x"), (None, "x://net#f", "<a href=//b.c/>", "x")],
         "page_id long, url string, html string, verdict string",
-    )
+    ).selectExpr("*", "url as host", "url as path", "url as rule", "1 as trust", "2 as distrust", "3 as neutral", "4 as ruled", "5 as src")
     got = {r.page_id: r for r in url_filters.judge(pages).collect()}
     assert all(got[i].host == "" and got[i].path == "" and got[i].rule is None and got[i].verdict == "allow" for i in (1, 2, 3))
     assert (got[4].host, got[4].path, got[4].rule, got[4].verdict) == ("a.example.com", "/en/7", "example.com/en/7", "allow")
