@@ -2,12 +2,14 @@
 
 A classifier of hashed byte trigrams, trained on the labelled table's documents, gives each document a posterior over
 domains. Document rates r >= 0 then make the expected token totals of the domains, sum_i n_i p_i r_i, match the targets in the
-least-squares sense. Projected gradient steps in the metric of the documents' own second moments start from rates of 1; a
-step needs one vector of sums over all documents, and a document's rate follows from its posterior and those vectors.
+least-squares sense. Projected gradient steps start from rates of 1, in the metric of the second moments of those documents
+whose rates aren't at the bound; a step needs sums over all documents, and a document's rate follows from its posterior and
+the steps' vectors.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +23,10 @@ from .textvec import LOWER, SPACE, row_sums, slices, utf8
 
 #: Hashed trigrams; bound of the training sample (labelled documents with the smallest hashes of their ids).
 KINDS, SAMPLE = 8_192, 2_000
-STEPS, CLOSE = 25, 1e-7
+#: Steps at most, and the change of the totals, as a share of all tokens, below which they have settled.
+STEPS, CLOSE = 60, 1e-6
+#: Share of all documents' second moments in the metric, whatever their rates.
+LEAST_MOMENT = 1e-3
 #: Target weights of the query, by domain.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
@@ -123,7 +128,7 @@ def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def rate(posterior: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
-    """Rates after the steps so far: each adds the posterior's product with a vector and projects onto r >= least."""
+    """Rates after the steps so far: each subtracts the posterior's product with a vector and projects onto r >= least."""
     r = np.ones(len(posterior))
     for g in steps:
         r = np.maximum(least, r - posterior @ g)
@@ -155,33 +160,54 @@ def rates(members: DataFrame, targets: dict[str, float] | None, domains: tuple[s
     moment = sums(lambda n, p: (p.T * n @ p).ravel(), d * d).reshape(d, d)
     own = moment.sum(1)
     if not own.sum():
-        return [], {"domains": domains, "targets": own.tolist(), "expected": own.tolist(), "distance": 0.0}
+        return [], {"domains": domains, "targets": own.tolist(), "expected": own.tolist(), "distance": 0.0, "settled": True}
     share = own / own.sum()
     weight = np.array([targets.get(x, 0.0) for x in domains]) if targets else share**power
-    total = own.sum() * (max(least, float(np.max(least * share / np.maximum(weight / weight.sum(), 1e-12)))) if least else 1.0)
-    goal = weight / weight.sum() * total
-    metric = np.linalg.pinv(moment, rcond=1e-9, hermitian=True)
-    steps: list[np.ndarray] = []
+    weight = weight / weight.sum() if weight.sum() else share
+    asked = weight > 0
+    total = own.sum() * (max(least, float((least * share[asked] / weight[asked]).max())) if least else 1.0)
+    goal = weight * total
+    inverse = lambda m: np.linalg.pinv(m, rcond=1e-9, hermitian=True)
+    steps, now, settled = [inverse(moment) @ (own - goal)], own, False
+
+    def at(steps: tuple):
+        """Totals at the rates so far, and the second moments of the documents that aren't at the bound."""
+        def what(n, p):
+            r = rate(p, steps, least)
+            free = r > least
+            return np.concatenate([p.T @ (n * r), (p[free].T * n[free] @ p[free]).ravel()])
+
+        return what
+
     for _ in range(STEPS):
-        now = sums(lambda n, p, s=tuple(steps): p.T @ (n * rate(p, s, least)), d) if steps else own
-        if np.abs(now - goal).sum() <= CLOSE * total:
+        before, got = now, sums(at(tuple(steps)), d + d * d)
+        now = got[:d]
+        settled = bool(min(np.abs(now - goal).sum(), np.abs(now - before).sum()) <= CLOSE * total)
+        if settled:
             break
-        steps.append(metric @ (now - goal))
+        steps.append(inverse(got[d:].reshape(d, d) + LEAST_MOMENT * moment) @ (now - goal))
     else:
-        now = sums(lambda n, p, s=tuple(steps): p.T @ (n * rate(p, s, least)), d)
-    return steps, {"domains": domains, "targets": goal.tolist(), "expected": now.tolist(), "distance": float(np.abs(now - goal).sum())}
+        steps = steps[:-1]
+    distance = float(np.abs(now - goal).sum())
+    if not settled:
+        warnings.warn(f"rates have not settled after {STEPS} steps; {distance:.0f} of {total:.0f} tokens are off", stacklevel=2)
+    return steps, {"domains": domains, "targets": goal.tolist(), "expected": now.tolist(), "distance": distance, "settled": settled}
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = TARGETS, domain: str = "lang") -> DataFrame:
-    """doc_id, n_tokens, domain, posterior (of that likeliest domain), rate of each row.
+    """doc_id, n_tokens, domain, posterior (of that likeliest domain), rate of each row, target and reached (that domain's share
+    of the expected tokens, as asked and as the rates make it).
 
     Rates are expected copies of a document in the mixture. Null or empty text has the prior as posterior and no tokens,
-    and so a rate that no total depends on. Repeated rows are alike and each counts; an empty table gives an empty one;
-    without labelled documents there is one domain and rates of the target's share; null domains don't train.
+    and so a rate that no total depends on. Repeated rows and null ids are alike and each counts; very long texts count with
+    all their words; of equally likely domains the first by name is given; an empty table gives an empty one; without
+    labelled documents, or without one of a domain that has a target, rates stay 1; null domains don't train; other
+    columns of either table, whatever their names, are ignored.
     """
     classifier = fit(docs, labels, domain)
     members = written(memberships(docs, classifier), "memberships")
-    steps, _ = rates(members, targets, classifier.domains)
+    steps, report = rates(members, targets, classifier.domains)
+    target, reached = (np.array(report[k]) / max(sum(report[k]), 1e-300) for k in ("targets", "expected"))
 
     def run(batches):
         for batch in batches:
@@ -189,18 +215,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = T
                 continue
             p = batch.column("posterior").flatten().to_numpy().reshape(batch.num_rows, -1)
             best = p.argmax(1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_tokens"), pa.array([classifier.domains[i] for i in best.tolist()]), pa.array(p[np.arange(len(p)), best]), pa.array(rate(p, steps, 0.0))],
-                ["doc_id", "n_tokens", "domain", "posterior", "rate"],
-            )
+            values = (pa.array([classifier.domains[i] for i in best.tolist()]), *(pa.array(x) for x in (p[np.arange(len(p)), best], rate(p, steps, 0.0), target[best], reached[best])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), *values], ["doc_id", "n_tokens", "domain", "posterior", "rate", "target", "reached"])
 
-    return members.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior double, rate double")
+    return members.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior double, rate double, target double, reached double")
 
 
-def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "lang") -> DataFrame:
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = TARGETS, domain: str = "lang") -> DataFrame:
     """docs with each row as often as its rate says: floor(rate), and once more where a hash of its id and text falls below the rest.
 
-    Rates are at least 1, so that no document is lost: the mixture grows where a domain needs more. Copies keep their id.
+    Rates are at least 1, so that no document is lost: the mixture grows where a domain needs more. Copies keep their id and
+    all columns. Null and empty texts have the prior's rate, repeated rows and null ids one rate each by their text, very
+    long texts are read whole; an empty table gives an empty one.
     """
     classifier = fit(docs, labels, domain)
     members = written(memberships(docs, classifier), "memberships")

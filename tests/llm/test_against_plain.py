@@ -102,6 +102,30 @@ def test_mixing_with_rates_at_zero(spark):
     assert (r >= 0).all() and r[:9].max() < 0.2 and best[1] == 0
 
 
+@pytest.mark.parametrize(("weights", "least"), [((0.6, 0.3, 0.1), 0.0), ((0.0, 0.0, 1.0), 0.0), ((0.2, 0.2, 0.6), 1.0)])
+def test_rates_against_plain_descent(spark, weights, least):
+    r = np.random.default_rng(3)
+    p, n = r.dirichlet([0.4, 0.3, 0.2], 60) * 0.9 + 0.1 / 3, r.integers(0, 50, 60)
+    members = spark.createDataFrame([(i, int(k), [float(v) for v in x]) for i, (k, x) in enumerate(zip(n, p, strict=True))], "doc_id long, n_tokens long, posterior array<double>")
+    steps, report = mixing.rates(members, dict(zip("abc", weights, strict=True)), ("a", "b", "c"), least)
+    ours, goal = mixing.rate(p, steps, least), np.array(report["targets"])
+    assert report["settled"] and np.allclose(report["expected"], p.T @ (n * ours)) and (ours >= least).all()
+    a = (p * n[:, None]).T
+    metric = np.linalg.inv(a @ p)
+    plain_, step = np.ones(60), 1 / np.linalg.eigvalsh(a.T @ metric @ a).max()
+    for _ in range(20_000):
+        plain_ = np.maximum(least, plain_ - step * a.T @ (metric @ (a @ plain_ - goal)))
+    miss = lambda x: float((a @ x - goal) @ metric @ (a @ x - goal))
+    assert miss(ours) <= miss(plain_) * 1.02 + 1e-6 * n.sum()
+
+
+def test_mixing_without_any_domain(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.rate for r in mixing.mix(docs, none).collect()} == {1.0} and mixing.mixture(docs, none).count() == docs.count()
+    got = mixing.mix(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    assert all(r.reached == pytest.approx(r.target, abs=1e-5) and r.target == mixing.TARGETS[r.domain] for r in got)
+
+
 def test_fingerprints(spark, docs, texts):
     import hashlib
 
