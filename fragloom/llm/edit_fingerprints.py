@@ -6,8 +6,9 @@ distance: after an edit the walks soon stand on the same character again. A fing
 steps, one hex digit (a hash of the characters from there) a step. The grid's width doubles with the text's length class,
 so that grids of two classes are nested and any two fingerprints can be compared.
 
-Near pairs come from banding: digits at sampled grid places make keys, documents that share a key are compared with the
-smallest of the key, and the likeness of whole fingerprints verifies them.
+Near pairs come from banding: digits at sampled grid places make keys, and the likeness of whole fingerprints verifies
+documents that share one. First all of a key are compared with its smallest, which joins a group of copies at a link each;
+where that leaves several parts of a key, the pairs across its parts are compared, too.
 """
 
 from __future__ import annotations
@@ -21,18 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import docs_of, parts, written
-from .textvec import release, slices
+from .shared import blocks, docs_of, parts, written
+from .textvec import U, mix, release, slices
 
 #: Steps of a walk: three times the upper bound of the length class; grid places of a walk; the least class (2 ** 8 characters).
 LENGTHS, PLACES, LEAST = 3, 192, 8
 #: Steps that one table look-up makes, and the look-up tables after which the shared bits repeat.
 HOP, TABLES = 4, 64
-BANDS, DIGITS, NEAR = 12, 5, 0.8
+#: Bands; digits that a band samples from the first and the second half of SPAN places; likeness of near fingerprints.
+BANDS, DIGITS, SPAN, NEAR = 16, (5, 3), 128, 0.8
+#: A text of so many times its class's most digits may have a near one in the next class.
+UPWARD = 0.65
+#: Rows of a block of a key whose parts are compared.
+BLOCK = 1_024
 #: Bytes of text whose walks go on together (and as many of edited texts): about 25 bytes of memory for each.
 SLICE = 2 << 20
-#: Ranges of ids at most; a range is sorted on disk and read slice by slice, so its size is no matter of memory.
-RANGES = 4_096
 _PAD = ord(".")
 
 
@@ -144,98 +148,159 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [x.split()[0] for x in COMPARED.split(", ")]
+#: Rows of ranges: compared ones, and one for each range, whose last text waits for the next range's first.
+_RANGED = COMPARED + ", from long, first string, last string"
 
 
-def _compare(ids: list, texts: list[np.ndarray], after: np.ndarray) -> pa.RecordBatch:
-    """Rows of COMPARED for consecutive documents; after: the text that follows the last."""
+def _compare(ids: list, texts: list[np.ndarray], after: list[np.ndarray]) -> list[pa.Array]:
+    """Columns of COMPARED for documents and the texts that follow them."""
     edited = []
-    for t, u in zip(texts, [*texts[1:], after], strict=True):
+    for t, u in zip(texts, after, strict=True):
         half = len(t) // 2
         edited.append(np.concatenate([t[: len(t) - half], u[:half]]))
-    made = fingerprints_of([*texts, after, *edited])
-    own, new = made[: len(texts) + 1], made[len(texts) + 1 :]
-    columns = [
+    once = {id(t): t for t in (*texts, *after)}  # the text after a document is mostly the next document's own
+    made = fingerprints_of([*once.values(), *edited])
+    of = dict(zip(once, made, strict=False))
+    own, new, next_ = [of[id(t)] for t in texts], made[len(once) :], [of[id(t)] for t in after]
+    return [
         pa.array(ids, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(e.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest() for e in edited]),
-        pa.array(own[:-1]),
-        pa.array(new),
-        pa.array([likeness(a, b) for a, b in zip(own, new, strict=False)]),
-        pa.array([likeness(a, b) for a, b in zip(own, own[1:], strict=False)]),
+        pa.array([hashlib.sha256(e.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
+        pa.array(own, pa.string()),
+        pa.array(new, pa.string()),
+        pa.array([likeness(a, b) for a, b in zip(own, new, strict=True)], pa.float64()),
+        pa.array([likeness(a, b) for a, b in zip(own, next_, strict=True)], pa.float64()),
     ]
-    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in COMPARED.split(", ")])
 
 
-def _range(bounds: list[int], at: F.Column, low: int = 0) -> F.Column:
-    """How many of the sorted bounds lie above `at`, by halving."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(at >= bounds[mid], _range(bounds[mid + 1 :], at, low)).otherwise(_range(bounds[:mid], at, low + len(bounds) - mid))
+def _text(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def compared_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each row's text and of its edited text, and their likeness to the row's own and the next row's.
 
     Rows follow one another in descending doc_id (rows of equal id by their text, descending; null ids last), and the
-    first follows the last. Ids are cut into ranges of about equal counts; each range also gets the first row of the next
-    range, so that texts are shuffled once and no row waits for another range.
+    first follows the last. Texts are shuffled once, into ranges of ids, which are sorted on disk and read slice by slice.
+    What a range's last row needs, the first text of the next range, is joined afterwards: a row for each range.
     """
     spark = docs.sparkSession
     rows = docs_of(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "doc_id", "text")
-    ranges = min(parts(docs), RANGES)
-    bounds = sorted({int(x) for x in rows.approxQuantile("id", [i / ranges for i in range(1, ranges)], 1 / (10 * ranges))}) if ranges > 1 else []
-    cut = rows.withColumn("part", _range(bounds, F.col("id")).cast("int"))
-    first = {r["part"]: r["id"] for r in cut.groupBy("part").agg(F.max("id").alias("id")).collect()}  # one id for each range
-    order = sorted(first)
-    if not order:
-        return spark.createDataFrame([], COMPARED)
-    to = spark.createDataFrame([(first[p], order[i - 1]) for i, p in enumerate(order)], "id long, part int")  # one row for each range
-    heads = rows.join(F.broadcast(to), "id").groupBy("id", "part").agg(F.max("text").alias("text"))
-    heads = heads.select("id", F.lit(None).cast("long").alias("doc_id"), "text", "part", F.lit(True).alias("head"))
-    both = cut.withColumn("head", F.lit(False)).unionByName(heads)
-    both = both.repartitionByRange(len(order), "part").sortWithinPartitions("part", "head", F.desc("id"), F.desc("text"))
+    ranged = rows.repartitionByRange(max(1, parts(docs)), F.desc("id")).sortWithinPartitions(F.desc("id"), F.desc("text"))
+    names = [x.split()[0] for x in _RANGED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        ids, texts, now = [], [], None
+        ids, texts, from_, first = [], [], None, ""
         for batch in slices(batches, most=SLICE):
-            heads, part_of, own = batch.column("head").to_pylist(), batch.column("part").to_pylist(), batch.column("doc_id").to_pylist()
-            for i, (head, t) in enumerate(zip(heads, _points(batch.column("text")), strict=True)):
-                if head:
-                    if ids:
-                        yield _compare(ids, texts, t)
-                    ids, texts = [], []
-                else:
-                    ids.append(own[i])
-                    texts.append(t)
-                    now = part_of[i]
+            if from_ is None:
+                from_, first = batch.column("id")[0].as_py(), batch.column("text")[0].as_py()
+            ids += batch.column("doc_id").to_pylist()
+            texts += _points(batch.column("text"))
             if len(ids) > 1:
-                yield _compare(ids[:-1], texts[:-1], texts[-1])
+                none = [pa.nulls(len(ids) - 1, k) for k in (pa.int64(), pa.string(), pa.string())]
+                yield pa.RecordBatch.from_arrays([*_compare(ids[:-1], texts[:-1], texts[1:]), *none], names)
                 ids, texts = ids[-1:], texts[-1:]
             release()
         if ids:
-            raise RuntimeError(f"range {now} has no row that follows it")
+            none = [pa.nulls(1, k) for k in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *none, pa.array([from_]), pa.array([first]), pa.array([_text(texts[0])])], names)
+
+    made = written(ranged.mapInArrow(run, _RANGED), "ranges")
+    ends = made.where("first is not null")
+    order = sorted((r[0] for r in ends.select("from").collect()), reverse=True)  # a number for each range
+    if not order:
+        return spark.createDataFrame([], COMPARED)
+    after = spark.createDataFrame(list(zip(order, [*order[1:], order[0]], strict=True)), "from long, to long")
+    ends = ends.select("from", "doc_id", "last").join(after, "from").join(ends.select(F.col("from").alias("to"), "first"), "to")
+
+    def finish(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches, "last", SLICE):
+            yield pa.RecordBatch.from_arrays(_compare(batch.column("doc_id").to_pylist(), _points(batch.column("last")), _points(batch.column("first"))), _NAMES)
+
+    return made.where("first is null").select(*_NAMES).unionByName(ends.select("doc_id", "last", "first").mapInArrow(finish, COMPARED))
+
+
+def grid_of(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each fingerprint, and its digits in a row of twice as many places as a walk has."""
+    grid = np.full((len(prints), 2 * PLACES), _PAD, np.uint8)
+    for i, p in enumerate(prints):
+        grid[i, : len(p) - 2] = np.frombuffer(p[2:].encode(), np.uint8)
+    return np.array([int(p[:2], 16) for p in prints], np.int64), grid
 
-    return both.select("part", "head", "doc_id", "text").mapInArrow(run, COMPARED)
+
+def band_keys(prints: list[str], bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): hashes of the digits at each band's places, for a fingerprint's own class and, where it may have a near text of
+    the next class, for that one.
+
+    Classes are those of length, whose grids are nested; the least class, whose texts may have few digits, is parted by
+    their number, and places stand closer together in smaller parts. Places past the end count as such, so two near texts
+    agree there.
+    """
+    picks = np.random.default_rng(5)
+    places = [np.concatenate([picks.choice(SPAN // 2, n, replace=False) + half * (SPAN // 2) for half, n in enumerate(DIGITS)]) for _ in range(bands)]
+    level, grid = grid_of(prints)
+    digits, top = (grid != _PAD).sum(1), SPAN.bit_length() - 1
+    part = np.where(level > LEAST, top, np.clip(np.ceil(np.log2(np.maximum(digits, 1))), 3, top)).astype(np.int64)
+    rows, whole = np.arange(len(prints)), part == top
+    ups = rows[digits >= UPWARD * (1 << part)]
+    found = []
+    for own, lv, pt, step in ((rows, level, part, np.ones_like(part)), (ups, level + whole, np.where(whole, part, part + 1), 1 + whole)):
+        lv, pt, step = (x[own] for x in (lv, pt, step))
+        for b, at in enumerate(places):
+            h = mix((lv << 16 | pt << 8 | b).astype(U))
+            for p in at.tolist():
+                h = mix(h ^ grid[own, (p >> (top - pt)) * step].astype(U))
+            found.append((own, h))
+    return np.concatenate([x for x, _ in found]), np.concatenate([h for _, h in found])
+
+
+def joined(ids: np.ndarray, part: np.ndarray, prints: list[str], cross: np.ndarray | None, near: float) -> list[tuple[int, int]]:
+    """Links of near fingerprints of a key that join different parts (cross: the block of each row, of which only pairs across count)."""
+    _, of = np.unique(part, return_inverse=True)
+    level, grid = grid_of(prints)
+    found = []
+    for i in range(len(prints) - 1):
+        for apart in (-1, 0, 1):
+            at = i + 1 + np.flatnonzero((of[i + 1 :] != of[i]) & (level[i + 1 :] == level[i] + apart))
+            if cross is not None:
+                at = at[cross[at] != cross[i]]
+            if not len(at):
+                continue
+            x, y = grid[i : i + 1], grid[at]
+            x, y = x[:, :: 2 if apart == 1 else 1], y[:, :: 2 if apart == -1 else 1]
+            wide = min(x.shape[1], y.shape[1])
+            x, y = x[:, :wide], y[:, :wide]
+            has, have = x != _PAD, y != _PAD
+            m, n = np.minimum(has.sum(1), have.sum(1)), np.maximum(has.sum(1), have.sum(1))
+            close = ((x == y) & has).sum(1) - m / 16 >= near * (n - m / 16) - 1e-9
+            for j in at[close].tolist():
+                if of[i] != of[j] and likeness(prints[i], prints[j]) >= near:
+                    of[of == of[j]] = of[i]
+                    found.append((int(ids[i]), int(ids[j])))
+    return found
 
 
 def near_classes(prints: DataFrame, near: float = NEAR, bands: int = BANDS) -> DataFrame:
     """fingerprint, class_id (smallest doc_id): classes of fingerprints (doc_id, fingerprint) linked by banding and verified.
 
-    Copies collapse to one fingerprint first. Each band is a fixed sample of grid places; a fingerprint is compared with
-    the smallest one of its band's key, which costs a link and not a pair for each member. Bands carry hashes of fingerprints;
-    the fingerprints themselves join the pairs that are left.
+    Copies collapse to one fingerprint first. Of a key, all are compared with the smallest, and where several parts are
+    left, the pairs across them in blocks; so any two near fingerprints that share a key are linked. Bands carry hashes of
+    fingerprints; the fingerprints themselves join the pairs that are left.
     """
+    spark = prints.sparkSession
     distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc")).withColumn("id", F.xxhash64("fingerprint")), "distinct")
-    picks = np.random.default_rng(5)
-    keys = []
-    for b in range(bands):
-        at = sorted(picks.choice(np.arange(0, PLACES // 2), DIGITS, replace=False).tolist())
-        keys.append(F.xxhash64(F.lit(b), F.substring("fingerprint", 1, 2), *(F.substring("fingerprint", 3 + i, 1) for i in at)))
-    cut = distinct.where(F.length("fingerprint") > 2).select("id", F.explode(F.array(*keys)).alias("key"))
-    least = cut.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = cut.join(least, "key").where("id <> least").select("id", "least").distinct()
+
+    def keyed(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            row, key = band_keys(batch.column("fingerprint").to_pylist(), bands)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(key.view(np.int64))], ["id", "key"])
+
+    cut = distinct.where(F.length("fingerprint") > 2).select("id", "fingerprint").mapInArrow(keyed, "id long, key long")
+    least = cut.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    shared = written(cut.join(least, "key"), "keys")
     texts = distinct.select("id", "fingerprint")
+    pairs = shared.where("id <> least").select("id", "least").distinct()
     pairs = pairs.join(texts, "id").join(texts.select(F.col("id").alias("least"), F.col("fingerprint").alias("first")), "least")
 
     def verify(batches: Iterator[pa.RecordBatch]):
@@ -243,8 +308,27 @@ def near_classes(prints: DataFrame, near: float = NEAR, bands: int = BANDS) -> D
             a, b = batch.column("fingerprint").to_pylist(), batch.column("first").to_pylist()
             yield batch.filter(pa.array([likeness(x, y) >= near for x, y in zip(a, b, strict=True)], pa.bool_())).select(["a", "b"])
 
-    links = pairs.select(F.col("id").alias("a"), F.col("least").alias("b"), "fingerprint", "first").mapInArrow(verify, "a long, b long")
-    roots = connected_components(links)
+    links = written(pairs.select(F.col("id").alias("a"), F.col("least").alias("b"), "fingerprint", "first").mapInArrow(verify, "a long, b long"), "links")
+    part = connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("part"))
+    state = written(shared.join(part, "id", "left").select("key", "id", "n", F.coalesce("part", "id").alias("part")), "parts")
+    open_ = state.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    rest = blocks(state.join(open_, "key"), "id", BLOCK).join(texts, "id")
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
+        key = np.stack([table.column(c).to_numpy() for c in ("key", "lo", "hi")], 1)
+        ids, part_, own = (table.column(c).to_numpy() for c in ("id", "part", "own"))
+        prints_ = table.column("fingerprint").to_pylist()
+        at = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))), len(key)).tolist()
+        found = []
+        for s, e in zip(at[:-1], at[1:], strict=True):
+            found += joined(ids[s:e], part_[s:e], prints_[s:e], own[s:e] if key[s, 1] != key[s, 2] else None, near)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    more = rest.groupBy(F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: join(t), "a long, b long")
+    roots = connected_components(links.unionByName(more))
     named = roots.withColumnRenamed("node", "id").join(distinct.select("id", "doc"), "id")
     lead = named.join(named.groupBy("root").agg(F.min("doc").alias("class_id")), "root").select("id", "class_id")
     return distinct.join(lead, "id", "left").select("fingerprint", F.coalesce("class_id", "doc").alias("class_id"))
@@ -254,8 +338,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     """COMPARED and class_id of each row.
 
     Null or empty text: no characters, an empty edited text, fingerprints without digits, likeness 1 to another empty text
-    and 0 to others. A single row follows itself. Repeated rows have equal fingerprints; very long texts walk to their
-    end; an empty table gives an empty one; other columns are ignored.
+    and 0 to others, a class of their own. A single row follows itself. Repeated rows have equal fingerprints, and rows of
+    one id follow one another by their texts; null ids come last and name no class that has another id; very long texts walk
+    to their end; an empty table gives an empty one; other columns, whatever their names, are ignored.
     """
     rows = written(compared_with_next(docs), "fingerprints")
-    return rows.join(near_classes(rows.select("doc_id", "fingerprint")), "fingerprint").select(*[x.split()[0] for x in COMPARED.split(", ")], "class_id")
+    return rows.join(near_classes(rows.select("doc_id", "fingerprint")), "fingerprint").select(*_NAMES, "class_id")

@@ -63,3 +63,11 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def blocks(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """rows with own, lo and hi: the n rows of a group are dealt to blocks of about `size` by a hash of a column, and each row
+    goes to every pair (lo, hi) of blocks that has its own. So any two rows of a group meet."""
+    many = F.ceil(F.col("n") / size).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64(by), many).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
+    return dealt.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("with")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, merge
-from .shared import docs_of, written
+from .shared import blocks, docs_of, written
 from .textvec import U, Words, mix, release, shingles, slices, utf8
 
 RADIUS, WIDTH, SEED = 2, 3, 42
@@ -267,14 +267,6 @@ def alike_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "items", "others").mapInArrow(verify, "a long, b long")
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """rows with own, lo and hi: the n rows of a group are dealt to blocks of about `size`, and each row goes to every pair
-    (lo, hi) of blocks that has its own. So any two rows of a group meet."""
-    many = F.ceil(F.col("n") / size).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("same"), many).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
-    return dealt.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("with")
-
-
 def rejoined(same: np.ndarray, part: np.ndarray, fp: np.ndarray, items: list[bytes], cross: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
     """Links of alike rows within the radius that join different parts (cross: the block of each row, of which only pairs across count)."""
     _, of = np.unique(part, return_inverse=True)
@@ -315,7 +307,7 @@ def near_copies(docs: DataFrame, radius: int = NEAR) -> DataFrame:
     distinct = written(fps.groupBy("same").agg(F.min("doc_id").alias("doc"), by).select("same", "doc", "by.*"), "distinct")
     dealt = distinct.select("same", "fp", F.explode("least").alias("key"))
     large = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE)
-    dealt = blocks(dealt.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1))), LARGE // 2).where("n = 1 or lo <> hi")
+    dealt = blocks(dealt.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1))), "same", LARGE // 2).where("n = 1 or lo <> hi")
     dealt = dealt.select("same", "fp", F.when(F.col("n") > 1, F.xxhash64("key", "lo", "hi")).otherwise(F.col("key")).alias("key"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -341,7 +333,7 @@ def near_copies(docs: DataFrame, radius: int = NEAR) -> DataFrame:
     part = connected_components(sure).withColumnRenamed("root", "part")
     state = written(groups.join(part, "node", "left").select(F.col("node").alias("same"), "root", F.coalesce("part", "node").alias("part")), "parts")
     open_ = state.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high").select("root", "n")
-    rest = blocks(state.join(open_, "root"), BLOCK).join(distinct.select("same", "fp"), "same").join(sets, "same")
+    rest = blocks(state.join(open_, "root"), "same", BLOCK).join(distinct.select("same", "fp"), "same").join(sets, "same")
 
     def join_parts(table: pa.Table) -> pa.Table:
         table = table.sort_by([("root", "ascending"), ("lo", "ascending"), ("hi", "ascending")])

@@ -76,3 +76,31 @@ def prose(seed, n, vocabulary=400):
     pool = random.Random(5)
     vocabulary = ["".join(pool.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pool.randint(2, 9))) for _ in range(vocabulary)]
     return " ".join(r.choice(vocabulary) for _ in range(n))
+
+
+def edit_fingerprint(text, bits, places=192, lengths=3, least=8):
+    """A walk over the text one step at a time; bits[table][step][kind of character] says whether it goes on."""
+    m32 = 0xFFFFFFFF
+
+    def mix32(h):
+        h ^= h >> 16
+        h = h * 0x7FEB352D & m32
+        h ^= h >> 15
+        h = h * 0x846CA68B & m32
+        return h ^ h >> 16
+
+    n = len(text)
+    hashes = [mix32(ord(c) + 0x51ED2701 & m32) for c in text] + [mix32(0x51ED2701)] * 16
+    level = max(least, (n - 1).bit_length()) if n else least
+    every, at, out = (1 << level) * lengths // places // 4, 0, f"{level:02x}"
+    for hop in range(every * places):
+        if hop % every == 0:
+            if at >= n:
+                break
+            shown = sum(hashes[at + i] * (1 if not i else 2 * i * 0x9E3779B9 + 1 & m32) for i in range(8)) & m32
+            out += "0123456789abcdef"[mix32(shown) >> 28]
+        from_ = at
+        for step in range(4):
+            at += bits[hop % len(bits)][step][hashes[min(at, from_ + 3)] & 15]
+        at = min(at, n)
+    return out

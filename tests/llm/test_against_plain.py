@@ -130,13 +130,16 @@ def test_fingerprints(spark, docs, texts):
     import hashlib
 
     got = {r.doc_id: r for r in edit_fingerprints.document_fingerprints(docs).collect()}
+    bits = np.random.default_rng(20).integers(0, 2, (edit_fingerprints.TABLES, edit_fingerprints.HOP, 16), dtype=np.uint8).astype(int).tolist()
     order = sorted(texts, reverse=True)
-    points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
-    expected = dict(zip(order, edit_fingerprints.fingerprints_of([points(texts[d]) for d in order]), strict=True))
     for d, e in zip(order, order[1:] + order[:1], strict=True):
         t, u = texts[d], texts[e]
         edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
-        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[d].fingerprint == expected[d] and got[d].n_chars == len(t)
+        r = got[d]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(t)
+        if d % 4 == 0:
+            assert r.fingerprint == plain.edit_fingerprint(t, bits) and r.edited_fingerprint == plain.edit_fingerprint(edited, bits)
+        assert r.near_edited == edit_fingerprints.likeness(r.fingerprint, r.edited_fingerprint) and r.near_next == edit_fingerprints.likeness(r.fingerprint, got[e].fingerprint)
     assert np.mean([r.near_edited for r in got.values()]) > 0.4 > 0.1 > np.mean([r.near_next for r in got.values()])
 
 
@@ -159,6 +162,30 @@ def test_near_classes(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
+@pytest.mark.parametrize("block", [edit_fingerprints.BLOCK, 2])
+def test_near_classes_against_all_pairs(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(edit_fingerprints, "BLOCK", block)
+    r, base, rows = random.Random(1), "".join(texts.values()), []
+    for i in range(60):
+        for n in (2 ** r.choice([8, 9, 10, 11]) - r.randint(0, 8), r.randint(20, 130), r.randint(300, 3000)):
+            at, q = r.randrange(len(base) - 3000), r.randrange(n)
+            t = base[at : at + n]
+            rows += [t, t[:q] + "wxyz klmno"[: max(1, n // 30)] + t[q:]]
+    head = base[:500]
+    rows += [head + base[i : i + 300] for i in range(600, 9600, 300)]  # one header, whose keys are common
+    rows += [t[:-20] for t in rows[-30:]]
+    got = {x.doc_id: x for x in edit_fingerprints.document_fingerprints(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    pairs, linked = {True: 0, False: 0}, {True: 0, False: 0}
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = got[i].fingerprint, got[j].fingerprint
+            if a != b and abs(int(a[:2], 16) - int(b[:2], 16)) <= 1 and edit_fingerprints.likeness(a, b) >= edit_fingerprints.NEAR:
+                across = a[:2] != b[:2]
+                pairs[across] += 1
+                linked[across] += got[i].class_id == got[j].class_id
+    assert all(pairs[k] > 25 and linked[k] >= 0.95 * pairs[k] for k in pairs), (pairs, linked)
+
+
 def test_toxicity_held_out(spark):
     bad = ["grault", "plugh", "xyzzy"]
     r = random.Random(4)
