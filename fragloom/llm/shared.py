@@ -65,6 +65,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Ids with several texts that are broadcast; beyond them, rows are shuffled to meet them.
+BROADCAST = 1_000_000
+
+
+def numbered(docs: DataFrame, name: str = "doc") -> DataFrame:
+    """docs and a column that tells documents apart: the id of a row, but for rows whose id is null or has several texts: of
+    those, all but the text of the least hash get a number beyond 2 ** 62 by id and text. Equal rows have one number. A null
+    text counts as empty."""
+    at, hash_ = free_name(docs, "id_of"), F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(at)).agg(F.min(hash_).alias(at + "l"), F.max(hash_).alias(at + "h"))
+    several = written(several.where(F.col(at + "l") != F.col(at + "h")).select(at, at + "l"), "several")
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 2) + F.lit(1 << 62)
+    n = several.count()
+    if not n:
+        return docs.withColumn(name, F.coalesce("doc_id", own))
+    joined = docs.join(F.broadcast(several) if n <= BROADCAST else several, F.col("doc_id") == F.col(at), "left")
+    id_ = F.when(F.col(at).isNull() | (hash_ == F.col(at + "l")), F.col("doc_id"))
+    return joined.withColumn(name, F.coalesce(id_, own)).drop(at, at + "l")
+
+
 def blocks(rows: DataFrame, by: str, size: int) -> DataFrame:
     """rows with own, lo and hi: the n rows of a group are dealt to blocks of about `size` by a hash of a column, and each row
     goes to every pair (lo, hi) of blocks that has its own. So any two rows of a group meet."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, merge
-from .shared import blocks, docs_of, written
+from .shared import blocks, docs_of, free_name, numbered, written
 from .textvec import U, Words, mix, release, shingles, slices, utf8
 
 RADIUS, WIDTH, SEED = 2, 3, 42
@@ -359,10 +359,13 @@ def near_copies(docs: DataFrame, radius: int = NEAR) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows and columns of docs whose id names its group of near copies; of rows that share an id one stays.
+    """The rows and columns of docs that are the first of their group of near copies, each once.
 
-    Rows with a null id can't be told apart by name and all stay. Only ids are joined, not texts; blank texts are one group.
+    The first is the row of the smallest id. Rows of one id with different texts, and rows of null ids, are documents of their
+    own and come after the others; of equal ones a row stays. Null, empty and blank texts are one group; very long texts
+    take part whole; an empty table gives an empty one. Numbers alone are joined to the rows, not texts.
     """
-    gone = near_copies(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").where("doc_id is not null")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    name = free_name(docs, "number")
+    rows = numbered(docs, name)
+    gone = near_copies(numbered(docs_of(docs)).select(F.col("doc").alias("doc_id"), "text")).where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return rows.join(gone, name, "left_anti").dropDuplicates([name]).select(*docs.columns)

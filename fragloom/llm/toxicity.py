@@ -52,7 +52,8 @@ def train(rows: list[np.ndarray], positive: np.ndarray) -> Model:
     for learnt in (even, ~even):  # a row's score comes from the half that it isn't in
         half = descend([rows[i] for i in np.flatnonzero(learnt).tolist()], positive[learnt], None)
         scores[~learnt] = [half.weights[rows[i]].sum() + half.bias for i in np.flatnonzero(~learnt).tolist()]
-    return descend(rows, positive, share_in(scores[positive], scores[~positive]))
+    model = descend(rows, positive, share_in(scores[positive], scores[~positive]))
+    return model if model.weights.any() else Model(model.weights, -60.0)  # no word tells them apart
 
 
 def share_in(p: np.ndarray, u: np.ndarray) -> float:

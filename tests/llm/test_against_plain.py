@@ -361,6 +361,63 @@ def test_near_copies_of_a_passage(spark):
     assert sum(" ".join(passage[60:110]) in t for t in left.values()) == 1 and left[105] == dict(rows)[105]
 
 
+def passages_of(rows, least=50):
+    """Ids of documents with an exact run of `least` words of an earlier one (in order of rows)."""
+    first, found = {}, set()
+    for d, w in rows:
+        for i in range(len(w) - least + 1):
+            if first.setdefault(tuple(w[i : i + least]), d) != d:
+                found.add(d)
+    return found
+
+
+def test_common_parts_hide_no_passage(spark):
+    """Passages whose parts stand in many earlier documents."""
+    r, rows = random.Random(6), []
+    for g in range(6):
+        passage = prose(900 + g, 60, 3000).split()
+        for i in range(14):  # each shares up to 35 words of it
+            at = r.randrange(0, 25)
+            rows.append(prose(1000 + 50 * g + i, 60, 3000).split() + passage[at : at + 35] + prose(2000 + 50 * g + i, 30, 3000).split())
+        for i in range(4):
+            rows.append(prose(3000 + 50 * g + i, r.randint(10, 90), 3000).split() + passage + prose(4000 + 50 * g + i, 40, 3000).split())
+    rows = list(enumerate(rows))
+    got = {x.doc_id for x in substrings.repeats(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()}
+    assert got == passages_of(rows) and len(got) == 18
+
+
+def test_similar_stretches():
+    r = np.random.default_rng(4)
+    a = r.integers(0, 1 << 40, 200)
+    edited = lambda places: (b := a.copy(), b.__setitem__(places, r.integers(1 << 41, 1 << 42, len(places))))[0]
+    loose = edited(np.concatenate([[33, 34, 35], np.arange(100, 200, 2)]))  # its last half is no match
+    assert substrings.matching(a, loose) == [(0, 100, 0, 100)] or substrings.matching(a, loose)[0][:2] >= (0, 100)
+    grown = np.insert(a, np.arange(10, 190, 12), r.integers(1 << 41, 1 << 42, 15))  # drifts by more than GAP in all
+    (s, e, u, v), = substrings.matching(a, grown)
+    assert (s, e) == (0, 200) and (u, v) == (0, 215)
+    for _ in range(40):
+        n = int(r.integers(60, 160))
+        x, y = a[:n], edited(r.choice(n, int(r.integers(0, n // 3)), replace=False))[:n]
+        hit = x == y
+        good = [(s, e) for s in range(n) for e in range(s + 46, n + 1) if hit[s] and hit[e - 1] and hit[s:e].sum() >= 0.8 * (2 * (e - s) - hit[s:e].sum())]
+        inside = {i for s, e in good for i in range(s, e)}
+        gaps = np.diff(np.flatnonzero(hit))
+        found = {i for s, e, _, _ in substrings.matching(x, y) for i in range(s, e)}
+        assert found <= inside and (found == inside or gaps.max() > substrings.GAP + 1)
+
+
+def test_rows_of_one_id(spark):
+    lone, twin = prose(50, 201, 3000), prose(51, 120, 3000)
+    rows = [(1, prose(52, 90, 3000) + " " + twin), (7, lone), (7, prose(53, 80, 3000) + " " + twin), (7, lone), (None, prose(54, 70, 3000) + " " + twin)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.repeats(docs).collect()
+    assert {x.doc_id for x in got} <= {1, 7, None} and len({(x.doc_id, x.start) for x in got}) == 2
+    left = substrings.cut(docs).collect()
+    assert len(left) == 5 and [x.text for x in left].count(lone) == 2 and sum(twin in x.text for x in left) == 1
+    kept = simhash.keep_first(docs.unionByName(docs)).collect()
+    assert sorted(x.text for x in kept) == sorted({t for _, t in rows})  # each text once, whatever its id
+
+
 def test_cutting_words():
     assert substrings.without("a bb  ccc\n dd e ", [(1, 3)]) == "a dd e "
     assert substrings.without(" a b", [(0, 2)]) == " " and substrings.without("x y", []) == "x y"
