@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        state = written(_stars(state), "stars")
+        last, state = state, written(_stars(state), "stars")
+        discard(last)
         after = sign(state)
         if after == before:
             break

@@ -16,16 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset (tests, one machine)."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None)
+    """A folder of this application in the cluster's spark.checkpoint.dir. Where that is unset, a temporary one on a single machine
+    (tests); on a cluster that is an error, since its executors share no such folder."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = getattr(spark.sparkContext, "_fragloom_dir", None)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = getattr(context, "_fragloom_dir", None)
         if not path:
             path = tempfile.mkdtemp(prefix="fragloom-")
-            spark.sparkContext._fragloom_dir = path
+            context._fragloom_dir = path
             atexit.register(shutil.rmtree, path, True)
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/fragloom-{context.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,7 +36,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fragloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    _delete(df.sparkSession, df._fragloom_path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written. Results that haven't been read or stored by then are lost."""
+    _delete(spark, shared_dir(spark))
 
 
 def parts(df: DataFrame) -> int:

@@ -104,3 +104,49 @@ def edit_fingerprint(text, bits, places=192, lengths=3, least=8):
             at += bits[hop % len(bits)][step][hashes[min(at, from_ + 3)] & 15]
         at = min(at, n)
     return out
+
+
+def strings_of(text, order=6):
+    """The byte strings of `order` that an LM sees in a text: words, a space after each, an end; ends stand before the text."""
+    raw = b"\n" * (order - 1) + b"".join(w.encode() + b" " for w in words(text)) + b"\n"
+    return [raw[i : i + order] for i in range(len(raw) - order + 1)]
+
+
+class Restaurants:
+    """Pitman-Yor restaurants of all contexts up to a base of a single byte's probabilities, seated a customer at a time."""
+
+    def __init__(self, base, low, discount, theta, seed):
+        self.base, self.low, self.d, self.theta, self.r = base, low, discount, theta, random.Random(seed)
+        self.tables = {}  # context -> dish -> customers of each table
+
+    def p(self, context, dish):
+        if len(context) < self.low:
+            return self.base[dish]
+        own = self.tables.get(context, {})
+        tables = sum(map(len, own.values()))
+        customers = sum(sum(t) for t in own.values())
+        mine = own.get(dish, [])
+        return (sum(mine) - self.d * len(mine) + (self.theta + self.d * tables) * self.p(context[1:], dish)) / (self.theta + customers)
+
+    def add(self, context, dish):
+        if len(context) < self.low:
+            return
+        own = self.tables.setdefault(context, {})
+        mine = own.setdefault(dish, [])
+        new = (self.theta + self.d * sum(map(len, own.values()))) * self.p(context[1:], dish)
+        at = self.r.choices(range(len(mine) + 1), [*(n - self.d for n in mine), new])[0]
+        if at == len(mine):
+            mine.append(1)
+            self.add(context[1:], dish)
+        else:
+            mine[at] += 1
+
+    def remove(self, context, dish):
+        if len(context) < self.low:
+            return
+        mine = self.tables[context][dish]
+        at = self.r.choices(range(len(mine)), mine)[0]
+        mine[at] -= 1
+        if not mine[at]:
+            mine.pop(at)
+            self.remove(context[1:], dish)

@@ -289,18 +289,76 @@ def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 101, 4000)
     keys = sum((text[i : 3995 + i].astype(U) << U(8 * (5 - i)) for i in range(6)), np.zeros(3995, U))
-    keys, counts = np.unique(keys[keys >> U(8) & U(255) == 97], return_counts=True)
-    root = np.full(256, 1 / 256)
-    model = lm_score.Franchise(keys, counts, root, 1)
+    keys, counts = np.unique(keys[keys >> U(8) & U(0xFFFF) == 97 << 8 | 98], return_counts=True)
+    above = lm_score.top(np.bincount((keys & U(0xFFFF)).astype(np.int64), counts, 1 << 16).reshape(256, 256))
+    assert np.allclose(above.sum(1), 1) and (above > 0).all()
+    model = lm_score.Franchise(keys, counts, above, 1)
     for _ in range(3):
         model.sweep()
-        for k in range(1, lm_score.ORDER):
+        for k in range(lm_score.LOW, lm_score.ORDER):
             assert (model.tables[k] >= 1).all() and (model.tables[k] <= model.customers[k]).all()
-        for context in (keys[0] >> U(8), U(0x7A7A7A7A61)):
+        for context in (keys[0] >> U(8), U(0x7A7A7A6162)):
             asked = (context << U(8)) | np.arange(256, dtype=U)
             assert model.probability(asked, model.places(asked)).sum() == pytest.approx(1)
 
 
+def lm_tables(texts):
+    """Byte strings of six and how often each stands in the texts."""
+    from collections import Counter
+
+    found = Counter(g for t in texts for g in plain.strings_of(t))
+    keys = np.array(sorted(int.from_bytes(g, "big") for g in found), U)
+    return keys, np.array([found[int(k).to_bytes(6, "big")] for k in keys])
+
+
+def test_lm_scores_of_a_small_corpus(spark):
+    """The blocks, buckets and stems give what one pass over all byte strings gives."""
+    import zlib
+
+    rows = [(i, prose(i, 40, 60) if i % 7 else "") for i in range(60)] + [(60, None), (61, "Ünï cödé 日本"), (None, prose(3, 20, 60))]
+    train = [d is None or zlib.crc32(str(d).encode()) % 10 != 0 for d, _ in rows]
+    keys, counts = lm_tables([t for (_, t), own in zip(rows, train, strict=True) if own])
+    every = np.unique(np.concatenate([keys, lm_tables([t for _, t in rows])[0]]))
+    counts = np.array([dict(zip(keys.tolist(), counts.tolist(), strict=True)).get(k, 0) for k in every.tolist()])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = int(8 * lm_score.parts(docs) ** 0.5) + 8
+    customers, group, logs = np.zeros(1 << 16), (mix(every >> U(8) & U(0xFFFF)) % U(groups)).astype(int), {}
+    for g in range(groups):
+        pair, n = lm_score.customers_above(every[group == g], counts[group == g], g)
+        np.add.at(customers, pair, n)
+    above = lm_score.top(customers.reshape(256, 256))
+    for g in range(groups):
+        own = every[group == g]
+        logs |= dict(zip(own.tolist(), np.log10(lm_score.averaged(own, counts[group == g], above, g)).tolist(), strict=True))
+    got = {(r.doc_id): r.score for r in lm_score.lm_scores(docs).collect()}
+    for d, t in rows:
+        assert got[d] == pytest.approx(sum(logs[int.from_bytes(g, "big")] for g in plain.strings_of(t)), abs=1e-3)
+
+
+def test_lm_seating_against_single_customers(monkeypatch):
+    """Averaged probabilities of one stem, with given discount and concentration, against customers who leave and return one by one."""
+    monkeypatch.setattr(lm_score, "concentration", lambda *a: 1.0)
+    monkeypatch.setattr(lm_score, "SWEEPS", 60)
+    made = lm_score.Franchise.__init__
+    monkeypatch.setattr(lm_score.Franchise, "__init__", lambda self, *a: (made(self, *a), self.discount.update(dict.fromkeys(self.discount, 0.5)))[0])
+    text = " ".join("the cat then that thin thaw" if i % 3 else "thx thy thz the the" for i in range(12))
+    grams = [g for g in plain.strings_of(text) if g[3:5] == b"th"]
+    keys, counts = np.unique([int.from_bytes(g, "big") for g in grams], return_counts=True)
+    base = np.full(256, 1 / 256)
+    ours = lm_score.averaged(keys.astype(U), counts, np.tile(base, (256, 1)), 1)
+    model, sums = plain.Restaurants(base, lm_score.LOW, 0.5, 1.0, 2), np.zeros(len(keys))
+    split = lambda g: (g[:5], g[5])
+    for g in grams:
+        model.add(*split(g))
+    for sweep in range(230):
+        for g in grams:
+            model.remove(*split(g))
+            model.add(*split(g))
+        if sweep >= 30:
+            sums += [model.p(*split(int(k).to_bytes(6, "big"))) for k in keys]
+    assert np.abs(np.log10(ours) - np.log10(sums / 200)).max() < 0.06
+
+
 def test_seating_matches_one_by_one():
     rng, r = np.random.default_rng(2), random.Random(2)
     n, base, strength, d = 40, 0.05, 8.0, 0.4
@@ -309,7 +367,7 @@ def test_seating_matches_one_by_one():
     for _ in range(4000):
         t = 1
         for i in range(1, n):
-            new = strength * base
+            new = (strength + d * (t - 1)) * base
             t += r.random() < new / (new + i - d * t)
         total += t
     assert fast == pytest.approx(total / 4000, rel=0.03)
