@@ -1,7 +1,8 @@
 """k-mers and inverted indexes over sequences, as relations.
 
-Two forms give the same rows: `extract` stays in SQL expressions and carries the k-mer's text; `extract_hashed` packs two bits
-a base in numpy, some tens of times faster, for sequences of any length.
+Two forms give the same rows: `extract` stays in SQL expressions and carries the k-mer's text, for short sequences (each
+`substring` walks from the start); `extract_hashed` packs two bits a base in numpy, some tens of times faster, for sequences
+of any length. Plans use the latter, and long keys.
 """
 
 from __future__ import annotations
@@ -54,23 +55,50 @@ def hashes(seq: bytes, k: int, stride: int = 1) -> np.ndarray:
     return out
 
 
+#: k-mers of an Arrow batch that goes back to Spark.
+ROWS = 1 << 20
+
+
 def extract_hashed(seqs: DataFrame, key: str, k: int, stride: int = 1) -> DataFrame:
-    """(key, hash, soff) by numpy over Arrow batches; long sequences come out in pieces of a million rows."""
+    """(key, hash, soff) by numpy over Arrow batches; many short sequences share a batch, a long one comes out in several."""
     if not 0 < k <= LARGEST:
         raise ValueError(f"k must be 1 to {LARGEST}")
     kind = seqs.schema[key].dataType.simpleString()
 
+    def made(keys: pa.Array, held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        which, h, at = zip(*held, strict=True)
+        of = np.repeat(which, [len(x) for x in h])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(np.concatenate(h)), pa.array(np.concatenate(at))], [key, "hash", "soff"])
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for i, seq in zip(batch.column(key), batch.column("seq").to_pylist(), strict=True):
-                h = hashes((seq or "").encode("ascii", "replace"), k, stride)
-                for at in range(0, len(h), 1 << 20):
-                    part = h[at : at + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(i, len(part)), pa.array(part), pa.array((at + np.arange(len(part), dtype=np.int64)) * stride)], [key, "hash", "soff"])
+            held, rows = [], 0
+            for i, seq in enumerate(batch.column("seq")):
+                h = hashes((seq.as_py() or "").encode("ascii", "replace"), k, stride)
+                for at in range(0, len(h), ROWS):
+                    part = h[at : at + ROWS]
+                    held.append((i, part, (at + np.arange(len(part), dtype=np.int64)) * stride))
+                    rows += len(part)
+                    if rows >= ROWS:
+                        yield made(batch.column(key), held)
+                        held, rows = [], 0
+            if held:
+                yield made(batch.column(key), held)
 
     return seqs.select(key, "seq").mapInArrow(run, f"{key} {kind}, hash long, soff long")
 
 
+def of_reads(reads: DataFrame, k: int) -> DataFrame:
+    """(qid, strand, hash, qoff): every k-mer of both strands of (qid, seq)."""
+    rows = both_strands(reads.select("qid", "seq")).select(F.struct("qid", "strand").alias("of"), "seq")
+    return extract_hashed(rows, "of", k).select("of.qid", "of.strand", "hash", F.col("soff").alias("qoff"))
+
+
+def text_of(hash_: Column, k: int) -> Column:
+    """The k-mer of a hash."""
+    return F.translate(F.lpad(F.conv(hash_.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
 def extract_intervals(seqs: DataFrame, regions: DataFrame, k: int, stride: int = 1) -> DataFrame:
     """(sid, hash, soff) of the k-mers inside intervals (chr, start, stop), every `stride` bases from each interval's start on.
 

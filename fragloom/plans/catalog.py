@@ -465,29 +465,29 @@ CUTOFF = "cut as (select greatest(coalesce((select n from (select n, row_number(
 
 
 def _ref(spark, d):
-    return kmers.extract(A.genome(spark, d).repartition(32, "sid"), K, STRIDE)
+    return kmers.extract_hashed(A.genome(spark, d).repartition(32, "sid"), "sid", K, STRIDE)
 
 
 @query(A.GENOME, REF, COUNTS, sql="select n, count(*) kmers from counts group by n")
 def kmer_index(spark, d):
-    return kmers.counts(_ref(spark, d)).groupBy("n").agg(F.count("*").alias("kmers"))
+    return kmers.counts(_ref(spark, d), "hash").groupBy("n").agg(F.count("*").alias("kmers"))
 
 
 @query(A.GENOME, REF, COUNTS, CUTOFF.format("0.0001", 100), sql="select cast(cutoff as bigint) cutoff from cut")
 def kmer_cutoff(spark, d):
-    return kmers.cutoff(kmers.counts(_ref(spark, d)), 1e-4, 100)
+    return kmers.cutoff(kmers.counts(_ref(spark, d), "hash"), 1e-4, 100)
 
 
 @query(A.GENOME, REF, COUNTS, CUTOFF.format("0.1", 1), sql="select sid, count(*) n from ref where kmer in (select kmer from counts, cut where n <= cutoff) group by sid")
 def kmer_filter(spark, d):
     ref = _ref(spark, d)
-    counted = kmers.counts(ref)
-    return kmers.frequent_removed(ref, counted, kmers.cutoff(counted, 0.1, 1)).groupBy("sid").agg(F.count("*").alias("n"))
+    counted = kmers.counts(ref, "hash")
+    return kmers.frequent_removed(ref, counted, kmers.cutoff(counted, 0.1, 1), "hash").groupBy("sid").agg(F.count("*").alias("n"))
 
 
 @query(A.GENOME, REF, COUNTS, CUTOFF.format("0.0001", 100), sql="select cast(sum(n) as bigint) total, count(*) distinct_kmers, cast(coalesce(sum(n) filter (n > cutoff), 0) as bigint) removed, count(*) filter (n > cutoff) removed_distinct from counts, cut")
 def kmer_stats(spark, d):
-    counted = kmers.counts(_ref(spark, d))
+    counted = kmers.counts(_ref(spark, d), "hash")
     return kmers.index_stats(counted, kmers.cutoff(counted, 1e-4, 100))
 
 
@@ -530,7 +530,8 @@ BOTH = f"both_ as (select qid, 0 strand, seq from reads union all select qid, 1,
 
 @query(A.READS, BOTH, _kmers_sql("k8", "both_", "qid", 8, 1), sql="select kmer, count(*) n from k8 group by kmer")
 def kmer_both_strands(spark, d):
-    return kmers.counts(kmers.extract(kmers.both_strands(A.reads(spark, d)), 8))
+    counted = kmers.counts(kmers.of_reads(A.reads(spark, d), 8), "hash")
+    return counted.select(kmers.text_of(F.col("hash"), 8).alias("kmer"), "n")
 
 
 MASK_COUNTS = "c8 as (select kmer, count(*) n from k8 group by kmer), p as (select n, row_number() over (order by n desc) - 1 i, count(*) over () c from c8)"
@@ -547,10 +548,9 @@ QUERY_KMERS = _kmers_sql("q", "both_", "qid, strand", K, 1)
 
 def _seeds(spark, d, most: int = 20):
     ref = _ref(spark, d)
-    counted = kmers.counts(ref)
-    postings = kmers.frequent_removed(ref, counted, kmers.cutoff(counted, 1e-4, 100))
-    asked = kmers.extract(kmers.both_strands(A.reads(spark, d)), K).withColumnRenamed("soff", "qoff")
-    return kmers.seeds(asked, postings, most=most)
+    counted = kmers.counts(ref, "hash")
+    postings = kmers.frequent_removed(ref, counted, kmers.cutoff(counted, 1e-4, 100), "hash")
+    return kmers.seeds(kmers.of_reads(A.reads(spark, d), K), postings, "hash", most)
 
 
 @query(
@@ -571,8 +571,8 @@ def seed_match(spark, d):
 )
 def kmer_coverage(spark, d):
     ref, seqs = _ref(spark, d), A.genome(spark, d)
-    counted = kmers.counts(ref)
-    kept = kmers.frequent_removed(ref, counted, kmers.cutoff(counted, 0.1, 1))
+    counted = kmers.counts(ref, "hash")
+    kept = kmers.frequent_removed(ref, counted, kmers.cutoff(counted, 0.1, 1), "hash")
     return kmers.coverage(kept, seqs.select("sid", F.length("seq").alias("length")), K)
 
 
@@ -585,11 +585,11 @@ def reverse_complement(spark, d):
 
 
 @query(
-    A.READS, "p as (select a.qid, substring(a.seq, 1, 200) x, substring(b.seq, 1, 200) y from reads a join reads b on b.qid = a.qid + 1)", "d as (select *, levenshtein(x, y) d, length(x) n, length(y) m from p)",
+    A.READS, "p as (select a.qid, a.seq x, b.seq y from reads a join reads b on b.qid = a.qid + 1)", "d as (select *, levenshtein(x, y) d, length(x) n, length(y) m from p)",
     sql="select qid, cast(d as bigint) distance, round(((n + m) / 2 - d) * 2 - 5 * d, 6) score, round(100 * (1 - 2 * d / (n + m)), 6) \"identity\" from d",
 )
 def align_identity(spark, d):
-    a = A.reads(spark, d).select("qid", F.substring("seq", 1, 200).alias("x"))
+    a = A.reads(spark, d).select("qid", F.col("seq").alias("x"))
     b = a.select((F.col("qid") - 1).alias("qid"), F.col("x").alias("y"))
     c = align.edit_columns(F.col("x"), F.col("y"))
     return a.join(b, "qid").select("qid", c["distance"].cast("long").alias("distance"), *(F.round(c[n].cast("double"), 6).alias(n) for n in ("score", "identity")))
@@ -663,6 +663,20 @@ def map_reads(spark, d):
     return mapping.map_reads(A.reads(spark, d), A.genome(spark, d), DPNII, K, STRIDE).drop("q_row", "s_row", "frag_seq")
 
 
-@query()
+BASES = "bases as (select k from (select unnest(range(1, 32)) k) where (select sum(length(seq)) from genome) / power(4, k) < 5 order by k limit 1)"
+ALL_KMERS = """forward as (select sid, cast(i as bigint) soff, substring(seq, i + 1, k) kmer, k, length(seq) length from (select sid, seq, k, unnest(range(0, length(seq) - k + 1)) i from genome, bases)),
+ c8 as (select kmer, count(*) n from (select kmer from forward union all select translate(reverse(kmer), 'ACGT', 'TGCA') from forward) group by kmer), p as (select n, row_number() over (order by n desc) - 1 i, count(*) over () c from c8)"""
+MASKED = f"""t as (select {_AT}),
+ scored as (select sid, soff, k, length, case when n >= t_high then t_high when n < t_low then t_low // 2 else n end score from forward join c8 using (kmer), t),
+ means as (select sid, soff, case when soff < length - k - 4 then sum(score) over (partition by sid order by soff rows between current row and 4 following) // 5 end mean from scored),
+ places as (select sid, k, unnest(range(0, length)) p from (select sid, length(seq) length, k from genome, bases where length(seq) > k + 4)),
+ best as (select x.sid, x.p, coalesce(max(m.mean) over (partition by x.sid order by x.p rows between x.k + 3 preceding and current row), 0) best from places x left join means m on m.sid = x.sid and m.soff = x.p),
+ hot as (select sid, p, best, best >= t_threshold hot, t_extend from best, t),
+ runs as (select *, p - row_number() over (partition by sid, hot order by p) run from hot),
+ low as (select *, min(best) over (partition by sid, hot, run) low from runs),
+ kept as (select sid, p, p - row_number() over (partition by sid order by p) run from low where hot or low >= t_extend)"""
+
+
+@query(A.GENOME, BASES, ALL_KMERS, MASKED, sql="select sid chr, cast(min(p) as bigint) start, cast(max(p) + 1 as bigint) stop from kept group by sid, run")
 def repeat_mask(spark, d):
     return masking.repeat_regions(A.genome(spark, d))

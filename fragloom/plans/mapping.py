@@ -100,12 +100,7 @@ def map_reads(reads: DataFrame, genome: DataFrame, enzyme: Enzyme | None = None,
     ref = kmers.extract_hashed(genome, "sid", k, stride)
     counted = kmers.counts(ref, "hash")
     postings = kmers.frequent_removed(ref, counted, kmers.cutoff(counted, fraction, least), "hash")
-    strands = kmers.both_strands(reads)
-    asked = None
-    for strand in (0, 1):
-        own = kmers.extract_hashed(strands.where(F.col("strand") == strand), "qid", k).withColumnRenamed("soff", "qoff").withColumn("strand", F.lit(strand))
-        asked = own if asked is None else asked.unionByName(own)
-    seeds = kmers.seeds(asked, postings, "hash")
+    seeds = kmers.seeds(kmers.of_reads(reads, k), postings, "hash")
     return alignments(candidates(seeds, reads, k, options), reads, genome, enzyme, options)
 
 
