@@ -83,23 +83,29 @@ def prefix_align(q: str, s: str) -> tuple[str, str, int]:
 def affine_align(q: str, s: str, match: int = 2, mismatch: int = -4, gap_open: int = 4, gap_extend: int = 2, band: int | None = None) -> tuple[str, str, int]:
     """Gapped rows and score of the best global alignment where a gap of k costs open + k * extend; a band only narrows the search."""
     n, m = len(q), len(s)
-    a, b, ar = _bytes(q), _bytes(s), np.arange(m + 1)
-    h = -(gap_open + gap_extend * ar.astype(np.int64))
+    half = m if band is None else band + abs(n - m) + 1
+    width = min(m + 1, 2 * half + 2)
+    starts = np.clip(np.arange(n + 1) * m // max(1, n) - half, 0, m + 1 - width)  # the first place of each row's window
+    a, b, window = _bytes(q), np.concatenate([[0], _bytes(s)]), np.arange(width)
+    h = -(gap_open + gap_extend * window.astype(np.int64))
     h[0] = 0
-    f = np.full(m + 1, -_FAR, np.int64)
-    take, longer_up, gap_left = np.zeros((n + 1, m + 1), np.uint8), np.zeros((n + 1, m + 1), bool), np.zeros((n + 1, m + 1), np.int32)
-    take[0], gap_left[0] = LEFT, ar
+    f = np.full(width, -_FAR, np.int64)
+    take, longer_up, gap_left = np.zeros((n + 1, width), np.uint8), np.zeros((n + 1, width), bool), np.zeros((n + 1, width), np.int32)
+    take[0], gap_left[0] = LEFT, window
+    outside = np.full(width + 1, -_FAR, np.int64)
     for i in range(1, n + 1):
+        by, ar = int(starts[i] - starts[i - 1]), window + starts[i]
+        before = np.concatenate([outside[:1], h, outside])  # from one place left of the last window on
+        h, f = before[by + 1 : by + 1 + width], np.concatenate([f, outside])[by : by + width]
         opened, extended = h - gap_open - gap_extend, f - gap_extend
         f = np.maximum(opened, extended)
         longer_up[i] = extended > opened
-        diag = np.full(m + 1, -_FAR, np.int64)
-        diag[1:] = h[:-1] + np.where(b == a[i - 1], match, mismatch)
+        diag = before[by : by + width] + np.where(b[ar] == a[i - 1], match, mismatch)
+        if not ar[0]:
+            diag[0] = -_FAR
         best = np.maximum(diag, f)
-        if band is not None:
-            best = np.where(np.abs(ar * n - i * m) <= (band + abs(n - m)) * max(1, n), best, -_FAR)
         run = np.maximum.accumulate(best + gap_extend * ar)
-        e = np.full(m + 1, -_FAR, np.int64)
+        e = np.full(width, -_FAR, np.int64)
         e[1:] = run[:-1] - gap_open - gap_extend * ar[1:]
         h = np.maximum(best, e)
         take[i] = np.where(h == diag, DIAG, np.where(h == f, UP, LEFT))
@@ -107,25 +113,26 @@ def affine_align(q: str, s: str, match: int = 2, mismatch: int = -4, gap_open: i
         gap_left[i, 1:] = ar[1:] - at[:-1]
     i, j, x, y = n, m, [], []
     while i or j:
-        move = take[i, j] if i and j else (UP if i else LEFT)
+        k = j - int(starts[i])
+        move = take[i, k] if i and j else (UP if i else LEFT)
         if move == DIAG:
             x.append(q[i - 1])
             y.append(s[j - 1])
             i, j = i - 1, j - 1
         elif move == UP:
             while True:
-                more = bool(longer_up[i, j])
+                more = bool(longer_up[i, j - int(starts[i])])
                 x.append(q[i - 1])
                 y.append("-")
                 i -= 1
                 if not more or not i:
                     break
         else:
-            size = max(1, int(gap_left[i, j])) if i else j
+            size = max(1, int(gap_left[i, k])) if i else j
             x.append("-" * size)
             y.append(s[j - size : j])
             j -= size
-    return "".join(reversed(x)), "".join(reversed(y)), int(h[m])
+    return "".join(reversed(x)), "".join(reversed(y)), int(h[m - int(starts[n])])
 
 
 def identity(a: str, b: str) -> float:

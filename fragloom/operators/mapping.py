@@ -42,6 +42,9 @@ class Options:
     gap: int = 50
     gaps: int = 200
     least: int = 50
+    score: int = 50  # of an alignment that a chain may take
+    near: int = 40  # by which the ends of two alignments of one part of the read may differ
+    site: int = 20  # by which an end may miss a site and still tell of it
     pad: int = 300
 
 
@@ -113,9 +116,10 @@ class Alignment:
     mapq: int = 0
     other: int = -1
     pi: float = field(init=False)
+    score: int = field(init=False)
 
     def __post_init__(self):
-        self.pi = al.identity(self.a, self.b)
+        self.pi, self.score = al.identity(self.a, self.b), al.gapped_score(self.a, self.b)
 
     @property
     def span(self) -> tuple[int, int]:
@@ -292,9 +296,25 @@ def follows(p: Alignment, x: Alignment, o: Options, perfect: bool | None) -> boo
     return not (p.sid == x.sid and min(p.send, x.send) - max(p.soff, x.soff) > o.overlap)
 
 
+def weighed(found: list[Alignment], o: Options = Options()) -> list[Alignment]:
+    """Alignments that chains are made of: long and good enough, and, of those that begin or end at about one place of the read, none
+    that a better one reaches beyond."""
+    out: list[Alignment] = []
+    for x in sorted(found, key=lambda x: -x.score):
+        (a, b), good = x.span, x.score >= o.score and x.span[1] - x.span[0] >= o.least
+        if good and not any(abs(p[0] - a) <= o.near and b <= p[1] + o.near or abs(p[1] - b) <= o.near and a + o.near >= p[0] for p in (y.span for y in out)):
+            out.append(x)
+    return out
+
+
+def at_a_site(x: Alignment, o: Options = Options()) -> bool:
+    """Whether an end of the alignment lies near its site of the reference."""
+    return any(e >= 0 and abs(e - at) <= o.site for e, at in zip(x.es, (x.soff, x.send), strict=True))
+
+
 def best_chain(found: list[Alignment], o: Options, perfect: bool | None) -> list[Alignment]:
     """The chain that covers most of the read; within 30 bases the one of fewer fragments, then of greater identity."""
-    usable = [x for x in found if x.seeds * 0 + x.qend - x.qoff >= o.least and (perfect is None or (all(x.sites) if perfect else all(x.near_sites)))]
+    usable = [x for x in weighed(found, o) if perfect is None or (all(x.sites) if perfect else all(x.near_sites))]
     usable.sort(key=lambda x: (x.span[1], x.span[0], -x.pi))
     best: list[tuple[int, int, float, int]] = []
 
@@ -354,7 +374,8 @@ def choose(found: list[Alignment], o: Options = Options()) -> tuple[list[Alignme
     if is_complete(chain, o):
         return chain, COMPLETE
     taken: list[Alignment] = []
-    for x in sorted(found, key=lambda x: (x.span[0] - x.span[1], -x.pi, x.span[0], x.sid, x.soff)):
+    known = any(e >= 0 for x in found for e in x.es)
+    for x in sorted(weighed([x for x in found if not known or at_a_site(x, o)], o), key=lambda x: (x.span[0] - x.span[1], -x.pi, x.span[0], x.sid, x.soff)):
         (a, b), size = x.span, x.span[1] - x.span[0]
         if size < o.least or any(min(b, y.span[1]) - max(a, y.span[0]) > 0.4 * size or min(x.send, y.send) > max(x.soff, y.soff) for y in taken):
             continue  # reference overlap is tested without the chromosome, as in the original rule
@@ -436,10 +457,7 @@ def trimmed(chain: list[Alignment], kind: str, enzyme: Enzyme | None, o: Options
     Of an incomplete chain fragments of 500 bases, or that end within 20 of a site, stay; of a complete one all over 30. Of two
     fragments that overlap, the one with a site at the common end stays whole, else the longer one; under 50 bases a fragment goes.
     """
-    def near_site(x):
-        return any(e >= 0 and abs(e - at) <= 20 for e, at in zip(x.es, (x.soff, x.send), strict=True))
-
-    chain = [x for x in chain if (x.qend - x.qoff > 30 if kind != MOST else x.qend - x.qoff >= 500) or near_site(x)]
+    chain = [x for x in chain if (x.qend - x.qoff > 30 if kind != MOST else x.qend - x.qoff >= 500) or at_a_site(x, o)]
     chain = sorted(chain, key=lambda x: x.span)
     out: list[Alignment] = []
     for x in chain:
@@ -452,14 +470,25 @@ def trimmed(chain: list[Alignment], kind: str, enzyme: Enzyme | None, o: Options
                 out[-1] = _cut(p, over, 1, True)
         out.append(x)
     out = [x for x in out if x.qend - x.qoff >= o.least]
-    order = sorted(range(len(out)), key=lambda i: (out[i].sid, out[i].soff))
-    for i, j in zip(order, order[1:], strict=False):
-        p, x = out[i], out[j]
-        if p.sid == x.sid and (over := p.send - x.soff) > 0:
-            if p.send - p.soff >= x.send - x.soff:
-                out[j] = _cut(x, over, 0, False)
+    for i in range(len(out)):
+        for j in range(i + 1, len(out)):
+            left, right = (i, j) if out[i].soff < out[j].soff else (j, i)
+            p, x = out[left], out[right]
+            over = p.send - x.soff
+            if p.sid != x.sid or over <= 0 or not p.a or not x.a:
+                continue
+            ends, begins = (p.qend == p.eq[1], p.send == p.es[1]), (x.qoff == x.eq[0], x.soff == x.es[0])
+            if any(ends) and begins == (False, True):
+                keep = left
+            elif not any(ends) and any(begins):
+                keep = right
+            else:
+                longer = p.send - p.soff - (x.send - x.soff)
+                keep = left if longer > 0 or longer == 0 and all(ends) and all(begins) else right
+            if keep == left:
+                out[right] = _cut(x, over, 0, False)
             else:
-                out[i] = _cut(p, over, 1, False)
+                out[left] = _cut(p, over, 1, False)
     out = [x for x in out if x.qend - x.qoff >= o.least]
     return [x for x in out if kind != MOST or x.mapq >= 5]
 
@@ -475,16 +504,27 @@ def _cut(x: Alignment, by: int, side: int, on_read: bool) -> Alignment:
     return x.columns(int(places[by]), len(row)) if side == 0 else x.columns(0, int(places[len(places) - by - 1]) + 1)
 
 
-def at_cut(x: Alignment, enzyme: Enzyme) -> Alignment:
-    """Ends on a site move to where the enzyme cuts in it, so that neighbours abut."""
-    lo, hi = 0, len(x.a)
-    own = np.frombuffer(x.b.encode(), np.uint8) != 45
-    at = np.concatenate([[x.soff], np.cumsum(own) + x.soff])
-    if x.soff == x.es[0] and enzyme.cut:
-        lo = int(np.searchsorted(at, x.soff + enzyme.cut))
-    if x.send == x.es[1] and enzyme.cut and x.send + enzyme.cut <= x.send:
-        hi = int(np.searchsorted(at, x.send + enzyme.cut))
-    return x.columns(lo, hi) if lo < hi else x
+def at_cut(x: Alignment, enzyme: Enzyme, read: str, ref: Reference) -> Alignment:
+    """The alignment with ends on sites of both read and reference moved to where the enzyme cuts in them, so that neighbours abut.
+
+    On the reverse strand the cut stands as far before the site's end as it stands after its start on the other.
+    """
+    size = len(enzyme.motif)
+    by = enzyme.cut if x.qdir == 0 else size - enzyme.cut
+    if not by:
+        return x
+    first = x.eq[0] > 0 and (x.qoff, x.soff) == (x.eq[0], x.es[0])
+    last = x.eq[1] != x.qsize and (x.qend, x.send) == (x.eq[1], x.es[1])
+    more, at = ref.text(x.sid, x.send, x.send + size) if last else ("", 0)
+    if last and at == x.send and len(more) == size and x.qend + size <= x.qsize:
+        x = replace(x, a=x.a + read[x.qend : x.qend + by], b=x.b + more[:by], qend=x.qend + by, send=x.send + by, eq=(x.eq[0], x.eq[1] + by), es=(x.es[0], x.es[1] + by))
+    if first:
+        q, s = x.a.replace("-", "")[by:], x.b.replace("-", "")[by:]
+        if q and s:
+            even = "-" not in x.a[:by] + x.b[:by]
+            a, b = (x.a[by:], x.b[by:]) if even else al.edit_align(q, s)[:2]
+            x = replace(x, a=a, b=b, qoff=x.qoff + by, soff=x.soff + by, eq=(x.eq[0] + by, x.eq[1]), es=(x.es[0] + by, x.es[1]))
+    return x
 
 
 def realigned(x: Alignment) -> Alignment:
@@ -534,6 +574,6 @@ def map_read(read: str, hits: list[tuple[int, int, tuple]], ref: Reference, enzy
     chain = smoothed(chain, found, strands, ref, o)
     chain = with_quality(chain, found, kind, o)
     if enzyme:
-        chain = [at_cut(x, enzyme) for x in chain]
+        chain = [at_cut(x, enzyme, strands[x.qdir], ref) for x in chain]
     chain = [realigned(x) for x in chain if x.a]
     return trimmed(chain, kind, enzyme, o), found, kind

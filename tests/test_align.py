@@ -71,3 +71,18 @@ def test_identity_column(spark):
 
     df = spark.createDataFrame([("AC-T", "ACGT"), ("", "")], "a string, b string")
     assert [round(x[0], 6) for x in df.select(al.identity_column(F.col("a"), F.col("b"))).collect()] == [75.0, 0.0]
+
+
+def test_a_band_bounds_memory_and_leaves_the_score():
+    import tracemalloc
+
+    r = random.Random(8)
+    q = "".join(r.choice("ACGT") for _ in range(3_000))
+    s = "".join(c if r.random() > 0.03 else r.choice(["", "A", c + "G"]) for c in q)
+    tracemalloc.start()
+    a, b, score = al.affine_align(q, s, band=40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert al.fits(a, b, q, s) and peak < 8_000_000
+    short, other = q[:300], s[:290]
+    assert al.affine_align(short, other, band=40)[2] == al.affine_align(short, other)[2]

@@ -2,14 +2,20 @@
 
 import random
 
+import pytest
+
 from fragloom.operators import enzymes, mapping
 from fragloom.plans import mapping as plan
 
 
-def test_simulated_reads(spark):
+@pytest.mark.parametrize("site", ["^GATC", "A^AGCTT", "CATG^"])
+def test_simulated_reads(spark, site):
     r = random.Random(3)
     some = lambda n: "".join(r.choice("ACGT") for _ in range(n))
-    genome, enzyme = {0: some(40_000), 1: some(30_000)}, enzymes.parse("^GATC")
+    enzyme = enzymes.parse(site)
+    genome = {0: some(40_000), 1: some(30_000)}
+    if len(enzyme.motif) > 4:  # as often as a site of four bases
+        genome = {c: "".join(g[i : i + 300] + enzyme.motif for i in range(0, len(g), 300)) for c, g in genome.items()}
     reads, truth = [], []
     for q in range(6):
         parts = []
@@ -17,7 +23,7 @@ def test_simulated_reads(spark):
             sid = r.randint(0, 1)
             sites = enzymes.site_offsets(genome[sid], enzyme).tolist()
             i = r.choice([i for i in range(len(sites) - 1) if 250 <= sites[i + 1] - sites[i] <= 1500])
-            a, b = sites[i], sites[i + 1]
+            a, b = sites[i] + enzyme.cut, sites[i + 1] + enzyme.cut
             if any(t[0] == q and t[1] == sid and t[3] == a for t in truth):
                 continue
             x = "".join(c if r.random() > 0.05 else r.choice(["", "A", "C" + c]) for c in genome[sid][a:b])
@@ -45,3 +51,39 @@ def test_quality():
     assert mapping.mapping_quality(95.0, None, mapping.COMPLETE) == 50
     assert mapping.mapping_quality(95.0, None, mapping.MOST) == 30
     assert mapping.mapping_quality(95.0, 95.0, mapping.PERFECT) == 0
+
+
+def test_neighbours_abut_where_the_enzyme_cuts():
+    r = random.Random(9)
+    some = lambda n: "".join(r.choice("CGT") for _ in range(n))  # noqa: E731  no site by chance
+    for site, expected in (("^GATC", 0), ("A^AGCTT", 1), ("CATG^", 4)):
+        enzyme = enzymes.parse(site)
+        text = some(100) + enzyme.motif + some(90) + enzyme.motif + some(80)
+        at = [100, 100 + len(enzyme.motif) + 90]
+        for read, qdir in ((text, 0), (mapping.reverse(text), 1)):
+            strand = text  # the strand that aligns with the reference
+            ref = mapping.Reference([(0, 0, text)], {0: len(text)})
+            ends = [0, *at, len(text)]
+            parts = [mapping.Alignment(qdir, p, q, len(read), 0, p, q, text[p:q], text[p:q], 5, eq=(p, q), es=(p, q)) for p, q in zip(ends, ends[1:], strict=False)]
+            parts = [mapping.at_cut(x, enzyme, strand, ref) for x in parts]
+            by = expected if qdir == 0 else len(enzyme.motif) - expected
+            assert [(x.qoff, x.soff) for x in parts[1:]] == [(x.qend, x.send) for x in parts[:-1]] == [(p + by, p + by) for p in at]
+            assert "".join(x.a for x in parts) == text and all(x.a == x.b for x in parts)
+
+
+def test_overlaps_on_the_reference_go_between_all_pairs():
+    r = random.Random(2)
+    text = "".join(r.choice("ACGT") for _ in range(2_000))
+    made = lambda q, s, e: mapping.Alignment(0, q, q + e - s, 3_000, 0, s, e, text[s:e], text[s:e], 5, mapq=60)
+    chain = [made(0, 0, 1_000), made(1_000, 300, 420), made(1_200, 500, 640), made(1_400, 950, 1_500)]
+    out = mapping.trimmed(chain, mapping.COMPLETE, None)
+    for i, x in enumerate(out):
+        assert x.qend - x.qoff >= 50 and all(min(x.send, y.send) <= max(x.soff, y.soff) for y in out[:i])
+    assert [(x.soff, x.send) for x in out] == [(0, 1_000), (1_000, 1_500)]
+
+
+def test_only_the_best_of_one_place_is_weighed():
+    text = "ACGT" * 100
+    made = lambda a, b, bad=0: mapping.Alignment(0, a, b, 400, 0, a, b, "T" * bad + text[a + bad : b], "G" * bad + text[a + bad : b], 5)
+    best, short, worse, low = made(0, 300), made(10, 200), made(120, 320, 30), made(350, 390)
+    assert mapping.weighed([low, worse, short, best]) == [best]
