@@ -87,18 +87,6 @@ def bounded_index(at: Column, sorted_loci: Column) -> Column:
     return F.greatest(F.lit(0), F.least(below, F.size(sorted_loci) - 3))
 
 
-def near_ends(hits: DataFrame, enzyme: Enzyme, within: int = 30, least: int = 200) -> DataFrame:
-    """hits (qseq, qbeg, qend, sseq, sbeg, send on one strand) with ends: whether both ends of an alignment of `least` bases lie at a site,
-    within `within` bases on read and reference alike, and `least` bases away from the ends of either sequence."""
-    def there(seq: str, at: str) -> Column:
-        n = F.length(seq)
-        around = F.substring(F.col(seq), F.col(at) - within + 1, F.lit(2 * within + len(enzyme.motif)))
-        return (F.col(at) >= least) & (F.col(at) <= n - least) & (F.instr(around, enzyme.motif) > 0)
-
-    both = there("qseq", "qbeg") & there("qseq", "qend") & there("sseq", "sbeg") & there("sseq", "send")
-    return hits.withColumn("ends", both & (F.col("qend") - F.col("qbeg") >= least) & (F.col("send") - F.col("sbeg") >= least))
-
-
 def top_hits(hits: DataFrame, read: str = "qid", most: int = 3) -> DataFrame:
     """The hits of each read with the greatest scores; ties go to the smaller reference place."""
     w = Window.partitionBy(read).orderBy(F.desc("score"), "sid", "sbeg", "qbeg", "strand")

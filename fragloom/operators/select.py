@@ -12,25 +12,42 @@ def quality(frags: DataFrame, size: int = 100, mapq: int = 5, identity: float =
     return frags.where((F.col("frag_size") >= size) & (F.col("mapq") >= mapq) & (F.col("identity") >= identity))
 
 
-def take_budget(rows: DataFrame, order: list[str], size: str, budget: int, buckets: int = 64) -> DataFrame:
-    """Rows in order until their sizes reach the budget; the row that reaches it is the last.
+def take_budget(rows: DataFrame, order: list[str], size: str, budget: int, buckets: int = 64, most: int = 1_000_000) -> DataFrame:
+    """Rows in order until their sizes reach the budget; the row that reaches it is the last. order[0]: a number.
 
-    The total order is dealt to ranges of the first order column: sums of the ranges before (a row for each range) let each range sum
-    its own rows, so that no task sees all rows.
+    Sums of ranges of the first order column (a row for each of `buckets` ranges reaches the driver) tell in which range the
+    budget is reached; that range is cut again until it has `most` rows or a single value. Ranges before it are taken whole,
+    and only its rows are summed one by one.
     """
-    at = order[0]
-    cuts = rows.approxQuantile(at, [i / buckets for i in range(1, buckets)], 0.001)
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + F.when(F.col(at) > F.lit(c), 1).otherwise(0)
-    dealt = rows.withColumn("_part", part)
-    sums = dealt.groupBy("_part").agg(F.sum(size).alias("_own"))
-    before = F.coalesce(F.sum("_own").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lead = sums.select("_part", before.alias("_before"))  # at most `buckets` rows
-    run = F.sum(size).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = dealt.join(F.broadcast(lead), "_part").withColumn("_run", F.col("_before") + run)
-    return out.where(F.col("_run") - F.col(size) < budget).drop("_part", "_before", "_run")
+    at, low, high, before = F.col(order[0]), None, None, 0
+    while True:
+        inside = rows if low is None else rows.where(at > low)
+        inside = inside if high is None else inside.where(at.isNull() | (at <= high))
+        cuts = sorted(set(inside.approxQuantile(order[0], [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+        part = F.lit(0)
+        for c in cuts:
+            part = part + F.when(at > F.lit(c), 1).otherwise(0)
+        sums = inside.groupBy(part.alias("part")).agg(F.sum(size).alias("own"), F.count("*").alias("n"), F.min(at).alias("least"), F.max(at).alias("greatest")).orderBy("part").collect()
+        upto, hit = before, None
+        for i, r in enumerate(sums):
+            if upto + (r["own"] or 0) >= budget:
+                hit = i
+                break
+            upto += r["own"] or 0
+        if hit is None:  # all rows together stay below the budget
+            return rows if high is None else rows.where(at.isNull() | (at <= high))
+        before, r = upto, sums[hit]
+        last = sums[hit - 1]["greatest"] if hit else None
+        low = low if last is None else last
+        whole = r["least"] == r["greatest"] or r["greatest"] is None
+        if whole or r["n"] <= most or len(sums) == 1:
+            break
+        high = r["greatest"]
+    edge = at.isNull() if r["greatest"] is None else at <= r["greatest"] if low is not None else at.isNull() | (at <= r["greatest"])
+    crossing = rows.where(edge if low is None else edge & (at > low))
+    run = F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    taken = crossing.withColumn("_run", F.lit(before) + run).where(F.col("_run") - F.col(size) < budget).drop("_run")
+    return taken if low is None else rows.where(at.isNull() | (at <= low)).unionByName(taken)
 
 
 def coverage_capped(frags: DataFrame, lengths: DataFrame, cover: int, cap: int = 200, fresh: int = 20) -> DataFrame:

@@ -27,7 +27,7 @@ def query(*ctes: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = (f"with {', '.join(ctes)} " if ctes else "") + sql
+            ORACLE_SQL[f.__name__] = (f"with recursive {', '.join(ctes)} " if ctes else "") + sql
         return f
 
     return add
@@ -204,7 +204,18 @@ def amb_promotion(spark, d):
     return _hp(haplotypes.promote(A.frags(spark, d).withColumn("amb_hp", F.col("mapq") % 3)))
 
 
-@query()
+@query(
+    A.FRAGS, "g as (select *, count(*) filter (hp = 1) over w > 0 and count(*) filter (hp = 2) over w > 0 mixed from frags window w as (partition by read_id, subject_id))",
+    """near as (select f.read_id, f.subject_id, f.frag_id f, f.hp, g.frag_id from g f join g using (read_id, subject_id)
+ where f.hp > 0 and f.mixed and abs(f.subject_offset - g.subject_offset) <= case when abs(f.frag_id - g.frag_id) = 1 then 29500000 else 16500000 end)""",
+    """claims as (select read_id, subject_id, frag_id, hp from near union select g.read_id, g.subject_id, g.frag_id, a.hp from near a join near b using (read_id, subject_id, f) join g on g.read_id = a.read_id and g.subject_id = a.subject_id
+ and g.frag_id = a.frag_id + 1 and b.frag_id = a.frag_id + 2)""",
+    "sides as (select read_id, subject_id, frag_id, bool_or(hp = 1) one, bool_or(hp = 2) two from claims group by all)",
+    """new as (select read_id, subject_id, frag_id, case when not mixed then hp when coalesce(one, false) and (not coalesce(two, false) or hp = 1) then 1 when coalesce(two, false) and (not coalesce(one, false) or hp = 2) then 2 else 0 end hp
+ from g left join sides using (read_id, subject_id, frag_id))""",
+    "n as (select *, count(*) over r n, count(*) filter (hp = 1) over r n1, count(*) filter (hp = 2) over r n2 from new window r as (partition by read_id, subject_id))",
+    sql="select read_id, frag_id, cast(case when hp > 0 then hp when n1 > 0 and (n2 = 0 or n1 / n >= 0.8) then 1 when n2 > 0 and (n1 = 0 or n2 / n >= 0.8) then 2 else 0 end as bigint) hp from n",
+)
 def distance_impute(spark, d):
     return _hp(haplotypes.impute_by_distance(A.frags(spark, d)))
 
@@ -351,9 +362,11 @@ HITS = 'hits as (select read_id, frag_id * 30 qbeg, frag_id * 30 + frag_size qen
 
 
 @query(
-    A.FRAGS, HITS,
-    sql="""select * from hits h where not exists (select 1 from hits o where o.read_id = h.read_id and o.qbeg <= h.qbeg + 10 and o.qend >= h.qend - 10 and o.sbeg <= h.sbeg + 10 and o.send >= h.send - 10
- and (o.score > h.score or o.score = h.score and (o.qbeg, o.sbeg, o.qend, o.send) < (h.qbeg, h.sbeg, h.qend, h.send)))""",
+    A.FRAGS, HITS, "ranked as (select *, row_number() over (partition by read_id order by score desc, qbeg, sbeg, qend, send) k from hits)",
+    """taking as (select read_id, cast(0 as bigint) k, false taken, cast([] as struct(a bigint, b bigint, c bigint, d bigint)[]) held from (select distinct read_id from hits) union all
+ select r.read_id, r.k, x.free, case when x.free then list_append(held, {'a': cast(qbeg as bigint), 'b': cast(qend as bigint), 'c': cast(sbeg as bigint), 'd': cast(send as bigint)}) else held end from taking t join ranked r on r.read_id = t.read_id and r.k = t.k + 1,
+ lateral (select len(list_filter(held, lambda h: h.a <= qbeg + 10 and h.b >= qend - 10 and h.c <= sbeg + 10 and h.d >= send - 10)) = 0 free) x)""",
+    sql="select r.* exclude (k) from ranked r join taking t using (read_id, k) where taken",
 )
 def not_contained(spark, d):
     hits = A.frags(spark, d).select(
@@ -680,3 +693,21 @@ MASKED = f"""t as (select {_AT}),
 @query(A.GENOME, BASES, ALL_KMERS, MASKED, sql="select sid chr, cast(min(p) as bigint) start, cast(max(p) + 1 as bigint) stop from kept group by sid, run")
 def repeat_mask(spark, d):
     return masking.repeat_regions(A.genome(spark, d))
+
+
+@query()
+def enzyme_by_alignment(spark, d):
+    return enzymes.winner(mapping.infer_enzyme(A.reads(spark, d), A.genome(spark, d)))
+
+
+@query()
+def tag_reads(spark, d):
+    """Fragments of mapped reads, tagged by SNPs (every 50th base of the genome, the other allele its complement) and imputed."""
+    genome = A.genome(spark, d)
+    at = genome.select("sid", F.explode(F.sequence(F.lit(25), F.length("seq") - 1, F.lit(50))).alias("soff"), "seq")
+    ref = F.substring("seq", F.col("soff") + 1, F.lit(1))
+    even = (F.col("soff") / 50).cast("long") % 2
+    snps = at.select("sid", F.col("soff").cast("long").alias("soff"), ref.alias("ref"), F.translate(ref, "ACGT", "TGCA").alias("alt"), even.alias("gt0"), (1 - even).alias("gt1"))
+    fragments = mapping.map_reads(A.reads(spark, d), genome, DPNII, K, STRIDE)
+    tagged, imputed = haplotypes.tag_fragments(fragments, snps)
+    return haplotypes.tag_counts(tagged, imputed)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kmers
 from ..operators import mapping as M
-from ..operators.enzymes import Enzyme
+from ..operators.enzymes import CATALOGUE, Enzyme, parse
 from ..sources.writers import cigar
 
 #: Bases of a piece of the reference; a chromosome is a row for each piece, and never one value.
@@ -104,6 +104,39 @@ def map_reads(reads: DataFrame, genome: DataFrame, enzyme: Enzyme | None = None,
     return alignments(candidates(seeds, reads, k, options), reads, genome, enzyme, options)
 
 
+def infer_enzyme(reads: DataFrame, genome: DataFrame, catalogue: dict[str, str] = CATALOGUE, within: int = 30, least: int = 200) -> DataFrame:
+    """(enzyme, n): alignments, found without sites, of `least` bases whose both ends lie near a site of the enzyme on read and
+    reference. `winner` picks one."""
+    found = map_reads(reads, genome).withColumn("qsize", F.col("qsize").cast("long"))
+    strand = F.col("qdir") == 1
+    hits = found.join(reads.select(F.col("qid").alias("read_id"), "seq"), "read_id").select(
+        F.monotonically_increasing_id().alias("hit"), F.when(strand, kmers.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("qseq"), "subject_id", "ssize", "soff", "send",
+        F.when(strand, F.col("qsize") - F.col("fwd_qend")).otherwise(F.col("fwd_qoff")).alias("qbeg"), F.when(strand, F.col("qsize") - F.col("fwd_qoff")).otherwise(F.col("fwd_qend")).alias("qend"),
+    )
+    wide = within + 8
+    around = lambda seq, at: F.substring(seq, F.greatest(F.lit(1), at - wide + 1).cast("int"), (F.least(at, F.lit(wide)) + wide).cast("int"))
+    # pieces that overlap by a window on either side hold the bases around any place whole
+    n = F.length("seq")
+    rows = genome.where(n > 0).withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int"))))
+    start = F.greatest(F.lit(0), F.col("piece") * PIECE - wide)
+    parts = rows.select(F.col("sid").alias("subject_id"), "piece", start.cast("long").alias("start"), F.substring("seq", (start + 1).cast("int"), F.lit(PIECE + 2 * wide)).alias("part"))
+    for end in ("soff", "send"):
+        hits = hits.withColumn("piece", F.floor(F.least(F.col(end), F.col("ssize") - 1) / PIECE).cast("int")).join(parts, ["subject_id", "piece"])
+        hits = hits.withColumn(f"at_{end}", around(F.col("part"), F.col(end) - F.col("start"))).drop("piece", "start", "part")
+    there = lambda at, size, text, motif: (at >= least) & (at <= size - least) & (F.instr(text, motif) > 0)
+    kinds = []
+    for name, site in sorted(catalogue.items()):
+        motif = parse(site).motif
+        near = lambda text, at, m=motif: F.substring(text, (F.least(at, F.lit(wide)) - within + 1).cast("int"), F.lit(2 * within + len(m)))
+        on_read = [there(F.col(c), F.length("qseq"), near(around(F.col("qseq"), F.col(c)), F.col(c)), motif) for c in ("qbeg", "qend")]
+        on_ref = [there(F.col(c), F.col("ssize"), near(F.col(f"at_{c}"), F.col(c)), motif) for c in ("soff", "send")]
+        good = on_read[0] & on_read[1] & on_ref[0] & on_ref[1] & (F.col("qend") - F.col("qbeg") >= least) & (F.col("send") - F.col("soff") >= least)
+        kinds.append(F.struct(F.lit(name).alias("enzyme"), good.cast("long").alias("n")))
+    counted = hits.select(F.explode(F.array(*kinds)).alias("e")).groupBy("e.enzyme").agg(F.sum("e.n").alias("n"))
+    names = reads.sparkSession.createDataFrame([(n,) for n in sorted(catalogue)], "enzyme string")
+    return names.join(F.broadcast(counted), "enzyme", "left").select("enzyme", F.coalesce("n", F.lit(0)).cast("long").alias("n"))  # a row for each enzyme
+
+
 def mapping_quality(rows: DataFrame, group: list[str], pi: str, kind: str) -> DataFrame:
     """rows with mapq: from how far the best competitor of the same group is behind, as expressions."""
     from pyspark.sql import Window

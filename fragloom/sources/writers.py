@@ -1,11 +1,18 @@
-"""Writers: alignments as PAF and SAM, fragment lists, BED, FASTQ, and tables split by chromosome."""
+"""Writers: alignments as PAF, SAM and BAM, fragment lists, BED, FASTQ, and tables split by chromosome."""
 
 from __future__ import annotations
 
+import os
+import re
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FORMATS = ("sam", "frag-sam", "paf")
+FORMATS = ("sam", "frag-sam", "bam", "frag-bam", "paf")
 DEFAULT_FORMAT = "paf"
 VERSION = "0.1"
 
@@ -85,11 +92,96 @@ def write_lines(lines: DataFrame, path: str, header: list[str] | None = None, mo
         lines.sparkSession.createDataFrame([(x,) for x in header], "value string").coalesce(1).write.mode(mode).text(f"{path.rstrip('/')}-header")
 
 
+#: Bytes of records in a compressed block, and how SAM's letters are numbered in BAM.
+BLOCK = 65_280
+_OPS, _LETTERS = "MIDNSHP=X", {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}
+
+
+def bgzf(data: bytes) -> bytes:
+    """A block: a gzip member that says its own size, so that readers can begin at any."""
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    head = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _bin(start: int, stop: int) -> int:
+    """The smallest of the nested bins (512 Mb, and eight times less each) that holds [start, stop)."""
+    stop -= 1
+    for level, shift in ((5, 14), (4, 17), (3, 20), (2, 23), (1, 26)):
+        if start >> shift == stop >> shift:
+            return ((1 << 3 * level) - 1) // 7 + (start >> shift)
+    return 0
+
+
+def bam_record(line: str, ids: dict[str, int]) -> bytes:
+    """A SAM line as a BAM record; ids: numbers of the reference sequences."""
+    name, flag, rname, pos, mapq, cigar_, rnext, pnext, tlen, seq, qual, *tags = line.split("\t")
+    runs = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar_)]
+    tid, at = ids.get(rname, -1), int(pos) - 1
+    size, seq = (0, "") if seq == "*" else (len(seq), seq)
+    codes = [_LETTERS.get(c, 15) for c in seq.upper()] + [0] * (size & 1)
+    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+    quality = b"\xff" * size if qual == "*" else bytes(ord(c) - 33 for c in qual)
+    reach = sum(n for n, op in runs if op in "MDN=X") or 1
+    body = struct.pack("<iiBBHHHiiii", tid, at, len(name) + 1, int(mapq), _bin(max(at, 0), max(at, 0) + reach), len(runs), int(flag), size, tid if rnext == "=" else ids.get(rnext, -1), int(pnext) - 1, int(tlen))
+    body += name.encode() + b"\0" + struct.pack(f"<{len(runs)}I", *(n << 4 | _OPS.index(op) for n, op in runs)) + packed + quality
+    for tag in tags:
+        key, kind, value = tag.split(":", 2)
+        body += key.encode() + (b"i" + struct.pack("<i", int(value)) if kind == "i" else b"f" + struct.pack("<f", float(value)) if kind == "f" else b"Z" + value.encode() + b"\0")
+    return struct.pack("<i", len(body)) + body
+
+
+def bam_head(names: list[tuple[str, int]]) -> bytes:
+    text = ("\n".join(sam_header(names)) + "\n").encode()
+    out = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(names))
+    for name, size in names:
+        out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
+    return out
+
+
+def bam_blocks(lines: Iterator[str], names: list[tuple[str, int]]) -> Iterator[bytes]:
+    """The blocks of a BAM file of SAM lines, the empty one at the end included; a record may go on in the next block."""
+    ids = {n: i for i, (n, _) in enumerate(names)}
+    held = bam_head(names)
+    for line in lines:
+        held += bam_record(line, ids)
+        while len(held) >= BLOCK:
+            yield bgzf(held[:BLOCK])
+            held = held[BLOCK:]
+    if held:
+        yield bgzf(held)
+    yield bgzf(b"")
+
+
+def write_bam(lines: DataFrame, path: str, names: list[tuple[str, int]]) -> None:
+    """SAM lines as BAM files, one of each partition, in a folder that all executors share.
+
+    A task writes under a name of its own and renames the file when it is whole, so a task that is run again replaces it.
+    """
+    os.makedirs(path, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        to = f"{path}/part-{context.partitionId():05d}.bam"
+        with open(f"{to}.{context.taskAttemptId()}", "wb") as f:
+            for block in bam_blocks((x for batch in batches for x in batch.column("value").to_pylist()), names):
+                f.write(block)
+        os.replace(f.name, to)
+        yield pa.RecordBatch.from_arrays([pa.array([to])], ["file"])
+
+    lines.select("value").mapInArrow(run, "file string").count()
+
+
 def write_alignments(rows: DataFrame, path: str, form: str = DEFAULT_FORMAT, names: list[tuple[str, int]] = ()) -> None:
     if form not in FORMATS:
         raise ValueError(f"{form}: one of {', '.join(FORMATS)}")
     if form == "paf":
         write_lines(paf_lines(rows), path)
+    elif form.endswith("bam"):
+        write_bam(sam_lines(rows, form == "frag-bam"), path, list(names))
     else:
         write_lines(sam_lines(rows, form == "frag-sam"), path, sam_header(list(names)))
 

@@ -87,3 +87,48 @@ def test_only_the_best_of_one_place_is_weighed():
     made = lambda a, b, bad=0: mapping.Alignment(0, a, b, 400, 0, a, b, "T" * bad + text[a + bad : b], "G" * bad + text[a + bad : b], 5)
     best, short, worse, low = made(0, 300), made(10, 200), made(120, 320, 30), made(350, 390)
     assert mapping.weighed([low, worse, short, best]) == [best]
+
+
+def simulated(r, genome, enzyme, n, flips=None):
+    """Reads of three fragments between sites; flips: {sid: {place: base}} of the second haplotype, which every other read has."""
+    reads, truth = [], []
+    for q in range(n):
+        read = ""
+        for _ in range(3):
+            sid = r.randint(0, len(genome) - 1)
+            text = genome[sid] if not flips or q % 2 == 0 else "".join(flips[sid].get(i, c) for i, c in enumerate(genome[sid]))
+            sites = [x for x in enzymes.site_offsets(genome[sid], enzyme).tolist() if 500 < x < len(text) - 500]
+            i = r.choice([i for i in range(len(sites) - 1) if 250 <= sites[i + 1] - sites[i] <= 1500])
+            part = text[sites[i] : sites[i + 1]]
+            read += mapping.reverse(part) if r.randint(0, 1) else part
+        reads.append((q, read))
+    return reads, truth
+
+
+def test_enzymes_are_told_by_alignments(spark):
+    r = random.Random(4)
+    enzyme = enzymes.parse("^GATC")
+    genome = {s: "".join(r.choice("ACGT") for _ in range(20_000)) for s in range(2)}
+    reads, _ = simulated(r, genome, enzyme, 12)
+    counted = plan.infer_enzyme(spark.createDataFrame(reads, "qid long, seq string"), spark.createDataFrame(list(genome.items()), "sid long, seq string"))
+    got = {x.enzyme: x.n for x in counted.collect()}
+    assert set(got) == set(enzymes.CATALOGUE)
+    best = enzymes.winner(counted).first()
+    assert enzymes.parse(enzymes.CATALOGUE[best.enzyme]).motif == "GATC" and best.best >= 2
+
+
+def test_tags_of_simulated_haplotypes(spark):
+    from fragloom.operators import haplotypes
+
+    r = random.Random(6)
+    enzyme = enzymes.parse("^GATC")
+    genome = {s: "".join(r.choice("ACGT") for _ in range(20_000)) for s in range(2)}
+    other = {"A": "C", "C": "A", "G": "T", "T": "G"}
+    flips = {s: {i: other[g[i]] for i in range(60, len(g), 97) if "GATC" not in g[i - 4 : i + 5] and "GATC" not in g[i - 4 : i] + other[g[i]] + g[i + 1 : i + 5]} for s, g in genome.items()}
+    reads, _ = simulated(r, genome, enzyme, 10, flips)
+    snps = [(s, i, genome[s][i], b, 0, 1) for s, own in flips.items() for i, b in own.items()]
+    fragments = plan.map_reads(spark.createDataFrame(reads, "qid long, seq string"), spark.createDataFrame(list(genome.items()), "sid long, seq string"), enzyme)
+    tagged, imputed = haplotypes.tag_fragments(fragments, spark.createDataFrame(snps, "sid long, soff long, ref string, alt string, gt0 long, gt1 long"))
+    rows = tagged.collect()
+    assert len(rows) >= 20 and all(x.hp in (0, x.read_id % 2 + 1) for x in rows) and sum(x.hp > 0 for x in rows) >= 0.8 * len(rows)
+    assert {(x.step, x.hp) for x in haplotypes.tag_counts(tagged, imputed).collect()} >= {("tagged", 1), ("imputed", 2)}

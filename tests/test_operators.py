@@ -154,3 +154,24 @@ def test_mask_against_plain_loops():
         for a, b in masking.mask(score, k, n, 6, 4):
             got[a:b] = True
         assert got.tolist() == masked
+
+
+def test_containment_looks_at_hits_taken(spark):
+    rows_ = [(1, 0, 100, 0, 100, 9), (1, 8, 108, 8, 108, 8), (1, 16, 116, 16, 116, 7), (2, 16, 116, 16, 116, 7)]
+    df = spark.createDataFrame(rows_, "read_id long, qbeg long, qend long, sbeg long, send long, score long")
+    assert rows(intervals.not_contained(df, ["read_id"]), "read_id", "score") == [(1, 7), (1, 9), (2, 7)]
+
+
+def test_budget_within_a_narrowed_range(spark):
+    df = spark.range(5_000).selectExpr("id i", "id % 7 + 1 n")
+    total, expected = 0, []
+    for i in range(5_000):
+        if total >= 9_000:
+            break
+        expected.append((i,))
+        total += i % 7 + 1
+    for most in (10, 1_000_000):
+        assert rows(select.take_budget(df, ["i"], "n", 9_000, buckets=8, most=most), "i") == expected
+    assert select.take_budget(df, ["i"], "n", 10**9).count() == 5_000
+    same = df.selectExpr("1 i", "i j", "n")
+    assert select.take_budget(same, ["i", "j"], "n", 100, most=10).count() == select.take_budget(df, ["i"], "n", 100).count()
