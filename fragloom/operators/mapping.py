@@ -411,6 +411,79 @@ def smoothed(chain: list[Alignment], found: list[Alignment], reads: tuple[str, s
     return out
 
 
+def _spanning(x: Alignment, q: tuple[int, int], s: tuple[int, int], read: str, ref: Reference) -> Alignment | None:
+    """x over the read [q) and the reference [s) instead, both of its strand; None where the reference isn't known or lengths differ."""
+    text, at = ref.text(x.sid, *s)
+    if s[1] <= s[0] or at != s[0] or len(text) < s[1] - s[0] or q[1] <= q[0] or abs(1 - (q[1] - q[0]) / (s[1] - s[0])) > 0.2:
+        return None
+    a, b, _ = al.edit_align(read[q[0] : q[1]], text)
+    return replace(x, qoff=q[0], qend=q[1], soff=s[0], send=s[1], a=a, b=b)
+
+
+def _reach(x: Alignment, side: int, to: int, read: str, ref: Reference) -> Alignment | None:
+    """x grown on a side (0: left, 1: right of the forward read) to a place of the forward read, and to its site on the reference."""
+    left = (side == 0) == (x.qdir == 0)
+    at = to if x.qdir == 0 else x.qsize - to
+    if (x.es[0] if left else x.es[1]) < 0:
+        return None
+    y = _spanning(x, (at, x.qend) if left else (x.qoff, at), (x.es[0], x.send) if left else (x.soff, x.es[1]), read, ref)
+    if not y or y.pi < x.pi - 5 and (side == 0 or y.pi < 75):
+        return None
+    return replace(y, eq=(at, x.eq[1]) if left else (x.eq[0], at))
+
+
+def _to_the_end(x: Alignment, side: int, read: str, ref: Reference, most: int = 300, slack: int = 50) -> Alignment:
+    """x grown to the read's end on that side, where little is left of it."""
+    left = (side == 0) == (x.qdir == 0)
+    free_q, free_s = (x.qoff, x.soff) if left else (x.qsize - x.qend, ref.sizes[x.sid] - x.send)
+    n, m = min(free_q, free_s + slack), min(free_q + slack, free_s)
+    if n > most or m > most or not n or not m:
+        return x
+    text, at = ref.text(x.sid, x.soff - m, x.soff) if left else ref.text(x.sid, x.send, x.send + m)
+    if len(text) < m or at != (x.soff - m if left else x.send):
+        return x
+    own = read[x.qoff - n : x.qoff] if left else read[x.qend : x.qend + n]
+    a, b, _ = al.prefix_align(own[::-1], text[::-1]) if left else al.prefix_align(own, text)
+    q, s = n, len(b) - b.count("-")
+    if left:
+        y = replace(x, qoff=x.qoff - q, soff=x.soff - s, a=a[::-1] + x.a, b=b[::-1] + x.b)
+        return replace(y, eq=(0, y.eq[1])) if y.qoff == 0 else y
+    y = replace(x, qend=x.qend + q, send=x.send + s, a=x.a + a, b=x.b + b)
+    return replace(y, eq=(y.eq[0], y.qsize)) if y.qend == y.qsize else y
+
+
+def closed(chain: list[Alignment], reads: tuple[str, str], ref: Reference, near: int = 200) -> list[Alignment]:
+    """The chain without gaps that a neighbour's alignment can fill: where one ends on a site of the read, the other grows to it, if it stays
+    about as identical; and the outer ones grow to the read's ends."""
+    out = list(chain)
+
+    def on_site(x: Alignment, side: int) -> bool:
+        left = (side == 0) == (x.qdir == 0)
+        return x.qoff == x.eq[0] if left else x.qend == x.eq[1]
+
+    if out and (0 < out[0].span[0] < near):
+        out[0] = _to_the_end(out[0], 0, reads[out[0].qdir], ref)
+    for i in range(len(out) - 1):
+        p, x = out[i], out[i + 1]
+        if p.span[1] >= x.span[0]:
+            continue
+        y = _reach(x, 0, p.span[1], reads[x.qdir], ref) if on_site(p, 1) else None
+        if y:
+            out[i + 1] = y
+        elif on_site(x, 0) and (y := _reach(p, 1, x.span[0], reads[p.qdir], ref)):
+            out[i] = y
+    if out and (0 < out[-1].qsize - out[-1].span[1] < near):
+        out[-1] = _to_the_end(out[-1], 1, reads[out[-1].qdir], ref)
+    return out
+
+
+def kind_of(chain: list[Alignment], o: Options = Options()) -> str:
+    """What a chain is: complete or not, and with all, or some, of its ends on sites."""
+    if not is_complete(chain, o):
+        return MOST
+    return PERFECT if all(all(x.sites) for x in chain) else PSEUDO if all(all(x.near_sites) for x in chain) else COMPLETE
+
+
 #: Certainty of each kind of chain.
 CERTAINTY = {PERFECT: 0.9999999, PSEUDO: 0.99999, COMPLETE: 0.99999, MOST: 0.999}
 
@@ -572,6 +645,9 @@ def map_read(read: str, hits: list[tuple[int, int, tuple]], ref: Reference, enzy
     found = distinct(found)
     chain, kind = choose(found, o)
     chain = smoothed(chain, found, strands, ref, o)
+    if kind != PERFECT and enzyme:
+        chain = closed(chain, strands, ref)
+        kind = kind_of(chain, o) if kind == MOST and is_complete(chain, o) else kind
     chain = with_quality(chain, found, kind, o)
     if enzyme:
         chain = [at_cut(x, enzyme, strands[x.qdir], ref) for x in chain]

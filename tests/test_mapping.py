@@ -132,3 +132,18 @@ def test_tags_of_simulated_haplotypes(spark):
     rows = tagged.collect()
     assert len(rows) >= 20 and all(x.hp in (0, x.read_id % 2 + 1) for x in rows) and sum(x.hp > 0 for x in rows) >= 0.8 * len(rows)
     assert {(x.step, x.hp) for x in haplotypes.tag_counts(tagged, imputed).collect()} >= {("tagged", 1), ("imputed", 2)}
+
+
+def test_gaps_are_closed_by_a_neighbour():
+    r = random.Random(21)
+    text = "".join(r.choice("ACGT") for _ in range(1_200))
+    for turned in (False, True):
+        reads = (mapping.reverse(text), text) if turned else (text, mapping.reverse(text))
+        ref = mapping.Reference([(0, 0, text)], {0: len(text)})
+        made = lambda a, b, es: mapping.Alignment(int(turned), a, b, 1_200, 0, a, b, text[a:b], text[a:b], 5, eq=es, es=es)
+        parts = [made(30, 400, (0, 400)), made(520, 1_180, (400, 1_200))]
+        out = mapping.closed(sorted(parts, key=lambda x: x.span), reads, ref)
+        assert sorted((x.qoff, x.qend, x.soff, x.send) for x in out) == [(0, 400, 0, 400), (400, 1_200, 400, 1_200)] and all(x.pi == 100 for x in out)
+        assert mapping.is_complete(out) and mapping.kind_of(out) == mapping.PERFECT
+    strange = mapping.Reference([(0, 0, text[:450] + "A" * 60 + text[510:])], {0: len(text)})
+    assert mapping.closed([made(30, 400, (0, 400)), made(520, 700, (400, 700))], reads, strange)[-1].qoff in (400, 520)
