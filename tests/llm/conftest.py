@@ -26,4 +26,5 @@ def odd(spark):
 
 @pytest.fixture(scope="session")
 def labels(spark):
-    return spark.createDataFrame([(i, 1, int(i == 1)) for i in (1, 2, 4, 7, 8, 9, 10)] + [(None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int")
+    known = spark.createDataFrame([(i, 1, int(i == 1)) for i in (1, 2, 4, 7, 8, 9, 10)] + [(None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int")
+    return known.selectExpr("*", *(f"'x' as {c}" for c in ("text", "lang", "score", "positive", "domain", "rate", "label", "held_out")))
