@@ -101,3 +101,8 @@ def chain_summary(chain: DataFrame, key: str = "qid") -> DataFrame:
     seen = F.max("fwd_qend").over(w.rowsBetween(Window.unboundedPreceding, -1))
     own = F.greatest(F.lit(0), F.col("fwd_qend") - F.greatest(F.col("fwd_qoff"), F.coalesce(seen, F.lit(0))))
     return chain.withColumn("_own", own).groupBy(key).agg(F.round(F.avg("pi"), 6).alias("avg_pi"), F.sum("_own").alias("covered"))
+
+
+def mapped_totals(fragments: DataFrame) -> DataFrame:
+    """One row: reads with a fragment, fragments, and their bases."""
+    return fragments.agg(F.count_distinct("read_id").alias("reads"), F.count("*").alias("frags"), F.coalesce(F.sum("frag_size"), F.lit(0)).cast("long").alias("bases"))

@@ -127,9 +127,17 @@ def with_ids(seqs: DataFrame) -> DataFrame:
 
 
 def batches_of(seqs: DataFrame, bases: int) -> DataFrame:
-    """seqs with batch: groups of about that many bases, by a hash of the name and the total (one sum)."""
-    total = seqs.agg(F.sum("seq_size")).first()[0] or 0
-    return seqs.withColumn("batch", F.pmod(F.xxhash64("name"), F.lit(max(1, -(-total // bases)))))
+    """seqs (name, seq_size) with batch, in order of names: a batch ends with the sequence that its bases reach `bases` with.
+
+    Ranges of names are sorted apart; of each, its sum alone is added up before it. A batch may so begin within a sequence's
+    own bases of its even share, and never holds more than `bases` and its last sequence.
+    """
+    ranged = seqs.repartitionByRange("name").sortWithinPartitions("name").withColumn("_part", F.spark_partition_id())
+    sums = ranged.groupBy("_part").agg(F.sum("seq_size").alias("_own"))
+    lead = sums.select("_part", F.coalesce(F.sum("_own").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
+    own = F.sum("seq_size").over(Window.partitionBy("_part").orderBy("name").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.col("_before") + own - F.col("seq_size")
+    return ranged.join(F.broadcast(lead), "_part").withColumn("batch", F.floor(upto / bases)).drop("_part", "_before")
 
 
 def read_bed(spark: SparkSession, paths, names: DataFrame) -> DataFrame:

@@ -237,13 +237,19 @@ def split_by(rows: DataFrame, chromosome: str, path: str, compression: str = "zs
     rows.write.partitionBy(chromosome).option("compression", compression).parquet(path)
 
 
-def split_vcf(records: DataFrame, path: str, snp: bool = False, passed: bool = False) -> None:
+def split_vcf(records: DataFrame, path: str, snp: bool = False, passed: bool = False, names: list[str] = ()) -> None:
+    """A folder for each chromosome, SNPs or passed records alone if asked for; listed chromosomes without rows get an empty one."""
     keep = F.lit(True)
     if snp:
         keep &= F.col("ref").rlike("^[ACGT]$") & F.col("alt").rlike("^[ACGT](,[ACGT])*$")
     if passed:
         keep &= F.col("filter") == "PASS"
-    split_by(records.where(keep), "chrom", path)
+    kept = records.where(keep)
+    split_by(kept, "chrom", path)
+    if names:
+        there = {r[0] for r in kept.select("chrom").where(F.col("chrom").isin(list(names))).distinct().collect()}  # listed names at most
+        for name in sorted(set(names) - there):
+            kept.limit(0).drop("chrom").coalesce(1).write.parquet(f"{path.rstrip('/')}/chrom={name}")
 
 
 def merge_split(spark: SparkSession, path: str, chromosome: str, order: list) -> DataFrame:

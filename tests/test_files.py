@@ -121,3 +121,39 @@ def test_bam_round_trip(spark, tmp_path):
     assert record["seq"] == "ACGTNACG" and record["qual"] == "IIIIIII!" and record["cigar"] == "2S3M1D2I1M" and record["tags"] == {"pi": "93.5", "SA": "x:y"} and record["pos"] == 100
     assert writers.bgzf(b"") == bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
     assert (writers._bin(0, 1), writers._bin(0, 1 << 29), writers._bin(1 << 14, (1 << 14) + 5), writers._bin((1 << 14) - 1, (1 << 14) + 1)) == (4681, 0, 4682, 585)
+
+
+def test_batches_by_bases(spark):
+    sizes = [(f"r{i:03d}", 10 + i % 7) for i in range(200)]
+    got = readers.batches_of(spark.createDataFrame(sizes, "name string, seq_size long"), 100).orderBy("name").collect()
+    batch = [x.batch for x in got]
+    assert batch == sorted(batch) and set(batch) == set(range(max(batch) + 1))
+    for b in set(batch):
+        own = [x.seq_size for x in got if x.batch == b]
+        assert sum(own) - own[-1] <= 100
+
+
+def test_sizes():
+    from fragloom.functions import sizes
+
+    assert [sizes.parse_size(x) for x in ("17", "4k", "8MB", "1,000", "2g")] == [17, 4096, 8 << 20, 1000, 2 << 30]
+    for bad in ("", "x", "3T", "-1", "1.5K", "99999999999999999999"):
+        with pytest.raises(ValueError):
+            sizes.parse_size(bad)
+    assert [sizes.size_text(x) for x in (0, 999, 1000, 1_234_567, 999_999, 25_600_000_000)] == ["0", "999", "1.00KB", "1.23MB", "1.00MB", "25.6GB"]
+    assert sizes.with_separators(1234567) == "1,234,567"
+
+
+def test_listed_chromosomes_without_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("chr1", 5, "A", "C", "PASS"), ("chr1", 9, "AT", "C", "PASS")], "chrom string, pos long, ref string, alt string, filter string")
+    writers.split_vcf(rows, str(tmp_path / "v"), snp=True, names=["chr1", "chr2"])
+    assert spark.read.parquet(str(tmp_path / "v/chrom=chr1")).count() == 1 and spark.read.parquet(str(tmp_path / "v/chrom=chr2")).count() == 0
+
+
+def test_names_indices_and_tags(spark, tmp_path):
+    from fragloom.operators import enzymes, variants
+
+    df = spark.createDataFrame([(0, 10, 20, "chr1", 5, 15, 93.14159)], "qdir int, qb long, qe long, sname string, s long, e long, pi double")
+    assert df.select(writers.sa_tag("qdir", "qb", "qe", "sname", "s", "e", "pi")).first()[0] == "+:10:20:chr1:5:15:93.1416"
+    loci = F.array(*(F.lit(x) for x in (0, 50, 90, 120, 121)))
+    assert [r[0] for r in spark.createDataFrame([(0,), (49,), (50,), (119,), (121,)], "at int").select(enzymes.bounded_index(F.col("at"), loci)).collect()] == [0, 0, 1, 2, 2]
