@@ -720,9 +720,9 @@ def mapped_totals(spark, d):
 
 @query(
     A.FRAGS, "g as (select read_id, coalesce(list(distinct mapq % 4) filter (hp > 0), []) a, coalesce(list(distinct mapq % 4) filter (hp = 0), []) b from frags group by read_id)",
-    sql="select read_id, len(list_filter(a, x -> not list_contains(b, x))) = 0 within from g",
+    sql="select read_id, len(list_filter(a, x -> not list_contains(b, x))) = 0 inside from g",
 )
 def subset_test(spark, d):
     kind = F.col("mapq") % 4
     tagged, others = F.collect_set(F.when(F.col("hp") > 0, kind)), F.collect_set(F.when(F.col("hp") == 0, kind))
-    return A.frags(spark, d).groupBy("read_id").agg(tagged.alias("a"), others.alias("b")).select("read_id", sets.is_subset(F.col("a"), F.col("b")).alias("within"))
+    return A.frags(spark, d).groupBy("read_id").agg(tagged.alias("a"), others.alias("b")).select("read_id", sets.is_subset(F.col("a"), F.col("b")).alias("inside"))
