@@ -720,7 +720,7 @@ def mapped_totals(spark, d):
 
 @query(
     A.FRAGS, "g as (select read_id, coalesce(list(distinct mapq % 4) filter (hp > 0), []) a, coalesce(list(distinct mapq % 4) filter (hp = 0), []) b from frags group by read_id)",
-    sql="select read_id, len(list_filter(a, x -> not list_contains(b, x))) = 0 inside from g",
+    sql="select read_id, len(list_filter(a, lambda x: not list_contains(b, x))) = 0 inside from g",
 )
 def subset_test(spark, d):
     kind = F.col("mapq") % 4
