@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer row is a slice of its own.
@@ -86,17 +85,19 @@ class Words:
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def distinct(self) -> tuple[pa.Array, np.ndarray]:
-        """The distinct words, and the number of each word's: their bytes are compared, so no two words are taken for one."""
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all words one after another, and where each begins (words + 1)."""
         inside = np.zeros(len(self.buf) + 1, np.int8)
         inside[self.starts] = 1
         inside[self.ends] -= 1
-        return distinct_spans(self.buf[np.cumsum(inside, dtype=np.int8)[:-1] > 0], np.append(0, np.cumsum(self.ends - self.starts)))
+        return self.buf[np.cumsum(inside, dtype=np.int8)[:-1] > 0], np.append(0, np.cumsum(self.ends - self.starts))
+
+    def distinct(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, and the number of each word's: their bytes are compared, so no two words are taken for one."""
+        return distinct_spans(*self.joined())
 
     def hashes(self) -> np.ndarray:
-        """XXH64 of each word."""
-        words, each = self.distinct()
-        return digests(words)[each]
+        return span_hashes(*self.joined())
 
 
 def distinct_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -106,9 +107,26 @@ def distinct_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.
     return spans.dictionary, spans.indices.to_numpy(zero_copy_only=False)
 
 
-def digests(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """XXH64 of each value."""
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()), U, len(words))
+#: Primes and bases of the polynomials that hash spans; bases' powers are made as long spans ask for them.
+_FIELDS = ((2_147_483_647, 1_493_877_001), (2_147_483_629, 1_072_064_893))
+_powers = [np.ones(1, U) for _ in _FIELDS]
+
+
+def span_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[offsets[i]:offsets[i + 1]]: values of its polynomial in two prime fields (spans of no byte are alike)."""
+    sizes = np.diff(offsets)
+    full = np.flatnonzero(sizes)
+    out = np.zeros(len(sizes), U)
+    if not len(full):
+        return out
+    at = offsets[:-1][full]
+    place = np.arange(len(data)) - np.repeat(at, sizes[full])
+    digits = data.astype(U) + U(1)
+    for k, (prime, base) in enumerate(_FIELDS):
+        while len(_powers[k]) <= int(sizes.max()):
+            _powers[k] = np.concatenate([_powers[k], _powers[k] * U(pow(base, len(_powers[k]), prime)) % U(prime)])
+        out[full] = out[full] << U(31) | np.add.reduceat(digits * _powers[k][place], at) % U(prime)
+    return mix(out)
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
