@@ -704,7 +704,7 @@ def enzyme_by_alignment(spark, d):
 def tag_reads(spark, d):
     """Fragments of mapped reads, tagged by SNPs (every 50th base of the genome, the other allele its complement) and imputed."""
     genome = A.genome(spark, d)
-    at = genome.select("sid", F.explode(F.sequence(F.lit(25), F.length("seq") - 1, F.lit(50))).alias("soff"), "seq")
+    at = genome.where(F.length("seq") > 25).select("sid", F.explode(F.sequence(F.lit(25), F.length("seq") - 1, F.lit(50))).alias("soff"), "seq")
     ref = F.substring("seq", F.col("soff") + 1, F.lit(1))
     even = (F.col("soff") / 50).cast("long") % 2
     snps = at.select("sid", F.col("soff").cast("long").alias("soff"), ref.alias("ref"), F.translate(ref, "ACGT", "TGCA").alias("alt"), even.alias("gt0"), (1 - even).alias("gt1"))
