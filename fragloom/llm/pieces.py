@@ -27,8 +27,8 @@ UNIGRAM, BPE = 1, 2
 #: Characters from which a chunk is looked through for places that no piece spans.
 LONG = 48
 SPACE = "▁"
-#: Distinct chunks that a task remembers; then it begins anew (some 40 MB).
-REMEMBERED = 200_000
+#: Distinct chunks that a task remembers; then it begins anew (some 100 MB).
+REMEMBERED = 600_000
 _B = 0x9E3779B97F4A7C15
 #: Pairs of pieces whose answer is remembered, each in its own slot (9 MB).
 _SLOTS = 1 << 20

@@ -20,8 +20,8 @@ from .textvec import Words, row_sums, slices
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of pieces in one call of the encoder.
 BATCH_BYTES = 256 << 10
-#: Pieces whose lengths a task remembers; then it begins anew (some 30 MB).
-REMEMBERED = 200_000
+#: Pieces whose lengths a task remembers; then it begins anew (some 90 MB).
+REMEMBERED = 600_000
 
 
 def check_safe(spec: dict) -> None:
