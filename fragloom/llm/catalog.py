@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_fingerprints, lm_score, media, merkle, mixing, pieces, simhash, substrings, token_counts, toxicity, url_filters
+from . import edit_fingerprints, lm_score, media, merkle, mixing, pieces, rotation_codes, simhash, substrings, token_counts, toxicity, treaps, url_filters
 from .shared import table
 
 
@@ -58,6 +58,16 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return rotation_codes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return treaps.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and the root folded again, of every document."""
     return merkle.manifest(table(spark, sf_dir, "documents"))
@@ -65,6 +75,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 import corpus_pipeline  # noqa: E402  deleted together with this package
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_mixing, op4_document_fingerprints, op5_toxicity, op6_media_columns, op7_lm_scoring, op8_substring_dedup, op9_simhash_near_dedup, op10_url_filters, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_mixing, op4_document_fingerprints, op5_toxicity, op6_media_columns, op7_lm_scoring, op8_substring_dedup, op9_simhash_near_dedup, op10_url_filters, op11_embedding_near_dedup, op12_ranked_search, op13_merkle_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.query
-ORACLE_SQL: dict[str, str] = {"op10_url_filters": url_filters.oracle(), "op13_merkle_manifest": merkle.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE_SQL: dict[str, str] = {"op10_url_filters": url_filters.oracle(), "op11_embedding_near_dedup": rotation_codes.oracle(), "op12_ranked_search": treaps.oracle(), "op13_merkle_manifest": merkle.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
