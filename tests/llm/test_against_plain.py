@@ -444,6 +444,25 @@ def test_common_parts_hide_no_passage(spark):
     assert got == passages_of(rows) and len(got) == 18
 
 
+def test_contexts_of_a_common_shingle_are_told_apart():
+    """A line in 60,000 surroundings, each in two documents: every document meets the other one of its kind."""
+    r, n = np.random.default_rng(8), 60_000
+    around = r.integers(0, 1 << 63, (n, 93)).astype(U)
+    around[:, 46] = 7  # the common shingle
+    again = r.integers(0, 1 << 63, (n, 93)).astype(U)
+    again[:, 28:65] = around[:, 28:65]  # one place alone is the same
+    item, row = np.concatenate([around, again]).ravel(), np.repeat(np.arange(2 * n), 93)
+    centre = np.arange(2 * n) * 93 + 46
+
+    def met(kind):
+        kept = {"key": np.zeros(2 * n, U), "doc": np.arange(2 * n)} | {k: np.zeros(2 * n, np.int64) for k in "lcr"}
+        kept |= {f"at{i}": x[centre].astype(kind) for i, x in enumerate(substrings.contexts(item, row))}
+        _, a, b = substrings._linked(kept)
+        return len(np.unique(a[np.abs(a - b) == n] % n)) / n
+
+    assert met(np.uint32) >= 0.999 and met(np.uint16) < 0.6
+
+
 def test_similar_stretches():
     r = np.random.default_rng(4)
     a = r.integers(0, 1 << 40, 200)
