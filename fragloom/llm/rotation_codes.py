@@ -34,7 +34,7 @@ RECALL, WIDTHS = 0.998, 5.0
 #: Bits of a rounded coordinate, seed of rotations and of rounding.
 ROUNDED, SEED = 4, 20_240_521
 #: Rows of a call, rows of a band that are met in one block, pairs that are estimated at once.
-CALL, BLOCK, PAIRS = 4_096, 2_048, 1 << 20
+CALL, BLOCK, PAIRS = 4_096, 2_048, 1 << 17
 
 _MADE = "node long, size long, vector binary, codes binary, planes binary, factor float, low float, step float, total float"
 
@@ -213,15 +213,16 @@ class Call:
         found = estimate(self.codes[a, 0], self.factor[a], self.planes[b], self.low[b], self.step[b], self.total[b])
         good = found >= self.threshold - slack(self.factor[a], self.step[b], self.codes.shape[2] * 64, self.threshold)
         at = np.flatnonzero(good)
-        a, b = a[at], b[at]
-        keys = keys_of(self.codes[a] ^ self.codes[b], self.bits, int(self.band.max()) + 1) if len(a) else np.zeros((0, 1), np.int64)
-        first = (keys == 0).argmax(1) == self.band[a]
-        good[at[~first]] = False
-        a, b, at = a[first], b[first], at[first]
-        if self.unit is None and len(a):
-            self.unit = units(self.flat.ravel(), self.flat.shape[1])
-        if len(a):
-            good[at[np.einsum("ij,ij->i", self.unit[a], self.unit[b]) < self.threshold]] = False
+        if not len(at):
+            return good
+        if self.unit is None:
+            self.unit, self.keys = units(self.flat.ravel(), self.flat.shape[1]), keys_of(self.codes, self.bits, int(self.band.max()) + 1).astype(np.int32)
+        for at in np.split(at, range(1 << 14, len(at), 1 << 14)):
+            x, y = a[at], b[at]
+            first = (self.keys[x] == self.keys[y]).argmax(1) == self.band[x]
+            good[at] = first
+            at, x, y = at[first], x[first], y[first]
+            good[at] = np.einsum("ij,ij->i", self.unit[x], self.unit[y]) >= self.threshold
         return good
 
 
