@@ -136,10 +136,11 @@ def rate(posterior: np.ndarray, steps: list[np.ndarray], least: float) -> np.nda
 
 
 def rates(members: DataFrame, targets: dict[str, float] | None, domains: tuple[str, ...], least: float = 0.0, power: float = 0.7) -> tuple[list[np.ndarray], dict]:
-    """Steps that make rates, and a report: targets, expected totals and their distance, in tokens.
+    """Steps that make rates, and a report: targets, expected totals and their distance, in tokens, and the share that is unmet.
 
     targets: weights by domain (domains without one: 0), or None for the corpus' own shares to a power. The total stays
-    the corpus' own, or with least > 0 grows as far as every domain needs.
+    the corpus' own, or with least > 0 grows as far as every domain needs. The weight of domains that aren't known isn't
+    handed to the others: the total falls short by it, and `unmet` is its share of all weights.
     """
     def arrays(batch):
         flat = batch.column("posterior").flatten().to_numpy()
@@ -160,10 +161,11 @@ def rates(members: DataFrame, targets: dict[str, float] | None, domains: tuple[s
     moment = sums(lambda n, p: (p.T * n @ p).ravel(), d * d).reshape(d, d)
     own = moment.sum(1)
     if not own.sum():
-        return [], {"domains": domains, "targets": own.tolist(), "expected": own.tolist(), "distance": 0.0, "settled": True}
+        return [], {"domains": domains, "targets": own.tolist(), "expected": own.tolist(), "distance": 0.0, "settled": True, "unmet": 0.0}
     share = own / own.sum()
     weight = np.array([targets.get(x, 0.0) for x in domains]) if targets else share**power
-    weight = weight / weight.sum() if weight.sum() else share
+    unmet = 1 - weight.sum() / sum(targets.values()) if targets and weight.sum() else 0.0
+    weight = weight / weight.sum() * (1 - unmet) if weight.sum() else share
     asked = weight > 0
     total = own.sum() * (max(least, float((least * share[asked] / weight[asked]).max())) if least else 1.0)
     goal = weight * total
@@ -191,23 +193,25 @@ def rates(members: DataFrame, targets: dict[str, float] | None, domains: tuple[s
     distance = float(np.abs(now - goal).sum())
     if not settled:
         warnings.warn(f"rates have not settled after {STEPS} steps; {distance:.0f} of {total:.0f} tokens are off", stacklevel=2)
-    return steps, {"domains": domains, "targets": goal.tolist(), "expected": now.tolist(), "distance": distance, "settled": settled}
+    return steps, {"domains": domains, "targets": goal.tolist(), "expected": now.tolist(), "distance": distance, "settled": settled, "unmet": float(unmet)}
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = TARGETS, domain: str = "lang") -> DataFrame:
     """doc_id, n_tokens, domain, posterior (of that likeliest domain), rate of each row, target and reached (that domain's share
-    of the expected tokens, as asked and as the rates make it).
+    of the tokens of the mixture, as asked and as the rates make it), settled, unmet (weight asked of domains that no
+    training document has: it isn't handed to the others, the mixture falls short by it).
 
     Rates are expected copies of a document in the mixture. Null or empty text has the prior as posterior and no tokens,
     and so a rate that no total depends on. Repeated rows and null ids are alike and each counts; very long texts count with
     all their words; of equally likely domains the first by name is given; an empty table gives an empty one; without
-    labelled documents, or without one of a domain that has a target, rates stay 1; null domains don't train; other
+    labelled documents, or without one of any domain that has a target, rates stay 1; null domains don't train; other
     columns of either table, whatever their names, are ignored.
     """
     classifier = fit(docs, labels, domain)
     members = written(memberships(docs, classifier), "memberships")
     steps, report = rates(members, targets, classifier.domains)
-    target, reached = (np.array(report[k]) / max(sum(report[k]), 1e-300) for k in ("targets", "expected"))
+    whole = max(sum(report["targets"]) / (1 - report["unmet"]), 1e-300)
+    target, reached = (np.array(report[k]) / whole for k in ("targets", "expected"))
 
     def run(batches):
         for batch in batches:
@@ -216,9 +220,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = T
             p = batch.column("posterior").flatten().to_numpy().reshape(batch.num_rows, -1)
             best = p.argmax(1)
             values = (pa.array([classifier.domains[i] for i in best.tolist()]), *(pa.array(x) for x in (p[np.arange(len(p)), best], rate(p, steps, 0.0), target[best], reached[best])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), *values], ["doc_id", "n_tokens", "domain", "posterior", "rate", "target", "reached"])
+            values += (pa.array([report["settled"]] * len(p)), pa.array([report["unmet"]] * len(p)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), *values], ["doc_id", "n_tokens", "domain", "posterior", "rate", "target", "reached", "settled", "unmet"])
 
-    return members.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior double, rate double, target double, reached double")
+    return members.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior double, rate double, target double, reached double, settled boolean, unmet double")
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = TARGETS, domain: str = "lang") -> DataFrame:

@@ -27,8 +27,8 @@ UNIGRAM, BPE = 1, 2
 #: Characters from which a chunk is looked through for places that no piece spans.
 LONG = 48
 SPACE = "▁"
-#: Distinct chunks that a task remembers; then it begins anew (some 100 MB).
-REMEMBERED = 600_000
+#: Distinct chunks that a task remembers (some 100 MB), and the bytes of them and of their ids; then it begins anew.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 32 << 20
 _B = 0x9E3779B97F4A7C15
 #: Pairs of pieces whose answer is remembered, each in its own slot (9 MB).
 _SLOTS = 1 << 20
@@ -281,7 +281,7 @@ class Encoder:
 
     def _forget(self):
         self.known: dict[bytes, int] = {}  # place in start and length
-        self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.start, self.length, self.pool, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and len + 1 offsets of the rows."""
@@ -297,7 +297,7 @@ class Encoder:
         starts = np.flatnonzero(begin)
         distinct, each = distinct_spans(buf, np.append(starts, len(buf)) if len(starts) else np.zeros(1, np.int64))
         distinct = distinct.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.held + self.pool.nbytes > REMEMBERED_BYTES:
             self._forget()
         fresh = [w for w in distinct if w not in self.known]
         ids = encode_words(self.pieces, [w.decode("utf-8", "replace").replace(" ", SPACE) for w in fresh])
@@ -305,7 +305,7 @@ class Encoder:
         flat = np.array([i for x in ids for i in x], np.uint32)
         self.known.update(zip(fresh, range(len(self.length), len(self.length) + len(fresh)), strict=True))
         self.start, self.length = np.append(self.start, len(self.pool) + np.cumsum(length) - length), np.append(self.length, length)
-        self.pool = np.concatenate([self.pool, flat])
+        self.pool, self.held = np.concatenate([self.pool, flat]), self.held + sum(map(len, fresh))
         use = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[each]
         length = self.length[use]
         ends_ = np.cumsum(length)

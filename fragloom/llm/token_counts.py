@@ -20,8 +20,8 @@ from .textvec import Words, row_sums, slices
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of pieces in one call of the encoder.
 BATCH_BYTES = 256 << 10
-#: Pieces whose lengths a task remembers; then it begins anew (some 90 MB).
-REMEMBERED = 600_000
+#: Pieces whose lengths a task remembers, then it begins anew, and the bytes of the longest of them (some 90 MB; 150 MB at most).
+REMEMBERED, LONGEST = 600_000, 64
 
 
 def check_safe(spec: dict) -> None:
@@ -48,15 +48,20 @@ def counts(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator
         fresh = [w for w in distinct if w not in known]
         own = dict(zip(fresh, encode(tokenizer, fresh), strict=True))
         lengths = np.fromiter((own[w] if w in own else known[w] for w in distinct), np.int64, len(distinct))
-        if len(known) + len(own) > REMEMBERED:
-            known = {}
-        known |= own
+        remember(known, own)
         n = row_sums(lengths[each], words.first)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(np.diff(words.offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
         )
 
 
+def remember(known: dict[bytes, int], own: dict[bytes, int]) -> None:
+    """Adds to what is known; long pieces, such as texts without white space, hardly come again and would fill the memory."""
+    if len(known) + len(own) > REMEMBERED:
+        known.clear()
+    known.update((w, n) for w, n in own.items() if len(w) <= LONGEST)
+
+
 def encode(tokenizer, words: list[bytes]) -> list[int]:
     """Token counts of the pieces, encoded in batches of equal bytes."""
     out: list[int] = []

@@ -102,6 +102,33 @@ def test_mixing_with_rates_at_zero(spark):
     assert (r >= 0).all() and r[:9].max() < 0.2 and best[1] == 0
 
 
+def test_targets_that_no_domain_carries(spark):
+    members = spark.createDataFrame([(0, 50, [1.0, 0.0]), (1, 50, [0.0, 1.0])], "doc_id long, n_tokens long, posterior array<double>")
+    steps, report = mixing.rates(members, {"en": 0.4, "fr": 0.6}, ("de", "en"))
+    assert np.allclose(report["targets"], [0, 40]) and np.isclose(report["unmet"], 0.6) and np.allclose(mixing.rate(np.eye(2), steps, 0.0), [0, 0.8])
+    docs = spark.createDataFrame([(i, prose(i, 60), "de" if i % 2 else "en") for i in range(20)], "doc_id long, text string, lang string")
+    got = mixing.mix(docs, docs.select("doc_id"), {"en": 0.4, "fr": 0.6}).collect()
+    assert all(np.isclose(r.unmet, 0.6) for r in got) and {round(r.target, 6) for r in got if r.domain == "en"} <= {0.4}
+    assert sum(r.n_tokens * r.rate for r in got) < 0.5 * sum(r.n_tokens for r in got)
+
+
+def test_long_pieces_are_not_remembered(monkeypatch):
+    known = {}
+    token_counts.remember(known, {b"a": 1, b"b" * 65: 2})
+    assert known == {b"a": 1}
+    monkeypatch.setattr(token_counts, "REMEMBERED", 1)
+    token_counts.remember(known, {b"c": 1})
+    assert known == {b"c": 1}
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 1 << 16)
+    import public_tokenizers
+
+    encoder = pieces.Encoder(pieces.load(public_tokenizers.path(pieces.MODEL)))
+    r = random.Random(1)
+    for _ in range(8):
+        encoder(pa.array(["".join(r.choice("abcdefgh") for _ in range(40_000))]))
+        assert encoder.held + encoder.pool.nbytes < 3 << 16
+
+
 @pytest.mark.parametrize(("weights", "least"), [((0.6, 0.3, 0.1), 0.0), ((0.0, 0.0, 1.0), 0.0), ((0.2, 0.2, 0.6), 1.0)])
 def test_rates_against_plain_descent(spark, weights, least):
     r = np.random.default_rng(3)
