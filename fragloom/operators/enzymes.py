@@ -81,6 +81,21 @@ def nearby(queries: DataFrame, sites: DataFrame, key: str, at: str, within: int
     return left.join(right, [key, "_bin"]).where(F.abs(F.col("locus") - F.col(at)) <= within).drop("_bin")
 
 
+def site_pairs(hits: DataFrame, read_sites: DataFrame, ref_sites: DataFrame, hit: str, read: str, ref: str, start: bool = True, within: int = 30, shift: int = 50, slope: float = 0.2) -> DataFrame:
+    """(hit, q, s): pairs of a read's and a reference's site where a hit (qoff, qend, soff, send) may start, or end.
+
+    Sites lie `within` of the hit's own start (end) and before (after) its other end; the parts from the two sites to there
+    differ by `shift` and `slope` at most. Sites: (read or ref, locus). Each side is a band join; the pairs are an equal join on the hit,
+    with as many rows as sites of both sides that are near one end.
+    """
+    q, s, far_q, far_s = ("qoff", "soff", "qend", "send") if start else ("qend", "send", "qoff", "soff")
+    inner = lambda far: F.col("locus") < F.col(far) if start else F.col("locus") > F.col(far)
+    own = nearby(hits, read_sites, read, q, within).where(inner(far_q)).select(hit, F.col("locus").alias("q"), F.abs(F.col(far_q) - F.col("locus")).alias("_q"))
+    other = nearby(hits, ref_sites, ref, s, within).where(inner(far_s)).select(hit, F.col("locus").alias("s"), F.abs(F.col(far_s) - F.col("locus")).alias("_s"))
+    alike = (F.abs(F.col("_q") - F.col("_s")) <= shift) & (F.abs(1 - F.col("_q") / F.col("_s")) <= slope)
+    return own.join(other, hit).where(alike).select(hit, "q", "s")
+
+
 def bounded_index(at: Column, sorted_loci: Column) -> Column:
     """The largest i with loci[i] <= at, and size - 3 at most (the last two loci are the end's)."""
     below = F.size(F.filter(sorted_loci, lambda x: x <= at)) - 1

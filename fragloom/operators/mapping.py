@@ -137,6 +137,11 @@ class Alignment:
         one = (self.qoff == self.eq[0] or self.soff == self.es[0]), (self.qend == self.eq[1] or self.send == self.es[1])
         return one if self.qdir == 0 else one[::-1]
 
+    @property
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places on read and reference before the first column and after each."""
+        return tuple(np.append(0, np.cumsum(np.frombuffer(row.encode(), np.uint8) != 45)) + at for row, at in ((self.a, self.qoff), (self.b, self.soff)))
+
     def columns(self, lo: int, hi: int) -> Alignment:
         """The alignment of columns [lo, hi) alone."""
         skip_q, skip_s = lo - self.a[:lo].count("-"), lo - self.b[:lo].count("-")
@@ -220,60 +225,114 @@ def _grow(q: str, s: str, o: Options) -> tuple[str, str]:
     return "".join(a), "".join(b)
 
 
-def collinear(found: list[Alignment], read: str, ref: Reference, o: Options = Options()) -> list[Alignment]:
-    """Alignments of a strand of a chromosome, and, instead of neighbours on one diagonal, the alignment over both."""
-    found = sorted(found, key=lambda x: (x.qoff, x.soff))
+def collinear_runs(found: list[Alignment], o: Options = Options()) -> list[list[Alignment]]:
+    """Runs of two and more alignments of a strand of a chromosome that follow one another on read and reference without overlap, by
+    `join_gap` at most and on about one diagonal: a dynamic programme over their scores, the best runs first.
+
+    found: by reference place. A run begins at its last alignment and goes back as the scores say, also through alignments
+    that an earlier run has; only ends that no run has are tried.
+    """
+    score, back = [x.score for x in found], [-1] * len(found)
+    for i, x in enumerate(found):
+        for j in range(i - 1, -1, -1):
+            p = found[j]
+            near = 0 <= x.qoff - p.qend <= o.join_gap and 0 <= x.soff - p.send <= o.join_gap
+            if near and abs(1 - (x.qend - p.qoff) / (x.send - p.soff)) <= o.slope and score[j] + x.score > score[i]:
+                score[i], back[i] = score[j] + x.score, j
+    inner, used, runs = set(back), set(), []
+    for i in sorted((i for i in range(len(found)) if i not in inner and score[i] > 0), key=lambda i: (-score[i], i)):
+        if i in used:
+            continue
+        run = []
+        while i >= 0:
+            run.append(i)
+            i = back[i]
+        used.update(run)
+        if len(run) > 1:
+            runs.append([found[i] for i in reversed(run)])
+    return runs
+
+
+def uncontained(found: list[Alignment], slack: int = 10) -> list[Alignment]:
+    """Alignments of a strand of a chromosome without those that one of a greater score contains on read and reference, within slack."""
     out: list[Alignment] = []
-    for x in found:
-        if out:
-            p = out[-1]
-            dq, ds = x.qoff - p.qend, x.soff - p.send
-            if -o.overlap <= dq <= o.join_gap and -o.overlap <= ds <= o.join_gap and abs(1 - (x.qend - p.qoff) / max(1, x.send - p.soff)) <= o.slope and x.qend > p.qend and x.send > p.send:
-                both = extend((p.qoff, x.qend, p.soff, x.send, p.seeds + x.seeds), read, ref, x.qdir, x.sid, o)
-                if both and both.qend - both.qoff >= max(p.qend - p.qoff, x.qend - x.qoff):
-                    out[-1] = both
-                    continue
-        out.append(x)
+    for x in sorted(found, key=lambda x: -x.score):
+        if not any(x.qoff + slack >= y.qoff and x.qend <= y.qend + slack and x.soff + slack >= y.soff and x.send <= y.send + slack for y in out):
+            out.append(x)
     return out
 
 
-def snapped(x: Alignment, read_sites: np.ndarray, ref_sites: np.ndarray, o: Options = Options()) -> list[Alignment]:
-    """The alignment with its ends moved to sites: for each end, sites of read and reference that lie together, or one of them
-    followed through the alignment; else the end as it is, with the nearest sites. All starts are tried with all ends."""
-    qa = np.cumsum(np.frombuffer(x.a.encode(), np.uint8) != 45) + x.qoff
-    sa = np.cumsum(np.frombuffer(x.b.encode(), np.uint8) != 45) + x.soff
-    qat, sat = np.concatenate([[x.qoff], qa]), np.concatenate([[x.soff], sa])  # places after each column
+def collinear(found: list[Alignment], read: str, ref: Reference, o: Options = Options()) -> list[Alignment]:
+    """Alignments of a strand of a chromosome and those over whole collinear runs of them, without the contained ones."""
+    found = sorted(found, key=lambda x: (x.soff, x.qoff))
+    over = [extend((r[0].qoff, r[-1].qend, r[0].soff, r[-1].send, sum(x.seeds for x in r)), read, ref, r[0].qdir, r[0].sid, o) for r in collinear_runs(found, o)]
+    return sorted(uncontained(found + [x for x in over if x], o.slack), key=lambda x: (x.qoff, x.soff))
 
-    def near(sites: np.ndarray, at: int) -> np.ndarray:
-        return sites[(sites >= at - o.site_range) & (sites <= at + o.site_range)]
 
-    def nearest(sites: np.ndarray, at: int) -> int:
-        return int(sites[np.abs(sites - at).argmin()]) if len(sites) else -1
+def nearest_site(sites: np.ndarray, at: int, first: bool) -> int:
+    """The site nearest to `at`; of two as near the left one at a start (first), the right one at an end; -1 without any."""
+    if not len(sites):
+        return -1
+    far = np.abs(sites - at)
+    near = sites[far == far.min()]
+    return int(near[0] if first else near[-1])
+
+
+def site_ends(x: Alignment, read_sites: np.ndarray, ref_sites: np.ndarray, first: bool, o: Options = Options()) -> list[tuple[int, int, int, int]]:
+    """(read place, reference place, read site, reference site) where the alignment may start (first) or end.
+
+    Sites of the read and of the reference near its end are paired where the parts from there to its other end are about as long
+    (by `site_shift` and `slope`). A site without a partner takes the place that the alignment gives it, if it lies inside,
+    and the nearest site there. Without any, the end stays.
+    """
+    q, s, far_q, far_s = (x.qoff, x.soff, x.qend, x.send) if first else (x.qend, x.send, x.qoff, x.soff)
+    near = lambda sites, at, far: [c for c in sites[np.abs(sites - at) <= o.site_range].tolist() if (c < far if first else c > far)]
+    own, other = near(read_sites, q, far_q), near(ref_sites, s, far_s)
+    alike = lambda a, b: abs(a - b) <= o.site_shift and abs(1 - a / b) <= o.slope
+    out = [(c, d, c, d) for c in own for d in other if alike(abs(far_q - c), abs(far_s - d))]
+    at_q, at_s = x.places
+    for c in (c for c in own if all(c != p[0] for p in out) and x.qoff <= c <= x.qend):
+        out.append((c, int(at_s[np.searchsorted(at_q, c)]), c, nearest_site(ref_sites, s, first)))
+    for d in (d for d in other if all(d != p[3] for p in out) and x.soff <= d <= x.send):
+        out.append((int(at_q[np.searchsorted(at_s, d)]), d, nearest_site(read_sites, q, first), d))
+    return out or [(q, s, nearest_site(read_sites, q, first), nearest_site(ref_sites, s, first))]
+
+
+def _joint(x: Alignment, q: int, s: int, first: bool, read: str, ref: Reference) -> tuple[int, str, str] | None:
+    """A column of x, and the gapped rows from (q, s) to it (first), or from it to (q, s): none where x itself meets (q, s), else the
+    alignment of the few bases between; None where the reference isn't known."""
+    at_q, at_s = x.places
+    c = int(np.searchsorted(at_q, q, "left" if first else "right")) - (0 if first else 1)
+    c = min(max(c, 0), len(at_q) - 1)
+    on = np.flatnonzero((at_q == q) & (at_s == s))
+    if len(on):
+        return int(on[-1] if first else on[0]), "", ""
+    margin = 8 + 2 * abs((q - s) - int(at_q[c] - at_s[c])) + max(0, x.qoff - q, x.soff - s, q - x.qend, s - x.send)
+    inside = (at_q >= q + margin) & (at_s >= s + margin) if first else (at_q <= q - margin) & (at_s <= s - margin)
+    if not inside.any():
+        return None
+    c = int(np.flatnonzero(inside)[0 if first else -1])
+    lo, hi = (s, int(at_s[c])) if first else (int(at_s[c]), s)
+    text, at = ref.text(x.sid, lo, hi)
+    if at != lo or len(text) < hi - lo:
+        return None
+    return c, *al.edit_align(read[q : at_q[c]] if first else read[at_q[c] : q], text)[:2]
 
-    def ends(q: int, s: int, first: bool) -> list[tuple[int, int, int]]:
-        """(column, read site, reference site)"""
-        options = []
-        for rs in near(ref_sites, s).tolist():
-            if not x.soff <= rs <= x.send:
-                continue
-            at = int(np.searchsorted(sat, rs, "left" if first else "right")) - (0 if first else 1)
-            at = min(max(at, 0), len(sat) - 1)
-            close = near(read_sites, int(qat[at]))
-            close = close[np.abs(close - qat[at]) <= o.site_shift]
-            options.append((at, nearest(close, int(qat[at])) if len(close) else nearest(read_sites, int(qat[at])), rs))
-        for qs in near(read_sites, q).tolist():
-            if x.qoff <= qs <= x.qend:
-                at = min(max(int(np.searchsorted(qat, qs, "left" if first else "right")) - (0 if first else 1), 0), len(qat) - 1)
-                options.append((at, qs, nearest(ref_sites, int(sat[at]))))
-        return list(dict.fromkeys(options)) or [(0 if first else len(x.a), nearest(read_sites, q), nearest(ref_sites, s))]
 
+def snapped(x: Alignment, read_sites: np.ndarray, ref_sites: np.ndarray, read: str, ref: Reference, o: Options = Options()) -> list[Alignment]:
+    """The alignment from each of its possible starts (`site_ends`) to each of its possible ends: what lies between is kept column by
+    column, and only the bases around an end that x doesn't meet are aligned anew. At least half of the columns must agree."""
+    starts = [(e, _joint(x, e[0], e[1], True, read, ref)) for e in site_ends(x, read_sites, ref_sites, True, o)]
+    ends = [(e, _joint(x, e[0], e[1], False, read, ref)) for e in site_ends(x, read_sites, ref_sites, False, o)]
     out = []
-    for lo, q0, s0 in ends(x.qoff, x.soff, True):
-        for hi, q1, s1 in ends(x.qend, x.send, False):
-            if hi - lo >= o.columns:
-                y = x.columns(lo, hi)
-                out.append(replace(y, eq=(q0, q1), es=(s0, s1)))
-    return out or [replace(x, eq=(nearest(read_sites, x.qoff), nearest(read_sites, x.qend)), es=(nearest(ref_sites, x.soff), nearest(ref_sites, x.send)))]
+    for (q, s, eq, es), head in starts:
+        for (q1, s1, eq1, es1), tail in ends:
+            if head and tail and q < q1 and s < s1 and tail[0] - head[0] >= o.columns:
+                a, b = (head[i] + row[head[0] : tail[0]] + tail[i] for i, row in ((1, x.a), (2, x.b)))
+                y = replace(x, qoff=q, qend=q1, soff=s, send=s1, a=a, b=b, eq=(eq, eq1), es=(es, es1))
+                if y.pi >= 50:
+                    out.append(y)
+    return out or [replace(x, eq=tuple(nearest_site(read_sites, at, i == 0) for i, at in enumerate((x.qoff, x.qend))), es=tuple(nearest_site(ref_sites, at, i == 0) for i, at in enumerate((x.soff, x.send))))]
 
 
 def distinct(found: list[Alignment]) -> list[Alignment]:
@@ -312,6 +371,37 @@ def at_a_site(x: Alignment, o: Options = Options()) -> bool:
     return any(e >= 0 and abs(e - at) <= o.site for e, at in zip(x.es, (x.soff, x.send), strict=True))
 
 
+def equal_chains(spans: list[tuple[int, int]], after: list[list[int]], most: int = 10) -> list[tuple[int, ...]]:
+    """Chains, as places in spans, that cover most: up to `most` of them, depth first from the last start on.
+
+    after: for each span those later in the list that may follow it. What a chain can still cover from a span on tells which
+    steps lead to one that covers most; no other is taken. Chains end where nothing may follow.
+    """
+    own = [b - a for a, b in spans]
+    over = lambda i, j: max(0, spans[i][1] - spans[j][0])
+    reach = list(own)
+    for i in reversed(range(len(spans))):
+        reach[i] = max([own[i], *(own[i] - over(i, j) + reach[j] for j in after[i])])
+    best = max(reach, default=0)
+    waiting, found = [((i,), own[i]) for i in range(len(spans)) if reach[i] == best], []
+    while waiting and len(found) < most:
+        chain, cover = waiting.pop()
+        i = chain[-1]
+        if not after[i] and cover == best:
+            found.append(chain)
+        waiting += [((*chain, j), cover - over(i, j) + own[j]) for j in after[i] if cover - over(i, j) + reach[j] == best]
+    return found
+
+
+def clearly_better(chain: list[Alignment], usable: list[Alignment], o: Options, perfect: bool | None, by: float = 10.0) -> list[Alignment]:
+    """The chain, or one that covers most if it is more identical by over `by` points (and as complete)."""
+    after = [[j for j in range(i + 1, len(usable)) if follows(x, usable[j], o, perfect)] for i, x in enumerate(usable)]
+    others = [[usable[i] for i in c] for c in equal_chains([x.span for x in usable], after)]
+    others = [c for c in others if is_complete(c, o) >= is_complete(chain, o)]
+    best = max(others, key=mean_pi, default=chain)
+    return best if mean_pi(best) > mean_pi(chain) + by else chain
+
+
 def best_chain(found: list[Alignment], o: Options, perfect: bool | None) -> list[Alignment]:
     """The chain that covers most of the read; within 30 bases the one of fewer fragments, then of greater identity."""
     usable = [x for x in weighed(found, o) if perfect is None or (all(x.sites) if perfect else all(x.near_sites))]
@@ -336,7 +426,7 @@ def best_chain(found: list[Alignment], o: Options, perfect: bool | None) -> list
     while i >= 0:
         chain.append(usable[i])
         i = best[i][3]
-    return chain[::-1]
+    return clearly_better(chain[::-1], usable, o, perfect)
 
 
 def is_complete(chain: list[Alignment], o: Options = Options()) -> bool:
@@ -400,14 +490,18 @@ def smoothed(chain: list[Alignment], found: list[Alignment], reads: tuple[str, s
                     out[-1] = replace(joint, eq=(first.eq[0], last.eq[1]), es=(first.es[0], last.es[1]))
                     continue
         out.append(x)
-    i = 0
-    while i + 1 < len(out):
-        a, b = out[i].span[0], out[i + 1].span[1]
-        over = [y for y in found if abs(y.span[0] - a) <= o.overlap and abs(y.span[1] - b) <= o.overlap and y.pi >= mean_pi(out[i : i + 2]) - 1]
-        if over:
-            out[i : i + 2] = [max(over, key=lambda y: y.pi)]
-        else:
-            i += 1
+    return over_runs(out, found)
+
+
+def over_runs(chain: list[Alignment], found: list[Alignment]) -> list[Alignment]:
+    """The chain with runs of two and more replaced by an alignment from the run's start to its end on the read, where that is
+    about as identical (4 points less at most) or 80 % identical."""
+    out = list(chain)
+    for y in found:
+        f = next((i for i, x in enumerate(out) if x.span[0] == y.span[0]), None)
+        t = next((i for i, x in enumerate(out) if x.span[1] == y.span[1]), None)
+        if f is not None and t is not None and f < t and (y.pi >= mean_pi(out[f : t + 1]) - 4 or y.pi >= 80):
+            out[f : t + 1] = [y]
     return out
 
 
@@ -636,7 +730,7 @@ def map_read(read: str, hits: list[tuple[int, int, tuple]], ref: Reference, enzy
             for x in collinear([x for (d, _), x in extended.items() if d == strand], strands[strand], ref, o):
                 if enzyme:
                     text, at = ref.text(sid, x.soff - o.pad, x.send + o.pad)
-                    found.extend(snapped(x, sites[strand], site_offsets(text, enzyme) + at, o))
+                    found.extend(snapped(x, sites[strand], site_offsets(text, enzyme) + at, strands[strand], ref, o))
                 else:
                     found.append(x)
 

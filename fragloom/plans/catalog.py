@@ -661,6 +661,43 @@ def frag_name_roundtrip(spark, d):
     return names.select(*(c.alias(n) for n, c in readers.parse_name(F.col("name")).items()))
 
 
+_MAY = "y.a - x.b >= -20 and y.b - x.b > 5 and y.a - x.a > 5"
+
+
+@query(
+    A.FRAGS, "c as (select read_id, frag_id, frag_id * 100 a, frag_id * 100 + frag_size b, \"identity\" pi from frags)",
+    f"""paths as (select read_id, a, b, [frag_id] ids, b - a cov, pi total from c
+ union all select x.read_id, y.a, y.b, list_append(x.ids, y.frag_id), x.cov + y.b - y.a - greatest(0, x.b - y.a), x.total + y.pi from paths x join c y on x.read_id = y.read_id and {_MAY})""",
+    f"most as (select *, max(cov) over (partition by read_id) best from paths), ends as (select * from most x where cov = best and not exists (select 1 from c y where y.read_id = x.read_id and {_MAY}))",
+    "ranked as (select *, row_number() over (partition by read_id order by total / len(ids) desc, ids) k, count(*) over (partition by read_id) n from ends)",
+    sql="select read_id, array_to_string(ids, ',') ids, cast(cov as bigint) covered, cast(n as integer) chains, round(total / len(ids), 6) mean_pi from ranked where k = 1",
+)
+def equal_cover_chains(spark, d):
+    rows = A.frags(spark, d).select("read_id", F.col("frag_id").alias("id"), (F.col("frag_id") * 100).alias("beg"), (F.col("frag_id") * 100 + F.col("frag_size")).alias("end"), F.col("identity").alias("pi"))
+    return mapping.equal_cover(rows).select("read_id", F.array_join("ids", ",").alias("ids"), "covered", "chains", F.round("mean_pi", 6).alias("mean_pi"))
+
+
+def _pair_sql(start: bool) -> str:
+    q, s, far_q, far_s, inner = ("qoff", "soff", "qend", "send", "<") if start else ("qend", "send", "qoff", "soff", ">")
+    return f"""select h.read_id, h.frag_id, q.locus q, s.locus s from hits h join rsites q on q.read_id = h.read_id and abs(q.locus - h.{q}) <= 30 and q.locus {inner} h.{far_q}
+ join ssites s on s.sid = h.subject_id and abs(s.locus - h.{s}) <= 30 and s.locus {inner} h.{far_s}
+ where abs(abs(h.{far_q} - q.locus) - abs(h.{far_s} - s.locus)) <= 50 and abs(1 - abs(h.{far_q} - q.locus) / abs(h.{far_s} - s.locus)) <= 0.2"""
+
+
+@query(
+    A.FRAGS, A.SNPS, "hits as (select read_id, frag_id, subject_id, frag_id * 1000 qoff, frag_id * 1000 + frag_size qend, subject_offset soff, subject_offset + frag_size send from frags)",
+    "rsites as (select distinct read_id, unnest([frag_id * 1000 + mapq, frag_id * 1000 + frag_size + mapq - 25]) locus from frags)", "ssites as (select distinct sid, soff locus from snps)",
+    sql=f"select 'start' \"end\", * from ({_pair_sql(True)}) union all select 'end', * from ({_pair_sql(False)})",
+)
+def site_pairs(spark, d):
+    frags, at = A.frags(spark, d), F.col("frag_id") * 1000
+    hits = frags.select(F.struct("read_id", "frag_id").alias("hit"), "read_id", F.col("subject_id").alias("sid"), at.alias("qoff"), (at + F.col("frag_size")).alias("qend"), F.col("subject_offset").alias("soff"), (F.col("subject_offset") + F.col("frag_size")).alias("send"))
+    own = frags.select("read_id", F.explode(F.array(at + F.col("mapq"), at + F.col("frag_size") + F.col("mapq") - 25)).alias("locus")).distinct()
+    other = A.snps(spark, d).select("sid", F.col("soff").alias("locus")).distinct()
+    found = [enzymes.site_pairs(hits, own, other, "hit", "read_id", "sid", start).select(F.lit("start" if start else "end").alias("end"), "hit.read_id", "hit.frag_id", "q", "s") for start in (True, False)]
+    return found[0].unionByName(found[1])
+
+
 @query()
 def candidate_chains(spark, d):
     return mapping.candidates(_seeds(spark, d), A.reads(spark, d), K)

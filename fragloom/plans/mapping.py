@@ -137,6 +137,38 @@ def infer_enzyme(reads: DataFrame, genome: DataFrame, catalogue: dict[str, str]
     return names.join(F.broadcast(counted), "enzyme", "left").select("enzyme", F.coalesce("n", F.lit(0)).cast("long").alias("n"))  # a row for each enzyme
 
 
+EQUAL = "read_id long, ids array<long>, covered long, chains int, mean_pi double"
+
+
+def equal_cover(rows: DataFrame, options: M.Options = M.Options()) -> DataFrame:
+    """EQUAL of each read of (read_id, id, beg, end, pi): of the chains that cover most of the read, the most identical one (of several,
+    that with the smallest ids), and how many were looked at.
+
+    One alignment may follow another if it overlaps it by `overlap` at most and reaches 5 bases beyond its start and end.
+    Reads are dealt to calls of many.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("read_id", "end", "beg", "id")])
+        read, own, beg, end, pi = (table.column(c).to_numpy() for c in ("read_id", "id", "beg", "end", "pi"))
+        cuts = np.append(np.flatnonzero(np.append(True, read[1:] != read[:-1])), len(read)).tolist()
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            a, b = beg[lo:hi], end[lo:hi]
+            may = (a[None, :] - b[:, None] >= -options.overlap) & (b[None, :] - b[:, None] > 5) & (a[None, :] - a[:, None] > 5)
+            found = M.equal_chains(list(zip(a.tolist(), b.tolist(), strict=True)), [np.flatnonzero(x).tolist() for x in may])
+            ranked = min((-sum(pi[lo + i] for i in c) / len(c), [int(own[lo + i]) for i in c], c) for c in found)
+            spans = [(int(a[i]), int(b[i])) for i in ranked[2]]
+            covered = sum(y - x for x, y in spans) - sum(max(0, x[1] - y[0]) for x, y in zip(spans, spans[1:], strict=False))
+            out.append((int(read[lo]), ranked[1], covered, len(found), -ranked[0]))
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.float64())
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.table({n.split()[0]: pa.array(c, t) for n, c, t in zip(EQUAL.split(", "), columns, kinds, strict=True)})
+
+    buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.groupBy(F.pmod(F.xxhash64("read_id"), F.lit(buckets)).alias("_bucket")).applyInArrow(lambda t: run(t), EQUAL)
+
+
 def mapping_quality(rows: DataFrame, group: list[str], pi: str, kind: str) -> DataFrame:
     """rows with mapq: from how far the best competitor of the same group is behind, as expressions."""
     from pyspark.sql import Window

@@ -147,3 +147,93 @@ def test_gaps_are_closed_by_a_neighbour():
         assert mapping.is_complete(out) and mapping.kind_of(out) == mapping.PERFECT
     strange = mapping.Reference([(0, 0, text[:450] + "A" * 60 + text[510:])], {0: len(text)})
     assert mapping.closed([made(30, 400, (0, 400)), made(520, 700, (400, 700))], reads, strange)[-1].qoff in (400, 520)
+
+
+def test_equal_chains_are_those_of_a_plain_enumerator():
+    r = random.Random(31)
+    for _ in range(150):
+        n = r.randint(1, 8)
+        spans = sorted(((a := r.randint(0, 60)), a + r.randint(5, 40)) for _ in range(n))
+        spans = sorted(spans, key=lambda x: (x[1], x[0]))
+        after = [[j for j in range(i + 1, n) if r.random() < 0.5 and spans[j][0] > spans[i][0]] for i in range(n)]
+        chains = []
+
+        def walk(chain, after=after, chains=chains):
+            chains.append(chain)
+            for j in after[chain[-1]]:
+                walk((*chain, j))
+
+        for i in range(n):
+            walk((i,))
+        cover = lambda c: sum(spans[i][1] - spans[i][0] for i in c) - sum(max(0, spans[i][1] - spans[j][0]) for i, j in zip(c, c[1:], strict=False))  # noqa: B023, E731
+        best = max(map(cover, chains))
+        expected = {c for c in chains if cover(c) == best and not after[c[-1]]}
+        got = mapping.equal_chains(spans, after, most=1_000)
+        assert set(got) == expected and len(got) == len(expected)
+        assert len(mapping.equal_chains(spans, after)) == min(10, len(expected))
+
+
+def test_a_clearly_better_chain_is_taken():
+    text = "ACGT" * 100
+    made = lambda a, b, bad=0: mapping.Alignment(0, a, b, 400, 0, a, b, "T" * bad + text[a + bad : b], "G" * bad + text[a + bad : b], 5)
+    long, left, right = made(0, 400, 100), made(0, 200), made(200, 400)
+    assert mapping.clearly_better([long], [left, right, long], mapping.Options(), None) == [left, right]
+    assert mapping.clearly_better([long], [left, right, long], mapping.Options(), None, 30) == [long]
+
+
+def test_collinear_runs_become_one_alignment():
+    r = random.Random(12)
+    text = "".join(r.choice("ACGT") for _ in range(900))
+    ref = mapping.Reference([(0, 0, text)], {0: 900})
+    made = lambda a, b: mapping.Alignment(0, a, b, 900, 0, a, b, text[a:b], text[a:b], 5)
+    parts = [made(10, 200), made(260, 430), made(500, 700)]
+    assert [[(x.qoff, x.qend) for x in run] for run in mapping.collinear_runs(parts)] == [[(10, 200), (260, 430), (500, 700)]]
+    out = mapping.collinear(parts, text, ref)
+    assert len(out) == 1 and out[0].qoff <= 10 and out[0].qend >= 700 and out[0].pi == 100
+    other = "".join(r.choice("ACGT") for _ in range(900))  # the read between them is strange: nothing spans the run
+    read = text[:110] + other[110:410] + text[410:500] + other[500:]
+    pair = [made(10, 110), made(410, 500)]
+    assert mapping.collinear_runs(pair) == [pair] and mapping.collinear(pair, read, ref) == pair
+    far = [made(0, 100), made(420, 600)]
+    assert mapping.collinear_runs(far) == []
+
+
+def test_runs_are_replaced_by_what_spans_them():
+    text = "ACGT" * 200
+    made = lambda a, b, bad=0, d=0: mapping.Alignment(d, *((a, b) if d == 0 else (800 - b, 800 - a)), 800, 0, a, b, "T" * bad + text[a + bad : b], "G" * bad + text[a + bad : b], 5)
+    chain = [made(0, 200), made(200, 400), made(400, 600), made(600, 800)]
+    spanning, bad = made(200, 800, 60, 1), made(0, 800, 700)
+    assert mapping.over_runs(chain, [bad, spanning]) == [chain[0], spanning]
+    assert mapping.over_runs(chain, [bad]) == chain
+
+
+@pytest.mark.parametrize("turned", [0, 1])
+def test_ends_move_to_sites(turned):
+    """Every start with every end: the rows are the read's and the reference's, the sites those that plain loops pair."""
+    import numpy as np
+
+    r, o = random.Random(40 + turned), mapping.Options()
+    for _ in range(40):
+        text = "".join(r.choice("ACGT") for _ in range(500))
+        read = "".join(c if r.random() > 0.06 else r.choice(["", "A", "C" + c]) for c in text[20:480])
+        ref = mapping.Reference([(7, 0, text)], {7: 500})
+        a, b, _ = mapping.al.edit_align(read, text[20:480])
+        x = mapping.Alignment(turned, 0, len(read), len(read), 7, 20, 480, a, b, 5)
+        lo, hi = 40, len(a) - 40
+        x = x.columns(lo, hi)
+        own, other = (np.array(sorted(r.sample(range(n), 40))) for n in (len(read), 500))
+        for first in (True, False):
+            got = mapping.site_ends(x, own, other, first)
+            q, s, far_q, far_s = (x.qoff, x.soff, x.qend, x.send) if first else (x.qend, x.send, x.qoff, x.soff)
+            pairs = [(c, d) for c in own.tolist() for d in other.tolist() if abs(c - q) <= 30 and abs(d - s) <= 30 and (c < far_q and d < far_s if first else c > far_q and d > far_s) and abs(abs(far_q - c) - abs(far_s - d)) <= 50 and abs(1 - abs(far_q - c) / abs(far_s - d)) <= 0.2]
+            assert [e[:2] for e in got if e[0] == e[2] and e[1] == e[3]][: len(pairs)] == pairs and got
+            for c in own.tolist():
+                if abs(c - q) <= 30 and x.qoff <= c <= x.qend and (c < far_q if first else c > far_q):
+                    assert any(e[2] == c for e in got)
+        out = mapping.snapped(x, own, other, read, ref)
+        for y in out:
+            assert y.a.replace("-", "") == read[y.qoff : y.qend] and y.b.replace("-", "") == text[y.soff : y.send] and y.pi >= 50
+            assert all("-" not in (p, q) or p != q for p, q in zip(y.a, y.b, strict=True)) and len(y.a) == len(y.b)
+        starts, ends = len(mapping.site_ends(x, own, other, True)), len(mapping.site_ends(x, own, other, False))
+        assert len(out) <= starts * ends and len(out) >= 0.5 * starts * ends
+    assert mapping.nearest_site(np.array([10, 20]), 15, True) == 10 and mapping.nearest_site(np.array([10, 20]), 15, False) == 20 and mapping.nearest_site(np.zeros(0), 3, True) == -1
