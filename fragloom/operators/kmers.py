@@ -118,6 +118,54 @@ def counts(kmers: DataFrame, key: str = "kmer") -> DataFrame:
     return kmers.groupBy(key).agg(F.count("*").alias("n"))
 
 
+def complemented(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the reverse complements."""
+    out, h = np.zeros_like(h), h.copy()
+    for _ in range(k):
+        out = out << 2 | 3 - (h & 3)
+        h >>= 2
+    return out
+
+
+def counts_of_both_strands(seqs: DataFrame, k: int) -> DataFrame:
+    """(hash, n) of the k-mers of both strands of (seq), a row for a k-mer and its reverse complement, under the smaller hash.
+
+    Sequences are counted batch by batch in numpy, so that a row is shuffled for each different k-mer of a batch, not for each
+    place. A k-mer that is its own reverse complement counts twice at each place, as in counts of both strands.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, bases = [], 0
+
+        def made() -> pa.RecordBatch:
+            own, n = np.unique(np.concatenate(held), return_counts=True)
+            other = complemented(own, k)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(n * np.where(own == other, 2, 1))], ["hash", "n"])
+
+        for batch in batches:
+            for seq in batch.column("seq"):
+                text = (seq.as_py() or "").encode("ascii", "replace")
+                for at in range(0, max(0, len(text) - k + 1), ROWS):
+                    held.append(hashes(text[at : at + ROWS + k - 1], k))
+                    bases += len(held[-1])
+                    if bases >= 4 * ROWS:
+                        yield made()
+                        held, bases = [], 0
+        if held:
+            yield made()
+
+    return seqs.select("seq").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def own_complement(hash_: Column, k: int) -> Column:
+    """Whether a k-mer is its own reverse complement: base i and base k - 1 - i add up to 3."""
+    same = F.lit(k % 2 == 0)
+    for i in range(k // 2):
+        base = lambda j: F.shiftrightunsigned(hash_, 2 * j).bitwiseAND(F.lit(3))
+        same = same & (base(i) + base(k - 1 - i) == 3)
+    return same
+
+
 def cutoff(counted: DataFrame, fraction: float, least: int) -> DataFrame:
     """One row (cutoff): the count at place floor(distinct * fraction) in descending order, and `least` at least.
 
@@ -174,9 +222,10 @@ def adaptive_k(bases: int) -> int:
 THRESHOLDS = (("t_threshold", 0.995), ("t_extend", 0.99), ("t_low", 0.9), ("t_high", 0.998))
 
 
-def score_thresholds(counted: DataFrame) -> DataFrame:
-    """One row: for each threshold the count at place floor(distinct * (1 - share)) in descending order of count."""
-    histogram = counted.groupBy("n").agg(F.count("*").alias("kmers"))
+def score_thresholds(counted: DataFrame, weight: Column | None = None) -> DataFrame:
+    """One row: for each threshold the count at place floor(distinct * (1 - share)) in descending order of count; weight: the k-mers
+    that a row stands for (by default one)."""
+    histogram = counted.groupBy("n").agg((F.count("*") if weight is None else F.sum(weight)).alias("kmers"))
     upto = F.sum("kmers").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("kmers").over(Window.partitionBy())
     h = histogram.select("n", upto.alias("upto"), total.alias("total"))
@@ -190,9 +239,11 @@ def clamped(n: Column, low: Column, high: Column) -> Column:
 
 def coverage(postings: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
     """(sid, covered, longest_gap): bases of each sequence that kept k-mers cover, and the longest run without."""
+    from ..sources.scratch import written
     from .intervals import complement, merge
 
-    spans = merge(postings.select(F.col("sid").alias("chr"), F.col("soff").cast("long").alias("start"), (F.col("soff") + k).cast("long").alias("stop")))
+    placed = written(postings.select(F.col("sid").alias("chr"), F.col("soff").cast("long").alias("start"), (F.col("soff") + k).cast("long").alias("stop")), "placed")
+    spans = written(merge(placed), "merged")
     gaps = complement(spans, lengths.select(F.col("sid").alias("chr"), F.col("length").cast("long").alias("length")))
     cover = spans.groupBy("chr").agg(F.sum(F.col("stop") - F.col("start")).alias("covered"))
     gap = gaps.groupBy("chr").agg(F.max(F.col("stop") - F.col("start")).alias("longest_gap"))

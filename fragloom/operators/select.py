@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,26 +54,35 @@ def take_budget(rows: DataFrame, order: list[str], size: str, budget: int, bucke
 
 def coverage_capped(frags: DataFrame, lengths: DataFrame, cover: int, cap: int = 200, fresh: int = 20) -> DataFrame:
     """Fragments (subject_id, ord, start, stop) of each chromosome in order of ord: one is taken if `fresh` of its places have under
-    `cover` taken ones, until the taken bases reach length * cover; lengths: (subject_id, length).
+    `cover` taken ones, until the taken bases reach length * cover; lengths: (subject_id, length). Chromosomes without a length have none.
 
-    The rule looks at all earlier choices on the chromosome, so a chromosome is one group; its memory is its coverage, a byte a base.
+    The rule looks at all earlier choices on the chromosome, so its rows go through one task in order. Spark sorts them (and
+    spills); they stream by in batches, and the task holds the chromosome's coverage alone, a byte a base.
     """
+    names = frags.columns
     schema = frags.schema
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        length = int(pdf["length"].iloc[0])
-        depth, taken, total = np.zeros(max(length, int(pdf["stop"].max())), np.uint8), [], 0
-        for start, stop in zip(pdf["start"].to_numpy(), pdf["stop"].to_numpy(), strict=True):
-            own = depth[start:stop]
-            ok = total < length * cover and int((own < cover).sum()) >= fresh
-            taken.append(ok)
-            if ok:
-                own[own < cap] += 1
-                total += stop - start
-        return pdf[np.array(taken, bool)].drop(columns="length")
-
-    return frags.join(lengths, "subject_id").select(*frags.columns, "length").groupBy("subject_id").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, depth, total, limit = None, np.zeros(0, np.uint8), 0, 0
+        for batch in batches:
+            taken = np.zeros(batch.num_rows, bool)
+            columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("subject_id", "start", "stop", "_length"))
+            for i, (subject, start, stop, length) in enumerate(zip(*columns, strict=True)):
+                if subject != at:
+                    at, depth, total, limit = subject, np.zeros(int(length), np.uint8), 0, int(length) * cover
+                if total >= limit:
+                    continue
+                if stop > len(depth):
+                    depth = np.append(depth, np.zeros(int(stop) - len(depth), np.uint8))
+                own = depth[start:stop]
+                if np.count_nonzero(own < cover) >= fresh:
+                    taken[i] = True
+                    own[own < cap] += 1
+                    total += stop - start
+            yield batch.select(names).filter(pa.array(taken))
+
+    rows = frags.join(lengths.select("subject_id", F.col("length").alias("_length")), "subject_id").select(*names, "_length")
+    return rows.repartition("subject_id").sortWithinPartitions("subject_id", "ord").mapInArrow(run, schema)
 
 
 def hash_sample(rows: DataFrame, key: str, share: float, grain: int = 1000) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import align
 from ..operators import enzymes, haplotypes, intervals, kmers, masking, pairs, select, sets, stats, variants
 from ..sources import readers, writers
+from ..sources.scratch import written
 from . import adapters as A
 from . import mapping
 
@@ -478,7 +479,12 @@ CUTOFF = "cut as (select greatest(coalesce((select n from (select n, row_number(
 
 
 def _ref(spark, d):
-    return kmers.extract_hashed(A.genome(spark, d).repartition(32, "sid"), "sid", K, STRIDE)
+    return kmers.extract_hashed(A.genome(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "sid"), "sid", K, STRIDE)
+
+
+def _counted_ref(ref: DataFrame) -> DataFrame:
+    """Counts of k-mers, made once: the cutoff and the kept k-mers both read them."""
+    return written(kmers.counts(ref, "hash"), "counts")
 
 
 @query(A.GENOME, REF, COUNTS, sql="select n, count(*) kmers from counts group by n")
@@ -494,7 +500,7 @@ def kmer_cutoff(spark, d):
 @query(A.GENOME, REF, COUNTS, CUTOFF.format("0.1", 1), sql="select sid, count(*) n from ref where kmer in (select kmer from counts, cut where n <= cutoff) group by sid")
 def kmer_filter(spark, d):
     ref = _ref(spark, d)
-    counted = kmers.counts(ref, "hash")
+    counted = _counted_ref(ref)
     return kmers.frequent_removed(ref, counted, kmers.cutoff(counted, 0.1, 1), "hash").groupBy("sid").agg(F.count("*").alias("n"))
 
 
@@ -561,7 +567,7 @@ QUERY_KMERS = _kmers_sql("q", "both_", "qid, strand", K, 1)
 
 def _seeds(spark, d, most: int = 20):
     ref = _ref(spark, d)
-    counted = kmers.counts(ref, "hash")
+    counted = _counted_ref(ref)
     postings = kmers.frequent_removed(ref, counted, kmers.cutoff(counted, 1e-4, 100), "hash")
     return kmers.seeds(kmers.of_reads(A.reads(spark, d), K), postings, "hash", most)
 
@@ -584,7 +590,7 @@ def seed_match(spark, d):
 )
 def kmer_coverage(spark, d):
     ref, seqs = _ref(spark, d), A.genome(spark, d)
-    counted = kmers.counts(ref, "hash")
+    counted = _counted_ref(ref)
     kept = kmers.frequent_removed(ref, counted, kmers.cutoff(counted, 0.1, 1), "hash")
     return kmers.coverage(kept, seqs.select("sid", F.length("seq").alias("length")), K)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fragloom.operators import enzymes, haplotypes, intervals, kmers, mapping, masking, pairs, select, stats, variants
+from fragloom.operators import enzymes, haplotypes, intervals, kmers, mapping, masking, pairs, scans, select, stats, variants
 
 
 def rows(df, *columns):
@@ -130,30 +130,127 @@ def test_coverage_cap(spark):
     assert rows(kept, "ord") == [(0,), (1,), (2,)]
 
 
-def test_mask_against_plain_loops():
-    rng = np.random.default_rng(0)
-    for _ in range(20):
-        n, k = 60, 4
-        score = rng.integers(0, 9, n - k + 1)
-        span = k + 4
-        mean = [int(score[i : i + 5].sum()) // 5 for i in range(n - span)]
-        best, masked = [0] * n, [False] * n
-        for i, m in enumerate(mean):
-            for p in range(i, i + span):
-                best[p] = max(best[p], m)
-                masked[p] |= m >= 6
-        i = 0
-        while i < n:
-            j = i
-            while j < n and masked[j] == masked[i]:
-                j += 1
-            if not masked[i] and min(best[i:j]) >= 4:
-                masked[i:j] = [True] * (j - i)
-            i = j
-        got = np.zeros(n, bool)
-        for a, b in masking.mask(score, k, n, 6, 4):
-            got[a:b] = True
-        assert got.tolist() == masked
+def test_coverage_cap_against_a_plain_loop(spark):
+    rng = np.random.default_rng(7)
+    lengths = {0: 300, 1: 900, 2: 50}
+    frags_ = [(int(rng.integers(0, 4)), i, a, a + int(rng.integers(1, 120))) for i, a in enumerate(rng.integers(0, 400, 500).tolist())]
+    taken, depth, total = [], {c: [0] * 2_000 for c in lengths}, dict.fromkeys(lengths, 0)
+    for c, i, a, b in frags_:
+        if c in lengths and total[c] < lengths[c] * 4 and sum(depth[c][p] < 4 for p in range(a, b)) >= 20:
+            taken.append((c, i))
+            total[c] += b - a
+            for p in range(a, b):
+                depth[c][p] += depth[c][p] < 6
+    df = spark.createDataFrame([frags_[i] for i in rng.permutation(500)], "subject_id long, ord long, start long, stop long").repartition(3)
+    got = select.coverage_capped(df, spark.createDataFrame(list(lengths.items()), "subject_id long, length long"), 4, cap=6)
+    assert rows(got, "subject_id", "ord") == sorted(taken)
+    assert select.coverage_capped(df.limit(0), spark.createDataFrame([(0, 10)], "subject_id long, length long"), 4).count() == 0
+
+
+def plain_mask(score, k, n, threshold, extend):
+    """Masked places of a sequence of n bases, place by place."""
+    span = k + 4
+    mean = [int(sum(score[i : i + 5])) // 5 for i in range(max(0, n - span))]
+    best, masked = [0] * n, [False] * n
+    if not mean:
+        return masked
+    for i, m in enumerate(mean):
+        for p in range(i, i + span):
+            best[p] = max(best[p], m)
+            masked[p] |= m >= threshold
+    i = 0
+    while i < n:
+        j = i
+        while j < n and masked[j] == masked[i]:
+            j += 1
+        if not masked[i] and min(best[i:j]) >= extend:
+            masked[i:j] = [True] * (j - i)
+        i = j
+    return masked
+
+
+@pytest.mark.parametrize("size", [16, 37, 1 << 20])
+def test_repeats_in_pieces_are_those_of_whole_sequences(spark, size):
+    rng, k = np.random.default_rng(size), 5
+    seqs = []
+    for i in range(12):
+        parts = ["".join(rng.choice(list("ACGT"), rng.integers(1, 250))) for _ in range(3)]
+        seqs.append((i, ("ACACACAC" * int(rng.integers(0, 12))).join(parts)))
+    seqs += [(20, "ACGTN"), (21, ""), (22, None), (23, "AC" * 200), (24, "acgt" * 3)]
+    df = spark.createDataFrame(seqs, "sid long, seq string")
+    both = {}
+    turn = str.maketrans("ACGT", "TGCA")
+    clean = {i: "".join(c if c in "ACGT" else "A" for c in (s or "").upper()) for i, s in seqs}
+    for s in clean.values():
+        for strand in (s, s[::-1].translate(turn)):
+            for p in range(len(strand) - k + 1):
+                both[strand[p : p + k]] = both.get(strand[p : p + k], 0) + 1
+    counted = sorted(both.values(), reverse=True)
+    t = {name: counted[int(len(counted) * (1.0 - share))] for name, share in kmers.THRESHOLDS}
+    expected = []
+    for i, s in clean.items():
+        score = [min(n, t["t_high"]) if n >= t["t_low"] else t["t_low"] // 2 for n in (both[s[p : p + k]] for p in range(len(s) - k + 1))]
+        masked = np.array([False, *plain_mask(score, k, len(s), t["t_threshold"], t["t_extend"]), False])
+        edge = np.flatnonzero(np.diff(masked.astype(np.int8))).reshape(-1, 2)
+        expected += [(i, int(a), int(b)) for a, b in edge]
+    assert expected and rows(masking.repeat_regions(df, k, size=size, call=300), "chr", "start", "stop") == sorted(expected)
+    assert masking.repeat_regions(df.limit(0), k).count() == 0
+
+
+def test_runs_of_a_piece():
+    hot = np.array([0, 1, 1, 0, 0, 1, 0, 0], bool)
+    best = np.array([5, 9, 9, 5, 5, 9, 5, 1])
+    assert masking.piece_runs(best, hot, 0, 8, 4) == [(0, 1, False, True, True), (1, 3, False, True, True), (3, 5, False, True, True), (5, 6, False, True, True)]
+    # the same places inside a longer sequence: the first and last ones belong to the pieces beside
+    assert masking.piece_runs(best, hot, 11, 30, 4) == [(11, 13, False, True, True), (13, 15, False, True, True), (15, 16, False, True, True)]
+    warm = np.full(6, 5)
+    assert masking.piece_runs(warm, np.zeros(6, bool), 10, 30, 4) == [(10, 14, True, True, True)]
+
+
+@pytest.mark.parametrize("gap", [0, 7])
+def test_scans_of_a_hot_chromosome(spark, gap):
+    rng = np.random.default_rng(gap)
+    spans = [(1 if rng.random() < 0.8 else int(rng.integers(2, 5)), int(a), int(a + rng.integers(1, 40))) for a in rng.integers(0, 6_000, 500)]
+    spans += [(1, 50, 51)] * 200 + [(9, 10, 20), (None, 1, 4), (None, 3, 9)]
+    df = spark.createDataFrame(spans, "chr long, start long, stop long")
+    merged, depth = [], []
+    for c in {x[0] for x in spans}:
+        own = sorted(x[1:] for x in spans if x[0] == c)
+        out = [list(own[0])]
+        for a, b in own[1:]:
+            if a <= out[-1][1] + gap:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        merged += [(c, *x) for x in out]
+        places = sorted({p for x in own for p in x})
+        by = {p: sum((x[0] == p) - (x[1] == p) for x in own) for p in places}
+        places, run = [p for p in places if by[p]], 0
+        for p, q in zip(places, [*places[1:], None], strict=True):
+            run += by[p]
+            depth += [(c, p, q, run)] if run else []
+    by_text = lambda x: sorted(x, key=str)
+    assert by_text(map(tuple, intervals.merge(df, gap).collect())) == by_text(merged)
+    assert by_text(map(tuple, intervals.depth(df).collect())) == by_text(depth)
+    binned = scans.binned(df.groupBy("chr", "start").agg(F.max("stop").alias("stop")), "start", 16)
+    assert binned.where("chr = 1").groupBy(scans.BIN).count().agg(F.count("*"), F.max("count")).first()[0] >= 14
+    sizes = [(1, 7_000), (9, 20), (30, 5)]
+    gaps = []
+    for c, n in sizes:
+        at = 0
+        for _, a, b in sorted(x for x in merged if x[0] == c):
+            gaps += [(c, at, a)] if at < a else []
+            at = b
+        gaps += [(c, at, n)] if at < n else []
+    assert rows(intervals.complement(intervals.merge(df, gap), spark.createDataFrame(sizes, "chr long, length long")), "chr", "start", "stop") == sorted(gaps)
+
+
+def test_as_of_join(spark):
+    rng = np.random.default_rng(5)
+    loci = [(1 if rng.random() < 0.9 else 2, int(x)) for x in rng.integers(0, 1_000, 200)] + [(1, 400)] * 50
+    queries = [(i, int(rng.integers(1, 4)), int(rng.integers(-5, 1_005))) for i in range(300)]
+    got = intervals.nearest_before(spark.createDataFrame(queries, "q long, sid long, at long"), spark.createDataFrame(loci, "sid long, locus long"), "sid", "at", "locus")
+    assert rows(got, "q", "locus") == [(q, max((x for c, x in loci if c == s and x <= at), default=None)) for q, s, at in queries]
 
 
 def test_containment_looks_at_hits_taken(spark):
