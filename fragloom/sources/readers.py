@@ -9,10 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.kmers import normalised
+from .scratch import written
 
 FRAGHAP = "read_id long, frag_id long, subject_id long, subject_offset long, frag_size long, mapq long, identity double, hp long"
 COMMENTS = "!#;"
@@ -218,88 +220,219 @@ _BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 _SIZES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
-def unbgzf(data: bytes) -> bytes:
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
-
-
-def bam_records(data: bytes) -> Iterator[dict]:
-    """Records of a BAM file as dicts of SAM's fields and tags (a dict of texts)."""
-    raw = unbgzf(data)
-    if raw[:4] != b"BAM\1":
-        raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", raw, 4)[0]
-    (n,), names = struct.unpack_from("<i", raw, at), []
-    at += 4
-    for _ in range(n):
-        (size,) = struct.unpack_from("<i", raw, at)
-        names.append(raw[at + 4 : at + 3 + size].decode())
-        at += 8 + size
-    while at < len(raw):
-        (size,) = struct.unpack_from("<i", raw, at)
-        end = at + 4 + size
-        tid, pos, l_name, mapq, _, n_op, flag, l_seq, ntid, npos, tlen = struct.unpack_from("<iiBBHHHiiii", raw, at + 4)
-        at += 36
-        name = raw[at : at + l_name - 1].decode()
-        at += l_name
-        ops = struct.unpack_from(f"<{n_op}I", raw, at)
-        at += 4 * n_op
-        packed = np.frombuffer(raw, np.uint8, (l_seq + 1) // 2, at)
-        codes = np.stack([packed >> 4, packed & 15], 1).ravel()[:l_seq]
-        at += (l_seq + 1) // 2
-        qual = raw[at : at + l_seq]
-        at += l_seq
-        tags = {}
-        while at < end:
-            tag, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
-            at += 3
-            if kind in "ZH":
-                to = raw.index(0, at)
-                tags[tag] = raw[at:to].decode()
-                at = to + 1
-            elif kind == "A":
-                tags[tag], at = chr(raw[at]), at + 1
-            elif kind == "B":
-                f = "<" + str(struct.unpack_from("<i", raw, at + 1)[0]) + _SIZES[chr(raw[at])]
-                tags[tag] = ",".join(map(str, struct.unpack_from(f, raw, at + 5)))
-                at += 5 + struct.calcsize(f)
-            else:
-                (v,) = struct.unpack_from("<" + _SIZES[kind], raw, at)
-                tags[tag], at = str(v), at + struct.calcsize(_SIZES[kind])
-        yield {
-            "qname": name, "flag": flag, "rname": names[tid] if tid >= 0 else "*", "pos": pos + 1, "mapq": mapq, "cigar": "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*",
-            "rnext": "*" if ntid < 0 else "=" if ntid == tid else names[ntid], "pnext": npos + 1, "tlen": tlen, "seq": "".join(_BASES[c] for c in codes.tolist()) or "*",
-            "qual": "*" if not qual or qual[0] == 255 else bytes(q + 33 for q in qual).decode(), "tags": tags,
-        }
-        at = end
+def bam_header(raw: bytes) -> tuple[list[str], int] | None:
+    """Names of the references and where the first record begins, or None if the header goes on beyond these bytes."""
+    try:
+        if raw[:4] != b"BAM\1"[: len(raw)]:
+            raise ValueError("not a BAM file")
+        at = 8 + struct.unpack_from("<i", raw, 4)[0]
+        (n,), names = struct.unpack_from("<i", raw, at), []
+        at += 4
+        for _ in range(n):
+            (size,) = struct.unpack_from("<i", raw, at)
+            struct.unpack_from("<i", raw, at + 4 + size)
+            names.append(raw[at + 4 : at + 3 + size].decode())
+            at += 8 + size
+        return names, at
+    except struct.error:
+        return None
+
+
+def bam_record(raw: bytes, at: int, end: int) -> tuple:
+    """The record in raw[at:end], after its size: tid, ntid, SAM's fields (names of references left out) and tags."""
+    tid, pos, l_name, mapq, _, n_op, flag, l_seq, ntid, npos, tlen = struct.unpack_from("<iiBBHHHiiii", raw, at)
+    at += 32
+    name = raw[at : at + l_name - 1].decode()
+    at += l_name
+    ops = struct.unpack_from(f"<{n_op}I", raw, at)
+    at += 4 * n_op
+    packed = np.frombuffer(raw, np.uint8, (l_seq + 1) // 2, at)
+    codes = np.stack([packed >> 4, packed & 15], 1).ravel()[:l_seq]
+    at += (l_seq + 1) // 2
+    qual = raw[at : at + l_seq]
+    at += l_seq
+    tags = []
+    while at < end:
+        tag, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
+        at += 3
+        if kind in "ZH":
+            to = raw.index(0, at)
+            tags.append((tag, raw[at:to].decode()))
+            at = to + 1
+        elif kind == "A":
+            tags.append((tag, chr(raw[at])))
+            at += 1
+        elif kind == "B":
+            f = "<" + str(struct.unpack_from("<i", raw, at + 1)[0]) + _SIZES[chr(raw[at])]
+            tags.append((tag, ",".join(map(str, struct.unpack_from(f, raw, at + 5)))))
+            at += 5 + struct.calcsize(f)
+        else:
+            (v,) = struct.unpack_from("<" + _SIZES[kind], raw, at)
+            tags.append((tag, str(v)))
+            at += struct.calcsize(_SIZES[kind])
+    cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
+    seq = "".join(_BASES[c] for c in codes.tolist()) or "*"
+    return tid, ntid, name, flag, pos + 1, mapq, cigar, npos + 1, tlen, seq, "*" if not qual or qual[0] == 255 else bytes(q + 33 for q in qual).decode(), tags
+
+
+def plausible(raw: bytes, at: int) -> int | None:
+    """The end of what looks like a record at a place, or None: its parts must fill its size, and its name be printable and end in a zero.
+    A record that goes on beyond the bytes is judged by what is there."""
+    if len(raw) < at + 36:
+        return None
+    size, tid, pos, l_name, _, _, n_op, _, l_seq, ntid, npos, _ = struct.unpack_from("<iiiBBHHHiiii", raw, at)
+    fixed = 32 + l_name + 4 * n_op + (l_seq + 1) // 2 + l_seq
+    if size < fixed or size > fixed + (1 << 24) or l_name < 2 or l_seq < 0 or min(tid, pos, ntid, npos) < -1:
+        return None
+    name = raw[at + 36 : at + 36 + l_name]
+    if any(not 33 <= c <= 126 for c in name[: l_name - 1]) or len(name) == l_name and name[-1]:
+        return None
+    return at + 4 + size
+
+
+def first_record(raw: bytes, whole: bool, chain: int = 4) -> int | None:
+    """Where the first record begins: the first place from which `chain` plausible records follow one another, or all up to the end, two
+    at least (one, if the whole split is here)."""
+    for at in range(max(0, len(raw) - 35)):
+        to, n = plausible(raw, at), 1
+        while to is not None and to < len(raw) - 36 and n < chain:
+            to, n = plausible(raw, to), n + 1
+        if to is not None and (n > 1 or whole):
+            return at
+    return None
+
+
+#: In the head of each member of a BAM file, and nowhere else (but by a chance of 2 ** -48 a byte): size of the extra field, its name and size.
+_MEMBER = "\x06\x00BC\x02\x00"
+_KIND = "path string, block long, kind string, tid int, ntid int, qname string, flag int, pos long, mapq int, cigar string, pnext long, tlen long, seq string, qual string, tags map<string,string>, edge binary"
+_KINDS = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+#: Inflated bytes that are searched for the first record, and rows of a batch.
+_SEARCH, _BATCH = 1 << 18, 4_000
+
+
+class _Split:
+    """The records of one split of a BAM file, as its members come."""
+
+    def __init__(self, path: str, block: int):
+        self.path, self.block, self.names = path, block, None
+        self.raw, self.rest, self.found, self.search = b"", b"", False, _SEARCH
+
+    def row(self, kind: str, *fields, edge: bytes | None = None) -> tuple:
+        return (self.path, self.block, kind, *(fields or (None,) * 12), edge)
+
+    def feed(self, chunk: bytes) -> None:
+        """What stands between two marks: the rest of a member from its size on, and the beginning of the next one's head."""
+        chunk = self.rest + chunk
+        size = int.from_bytes(chunk[:2], "little") - 17 + 2  # of these bytes, the member's
+        if len(chunk) < size:
+            self.rest = chunk + _MEMBER.encode()  # a mark by chance
+            return
+        self.rest = b""
+        self.raw += zlib.decompress(chunk[2 : size - 8], -15)
+
+    def records(self, last: bool) -> Iterator[tuple]:
+        if not self.found and self.block == 0:
+            if not (header := bam_header(self.raw)):
+                if last:
+                    raise ValueError(f"{self.path}: its header is longer than a split; raise spark.sql.files.maxPartitionBytes")
+                return
+            self.found, (names, at) = True, header
+            yield from (self.row("reference", i, None, n, *(None,) * 9) for i, n in enumerate(names))
+            self.raw = self.raw[at:]
+        elif not self.found:
+            if len(self.raw) < self.search and not last:
+                return
+            at = first_record(self.raw, last)
+            if at is None:
+                self.search *= 2
+                if last:
+                    yield self.row("no record", edge=self.raw)
+                return
+            yield self.row("head", edge=self.raw[:at])
+            self.found, self.raw = True, self.raw[at:]
+        at = 0
+        while at + 4 <= len(self.raw):
+            end = at + 4 + struct.unpack_from("<i", self.raw, at)[0]
+            if end > len(self.raw):
+                break
+            yield self.row("record", *bam_record(self.raw, at + 4, end))
+            at = end
+        self.raw = self.raw[at:]
+        if last:
+            yield self.row("tail", edge=self.raw)
+
+
+def bam_table(spark: SparkSession, paths) -> DataFrame:
+    """What the splits of BAM files hold: references, records that lie in one split, and the bytes of those at the splits' edges.
+
+    Spark's line reader cuts the files at the marks of their members, so files are read split by split on any file system.
+    A split's first record is found by the looks of it and of those that follow.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
-def read_bam(spark: SparkSession, paths) -> DataFrame:
-    """SAM's columns and tags (a map) of BAM files, each read whole by one task (a file of each chromosome, as split_by writes them)."""
-    names = [f.split()[0] for f in _SAM.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        def packed() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [x.split()[0] for x in _KIND.split(", ")])
 
-    def run(batches):
+        split = None
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                rows = []
-                for r in bam_records(data):
-                    rows.append(r)
-                    if len(rows) == 10_000:
-                        yield pack(rows)
-                        rows = []
-                yield pack(rows)
-
-    def pack(rows):
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)), pa.array([list(r["tags"].items()) for r in rows], pa.map_(pa.string(), pa.string()))], [*names, "tags"]
-        )
-
-    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, _SAM + ", tags map<string,string>")
+            for path, block, chunk in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "value")), strict=True):
+                if split is None or (path, block) != (split.path, split.block):
+                    if split:
+                        held += split.records(True)
+                    split = _Split(path, block)
+                    if block == 0:
+                        continue  # the beginning of the first member's head
+                split.feed(chunk)
+                if len(split.raw) >= _SEARCH:
+                    held += split.records(False)
+                if len(held) >= _BATCH:
+                    yield packed()
+                    held = []
+        if split:
+            held += split.records(True)
+        if held:
+            yield packed()
+
+    members = spark.read.option("lineSep", _MEMBER).text(paths)
+    return members.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value")).mapInArrow(run, _KIND)
+
+
+def read_bam(spark: SparkSession, paths) -> DataFrame:
+    """SAM's columns and tags (a map) of BAM files, of which each split is a task's (spark.sql.files.maxPartitionBytes).
+
+    Bytes before a split's first record and after its last whole one make the records that cross the border: they must come to whole
+    records, else an error is raised. Their table is written once (scratch).
+    """
+    table = written(bam_table(spark, paths), "bam")
+    splits = Window.partitionBy("path").orderBy("block", F.when(F.col("kind") == "tail", 1).otherwise(0))  # two rows a split at most
+    edges = table.where("edge is not null").select("path", "block", "kind", "edge", F.sum(F.when(F.col("kind") == "tail", 1).otherwise(0)).over(splits).alias("of"))
+
+    def cross(border: pa.Table) -> pa.Table:
+        border = border.sort_by([("block", "ascending")])
+        tails = border.filter(pc.equal(border.column("kind"), "tail")).column("edge").to_pylist()
+        rest = border.filter(pc.not_equal(border.column("kind"), "tail")).column("edge").to_pylist()
+        raw, at, rows = b"".join(tails + rest), 0, []
+        path, block = border.column("path")[0].as_py(), border.column("block")[0].as_py()
+        while at + 4 <= len(raw):
+            end = at + 4 + struct.unpack_from("<i", raw, at)[0]
+            if end > len(raw) or end < at + 36:
+                break
+            rows.append((path, block, "record", *bam_record(raw, at + 4, end), None))
+            at = end
+        if at < len(raw):
+            raise ValueError(f"{path}: after byte {block} the records at the splits' border don't fit together")
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(_KINDS)
+        return pa.table({x.split()[0]: pa.array(c, k) for x, c, k in zip(_KIND.split(", "), columns, _KINDS, strict=True)})
+
+    crossing = edges.groupBy("path", "of").applyInArrow(lambda t: cross(t), _KIND)
+    records = table.where("kind = 'record'").unionByName(crossing)
+    names = table.where("kind = 'reference'").select("path", F.col("tid").alias("i"), F.col("qname").alias("name"))  # a row a reference of each file
+    records = records.join(names.withColumnsRenamed({"i": "tid", "name": "rname"}), ["path", "tid"], "left").join(names.withColumnsRenamed({"i": "ntid", "name": "other"}), ["path", "ntid"], "left")
+    same = F.when(F.col("ntid") < 0, "*").when(F.col("ntid") == F.col("tid"), "=").otherwise(F.col("other"))
+    return records.withColumns({"rname": F.coalesce("rname", F.lit("*")), "rnext": same}).select(*(f.split()[0] for f in _SAM.split(", ")), "tags")
 
 
 def fraghap_of_records(records: DataFrame) -> DataFrame:

@@ -117,8 +117,9 @@ def test_bam_round_trip(spark, tmp_path):
         one = next(iter(lines)).split("\t")
         assert all(tags[one[0]][t[:2]] == t[5:] or t[:2] == "pi" for t in one[11:]) or form == "bam"
     line = "r\t16\tchr1\t100\t7\t2S3M1D2I1M\t*\t0\t0\tACGTNACG\tIIIIIII!\tpi:f:93.5\tSA:Z:x:y"
-    (record,) = readers.bam_records(b"".join(writers.bam_blocks(iter([line]), names)))
-    assert record["seq"] == "ACGTNACG" and record["qual"] == "IIIIIII!" and record["cigar"] == "2S3M1D2I1M" and record["tags"] == {"pi": "93.5", "SA": "x:y"} and record["pos"] == 100
+    (tmp_path / "one.bam").write_bytes(b"".join(writers.bam_blocks(iter([line]), names)))
+    (record,) = readers.read_bam(spark, str(tmp_path / "one.bam")).collect()
+    assert record.seq == "ACGTNACG" and record.qual == "IIIIIII!" and record.cigar == "2S3M1D2I1M" and record.tags == {"pi": "93.5", "SA": "x:y"} and record.pos == 100
     assert writers.bgzf(b"") == bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
     assert (writers._bin(0, 1), writers._bin(0, 1 << 29), writers._bin(1 << 14, (1 << 14) + 5), writers._bin((1 << 14) - 1, (1 << 14) + 1)) == (4681, 0, 4682, 585)
 
@@ -157,3 +158,44 @@ def test_names_indices_and_tags(spark, tmp_path):
     assert df.select(writers.sa_tag("qdir", "qb", "qe", "sname", "s", "e", "pi")).first()[0] == "+:10:20:chr1:5:15:93.1416"
     loci = F.array(*(F.lit(x) for x in (0, 50, 90, 120, 121)))
     assert [r[0] for r in spark.createDataFrame([(0,), (49,), (50,), (119,), (121,)], "at int").select(enzymes.bounded_index(F.col("at"), loci)).collect()] == [0, 0, 1, 2, 2]
+
+
+def test_a_bam_file_in_many_splits(spark, tmp_path):
+    """The records are those of the file read in one split: short ones, and some longer than several splits."""
+    import random
+
+    r = random.Random(5)
+    names = [(f"contig{i}", 10_000 + i) for i in range(40)]
+    lines = []
+    for i in range(900):
+        n = r.choice([30, 400, 3_000]) if i % 100 else 150_000
+        seq = "".join(r.choice("ACGT") for _ in range(n))
+        qual = "".join(chr(r.randint(34, 73)) for _ in range(n))
+        lines.append("\t".join(map(str, (f"read{i}/x", 0, names[i % 40][0] if i % 7 else "*", i + 1, 60, f"{n}M", "=" if i % 5 else names[3][0], 77, -5, seq, qual, f"NM:i:{i}", "XZ:Z:BC"))))
+    (tmp_path / "a.bam").write_bytes(b"".join(writers.bam_blocks(iter(lines), names)))
+    (tmp_path / "b.bam").write_bytes(b"".join(writers.bam_blocks(iter(lines[:3]), names[::-1])))
+    (tmp_path / "c.bam").write_bytes(b"".join(writers.bam_blocks(iter([]), names)))
+    shown = lambda x: "\t".join(map(str, (x.qname, x.flag, x.rname, x.pos, x.mapq, x.cigar, x.rnext, x.pnext, x.tlen, x.seq, x.qual)))
+    expected = sorted("\t".join(x.split("\t")[:11]) if x.split("\t")[6] == "=" and x.split("\t")[2] != "*" else "" for x in [*lines, *lines[:3]])
+    whole = readers.read_bam(spark, str(tmp_path / "*.bam")).collect()
+    assert len(whole) == 903 and {x for x in expected if x} <= {shown(x) for x in whole} and {x.tags["NM"] for x in whole} == {str(i) for i in range(900)}
+    for size in (60_000, 131_072, 700_001):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            members = readers.bam_table(spark, str(tmp_path / "a.bam")).groupBy("block").count().count()
+            split = readers.read_bam(spark, str(tmp_path / "*.bam")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert members > (tmp_path / "a.bam").stat().st_size / size / 2
+        assert sorted(map(shown, split)) == sorted(map(shown, whole)) and sorted(str(sorted(x.tags.items())) for x in split) == sorted(str(sorted(x.tags.items())) for x in whole)
+
+
+def test_first_record_of_a_split():
+    record = writers.bam_record("r\t16\tchr1\t100\t7\t4M\t*\t0\t0\tACGT\tIIII\tpi:f:93.5", {"chr1": 0})
+    raw = record * 6
+    for cut in range(len(record)):
+        assert readers.first_record(raw[cut:], False) == (len(record) - cut) % len(record)
+    assert readers.first_record(b"\0" * 500, True) is None and readers.first_record(b"", True) is None
+    assert readers.bam_header(b"BAM\1") is None
+    with pytest.raises(ValueError):
+        readers.bam_header(b"SAM\1" + b"\0" * 20)
