@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import align
 from ..operators import enzymes, haplotypes, intervals, kmers, masking, pairs, select, sets, stats, variants
 from ..sources import readers, writers
-from ..sources.scratch import written
+from ..sources.scratch import folder, written
 from . import adapters as A
-from . import mapping
+from . import mapping, tagging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -467,6 +468,20 @@ def chain_flags(spark, d):
     return enzymes.chain_flags(rows, 4).select("read_id", "frag_id", "lp", "rp", "is_perfect", "is_pseudo_perfect", "chain_qoff", "chain_qend")
 
 
+@query(
+    A.FRAGS, READ_COUNTS, OTHER,
+    "c as (select read_id, frag_id, cast(case when n0 > 0 and n1 + n2 > 0 and mapq >= 1 and (n2 = 0 or n1 / (n1 + n2) > 0.8) then 1 when n0 > 0 and n1 + n2 > 0 and mapq >= 1 and (n1 = 0 or n2 / (n1 + n2) > 0.8) then 2 else hp end as bigint) hp from n)",
+    sql="select read_id, frag_id, o.hp tagged, c.hp imputed, case when c.hp > 0 then c.hp end \"record\" from c join other o using (read_id, frag_id)",
+)
+def tagged_files(spark, d):
+    """Both lists and the tagged records, written and read again."""
+    path = f"{folder(spark)}/tagged-{uuid.uuid4().hex}"
+    tagging.write_tagged(_other(spark, d), haplotypes.consensus(A.frags(spark, d)), _named(spark, d), path, [(f"chr{i}", 100_050_000) for i in range(5)])
+    tagged, imputed, records = tagging.read_tagged(spark, path)
+    hp = lambda rows, name: rows.select("read_id", "frag_id", F.col("hp").alias(name))
+    return hp(tagged, "tagged").join(hp(imputed, "imputed"), ["read_id", "frag_id"]).join(hp(records, "record"), ["read_id", "frag_id"])
+
+
 # ---- k-mers --------------------------------------------------------------------------------------------------------
 
 def _kmers_sql(name: str, source: str, key: str, k: int, stride: int) -> str:

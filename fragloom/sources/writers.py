@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 import zlib
@@ -78,7 +77,8 @@ def sam_lines(rows: DataFrame, fragments: bool = False) -> DataFrame:
         ("qi", "i", "read_id"), ("qd", "i", "qdir"), ("qs", "i", "fwd_qoff"), ("qe", "i", "fwd_qend"), ("qS", "i", "enzyme_qoff"), ("qE", "i", "enzyme_qend"), ("ql", "i", "qsize"), ("si", "i", "subject_id"),
         ("ss", "i", "soff"), ("se", "i", "send"), ("vS", "i", "enzyme_soff"), ("vE", "i", "enzyme_send"), ("sl", "i", "ssize"), ("pi", "f", "pi"),
     )
-    return rows.select(F.concat_ws("\t", *((F.col(c) if isinstance(c, str) else c).cast("string") for c in columns), *tags, SA()).alias("value"))
+    haplotype = [F.when(F.col("HP").isNotNull(), F.concat(F.lit("HP:i:"), F.col("HP").cast("string")))] if "HP" in rows.columns else []
+    return rows.select(F.concat_ws("\t", *((F.col(c) if isinstance(c, str) else c).cast("string") for c in columns), *tags, SA(), *haplotype).alias("value"))
 
 
 def sam_header(names: list[tuple[str, int]], program: str = "fragloom") -> list[str]:
@@ -155,24 +155,25 @@ def bam_blocks(lines: Iterator[str], names: list[tuple[str, int]]) -> Iterator[b
 
 
 def write_bam(lines: DataFrame, path: str, names: list[tuple[str, int]]) -> None:
-    """SAM lines as BAM files, one of each partition, in a folder that all executors share.
+    """SAM lines as BAM files, one of each partition, through Spark's own writer: any file system, and no file of a failed attempt.
 
-    A task writes under a name of its own and renames the file when it is whole, so a task that is run again replaces it.
+    A block's last byte is zero (of its size, which is below 65,537), so blocks without it are the lines of a text whose line
+    separator is a zero.
     """
-    os.makedirs(path, exist_ok=True)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        to = f"{path}/part-{context.partitionId():05d}.bam"
-        with open(f"{to}.{context.taskAttemptId()}", "wb") as f:
-            for block in bam_blocks((x for batch in batches for x in batch.column("value").to_pylist()), names):
-                f.write(block)
-        os.replace(f.name, to)
-        yield pa.RecordBatch.from_arrays([pa.array([to])], ["file"])
-
-    lines.select("value").mapInArrow(run, "file string").count()
+        for block in bam_blocks((x for batch in batches for x in batch.column("value").to_pylist()), names):
+            yield pa.RecordBatch.from_arrays([pa.array([block[:-1]], pa.binary())], ["value"])
+
+    blocks = lines.select("value").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    blocks.write.option("lineSep", "\0").option("compression", "none").text(path)
+    spark = lines.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            files.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name[:-4] + ".bam"))
 
 
 def write_alignments(rows: DataFrame, path: str, form: str = DEFAULT_FORMAT, names: list[tuple[str, int]] = ()) -> None:
