@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import kmers
 from ..operators import mapping as M
-from ..operators.enzymes import CATALOGUE, Enzyme, parse
+from ..operators.enzymes import CATALOGUE, Enzyme, parse, top_hits
+from ..sources.scratch import written
 from ..sources.writers import cigar
 
 #: Bases of a piece of the reference; a chromosome is a row for each piece, and never one value.
@@ -55,8 +56,9 @@ def ranked_chromosomes(chains: DataFrame) -> DataFrame:
     return best.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "sid")))
 
 
-def alignments(chains: DataFrame, reads: DataFrame, genome: DataFrame, enzyme: Enzyme | None, options: M.Options = M.Options()) -> DataFrame:
-    """FRAGMENT rows of each read, from its chains and the pieces of the reference around them."""
+def alignments(chains: DataFrame, reads: DataFrame, genome: DataFrame, enzyme: Enzyme | None, options: M.Options = M.Options(), choose: bool = True) -> DataFrame:
+    """FRAGMENT rows of each read, from its chains and the pieces of the reference around them; without a choice a row for each chain
+    that extends to an alignment."""
     parts = pieces(genome)
     reach = F.col("qsize") + options.pad + options.tail
     wide = chains.join(reads.select("qid", F.length("seq").alias("qsize")), "qid")
@@ -76,8 +78,11 @@ def alignments(chains: DataFrame, reads: DataFrame, genome: DataFrame, enzyme: E
         sizes = {r["sid"]: r["ssize"] for r in rows if r["kind"] == 2}
         ref = M.Reference([(r["sid"], r["start"], r["seq"]) for r in rows if r["kind"] == 2], sizes)
         hits = [(r["sid"], r["strand"], (r["qbeg"], r["qend"], r["sbeg"], r["send"], r["seeds"])) for r in rows if r["kind"] == 1]
-        chain, found, kind = M.map_read(read, hits, ref, enzyme, options) if read is not None else ([], [], "")
         strands = (read, M.reverse(read or ""))
+        if read is not None and not choose:
+            chain, found, kind = [x for sid, d, hit in hits if (x := M.extend(hit, strands[d], ref, d, sid, options))], [], "hit"
+        else:
+            chain, found, kind = M.map_read(read, hits, ref, enzyme, options) if read is not None else ([], [], "")
         out = []
         for i, x in enumerate(sorted(chain, key=lambda x: x.span)):
             y = found[x.other] if 0 <= x.other < len(found) else None
@@ -97,17 +102,27 @@ def alignments(chains: DataFrame, reads: DataFrame, genome: DataFrame, enzyme: E
 
 def map_reads(reads: DataFrame, genome: DataFrame, enzyme: Enzyme | None = None, k: int = 15, stride: int = 4, fraction: float = 1e-4, least: int = 100, options: M.Options = M.Options()) -> DataFrame:
     """Fragments of (qid, seq) reads on a (sid, seq) genome."""
+    return alignments(chains_of(reads, genome, k, stride, fraction, least, options), reads, genome, enzyme, options)
+
+
+def chains_of(reads: DataFrame, genome: DataFrame, k: int = 15, stride: int = 4, fraction: float = 1e-4, least: int = 100, options: M.Options = M.Options()) -> DataFrame:
+    """CANDIDATE chains of reads; counts of the genome's k-mers are written once, for the cutoff and for what it keeps."""
     ref = kmers.extract_hashed(genome, "sid", k, stride)
-    counted = kmers.counts(ref, "hash")
+    counted = written(kmers.counts(ref, "hash"), "counts")
     postings = kmers.frequent_removed(ref, counted, kmers.cutoff(counted, fraction, least), "hash")
-    seeds = kmers.seeds(kmers.of_reads(reads, k), postings, "hash")
-    return alignments(candidates(seeds, reads, k, options), reads, genome, enzyme, options)
+    return candidates(kmers.seeds(kmers.of_reads(reads, k), postings, "hash"), reads, k, options)
+
+
+def best_hits(reads: DataFrame, genome: DataFrame, most: int = 3) -> DataFrame:
+    """FRAGMENT rows of the `most` chains of each read with the most seeds, each extended on its own, without sites."""
+    chains = chains_of(reads, genome).withColumn("score", F.col("seeds"))
+    return alignments(top_hits(chains, "qid", most).drop("score"), reads, genome, None, choose=False)
 
 
-def infer_enzyme(reads: DataFrame, genome: DataFrame, catalogue: dict[str, str] = CATALOGUE, within: int = 30, least: int = 200) -> DataFrame:
-    """(enzyme, n): alignments, found without sites, of `least` bases whose both ends lie near a site of the enzyme on read and
+def infer_enzyme(reads: DataFrame, genome: DataFrame, catalogue: dict[str, str] = CATALOGUE, within: int = 30, least: int = 200, most: int = 3) -> DataFrame:
+    """(enzyme, n): alignments of the best hits of each read, of `least` bases, whose both ends lie near a site of the enzyme on read and
     reference. `winner` picks one."""
-    found = map_reads(reads, genome).withColumn("qsize", F.col("qsize").cast("long"))
+    found = best_hits(reads, genome, most).withColumn("qsize", F.col("qsize").cast("long"))
     strand = F.col("qdir") == 1
     hits = found.join(reads.select(F.col("qid").alias("read_id"), "seq"), "read_id").select(
         F.monotonically_increasing_id().alias("hit"), F.when(strand, kmers.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("qseq"), "subject_id", "ssize", "soff", "send",

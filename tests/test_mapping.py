@@ -6,6 +6,7 @@ import pytest
 
 from fragloom.operators import enzymes, mapping
 from fragloom.plans import mapping as plan
+from fragloom.plans import tagging
 
 
 @pytest.mark.parametrize("site", ["^GATC", "A^AGCTT", "CATG^"])
@@ -117,7 +118,7 @@ def test_enzymes_are_told_by_alignments(spark):
     assert enzymes.parse(enzymes.CATALOGUE[best.enzyme]).motif == "GATC" and best.best >= 2
 
 
-def test_tags_of_simulated_haplotypes(spark):
+def test_tags_of_simulated_haplotypes(spark, tmp_path):
     from fragloom.operators import haplotypes
 
     r = random.Random(6)
@@ -132,6 +133,12 @@ def test_tags_of_simulated_haplotypes(spark):
     rows = tagged.collect()
     assert len(rows) >= 20 and all(x.hp in (0, x.read_id % 2 + 1) for x in rows) and sum(x.hp > 0 for x in rows) >= 0.8 * len(rows)
     assert {(x.step, x.hp) for x in haplotypes.tag_counts(tagged, imputed).collect()} >= {("tagged", 1), ("imputed", 2)}
+    named = plan.with_names(fragments, spark.createDataFrame([(q, f"r{q}", x, "I" * len(x)) for q, x in reads], "qid long, read_name string, seq string, qual string"), spark.createDataFrame([(s, f"c{s}") for s in genome], "sid long, sname string"))
+    table = spark.createDataFrame(snps, "sid long, soff long, ref string, alt string, gt0 long, gt1 long")
+    tagging.tag_files(named, table, str(tmp_path / "out"), [(f"c{s}", len(g)) for s, g in genome.items()])
+    lists = tagging.read_tagged(spark, str(tmp_path / "out"))
+    hp = lambda df, c="hp": sorted((x.read_id, x.frag_id, x[c] or 0) for x in df.collect())
+    assert hp(lists[0]) == hp(tagged) and hp(lists[1]) == hp(imputed) == hp(lists[2], "HP")
 
 
 def test_gaps_are_closed_by_a_neighbour():
