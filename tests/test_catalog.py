@@ -85,6 +85,26 @@ def test_candidate_chains_and_chromosome_ranks(spark, texts):
     assert sorted(map(tuple, QUERIES["chromosome_ranks"](spark, DATA).collect())) == sorted(ranked)
 
 
+def test_local_alignment(spark, texts):
+    from test_waves import full
+
+    genome, reads = texts
+    first = {}
+    for r in QUERIES["seed_match"](spark, DATA).collect():
+        at = (r.qid, r.strand, r.sid)
+        first[at] = min(first.get(at, (r.qoff, r.soff)), (r.qoff, r.soff))
+    got = {(r.qid, r.strand, r.sid): r for r in QUERIES["local_alignment"](spark, DATA).collect()}
+    assert set(got) == set(first) and got
+    for i, (at, r) in enumerate(sorted(got.items())):
+        q, s = reads[at[0]] if at[1] == 0 else operators.reverse(reads[at[0]]), genome[at[2]]
+        q0, s0 = first[at]
+        reach = 2 * len(q)
+        assert r.qoff <= q0 < r.qend and r.soff <= s0 < r.send
+        if i % 10 == 0:
+            best = full(q[q0:], s[s0 : s0 + reach], 5) + full(q[:q0][::-1], s[max(0, s0 - reach) : s0][::-1], 5)
+            assert r.qend - r.qoff + r.send - r.soff - 5 * r.errors >= 0.97 * best
+
+
 def test_map_reads(spark, texts, mapped):
     genome, reads = texts
     by = {}
@@ -141,7 +161,7 @@ def test_tag_reads(spark, mapped):
 
 
 def test_every_query_is_tested():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"coverage_capped_select", "candidate_chains", "chromosome_ranks", "map_reads", "enzyme_by_alignment", "tag_reads"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"coverage_capped_select", "candidate_chains", "chromosome_ranks", "local_alignment", "map_reads", "enzyme_by_alignment", "tag_reads"}
 
 
 def test_entry(spark):
