@@ -193,12 +193,19 @@ def index_stats(counted: DataFrame, limit: DataFrame) -> DataFrame:
 
 
 def index(repeat: DataFrame, other: DataFrame, key: str = "kmer", repeats=(0.1, 1), others=(1e-4, 100)) -> DataFrame:
-    """Postings of repeat regions and of the rest, each without its frequent k-mers, dealt and sorted by key for lookups."""
+    """Postings of repeat regions and of the rest, each without its frequent k-mers; `placed` deals and sorts them for lookups."""
+    from ..sources.scratch import written
+
     parts = []
     for kmers, (fraction, least) in ((repeat, repeats), (other, others)):
-        counted = counts(kmers, key)
+        counted = written(counts(kmers, key), "counts")
         parts.append(frequent_removed(kmers, counted, cutoff(counted, fraction, least), key))
-    return parts[0].unionByName(parts[1]).repartitionByRange(key).sortWithinPartitions(key)
+    return parts[0].unionByName(parts[1])
+
+
+def placed(postings: DataFrame, key: str = "kmer") -> DataFrame:
+    """Postings in order of key over range partitions: files of them can be looked up by the statistics of their keys."""
+    return postings.repartitionByRange(key).sortWithinPartitions(key)
 
 
 def seeds(query: DataFrame, postings: DataFrame, key: str = "kmer", most: int = 20) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align, waves
 from ..operators import enzymes, haplotypes, intervals, kmers, masking, pairs, select, sets, stats, variants
-from ..sources import readers, writers
+from ..sources import readers, regions, writers
 from ..sources.scratch import folder, written
 from . import adapters as A
 from . import mapping, tagging
@@ -105,6 +105,16 @@ def topk_hits(spark, d):
     return enzymes.top_hits(hits, "read_id").select("read_id", "frag_id")
 
 
+@query(A.FRAGS, sql="select read_id, frag_id, subject_offset from frags where subject_id = 2 and subject_offset < 30000000 and subject_offset + frag_size > 20000000")
+def region_read(spark, d):
+    """Fragments of a region, by a position index over files in order of place."""
+    path = f"{folder(spark)}/placed-{uuid.uuid4().hex}"
+    writers.sorted_by_place(A.frags(spark, d).select("read_id", "frag_id", "subject_id", "subject_offset", "frag_size"), "subject_id", "subject_offset", files=2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    stop = F.col("subject_offset") + F.col("frag_size")
+    index = regions.index_of(spark.read.parquet(path), F.col("_metadata.file_path"), "subject_id", "subject_offset", stop)
+    return regions.read_region(spark, index, regions.read_parquet, "2", "subject_id", "subject_offset", stop, 20_000_000, 30_000_000).select("read_id", "frag_id", "subject_offset")
+
+
 # ---- statistics ----------------------------------------------------------------------------------------------------
 
 PAIRS = "pairs as (select a.hp h, b.hp h2, abs(a.subject_offset - b.subject_offset) d from frags a join frags b on a.read_id = b.read_id and a.subject_id = b.subject_id and a.frag_id < b.frag_id)"

@@ -400,8 +400,9 @@ def bam_table(spark: SparkSession, paths) -> DataFrame:
     return members.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value")).mapInArrow(run, _KIND)
 
 
-def read_bam(spark: SparkSession, paths) -> DataFrame:
-    """SAM's columns and tags (a map) of BAM files, of which each split is a task's (spark.sql.files.maxPartitionBytes).
+def read_bam(spark: SparkSession, paths, with_path: bool = False) -> DataFrame:
+    """SAM's columns and tags (a map) of BAM files, of which each split is a task's (spark.sql.files.maxPartitionBytes); with_path: and
+    the file of each record.
 
     Bytes before a split's first record and after its last whole one make the records that cross the border: they must come to whole
     records, else an error is raised. Their table is written once (scratch).
@@ -432,7 +433,7 @@ def read_bam(spark: SparkSession, paths) -> DataFrame:
     names = table.where("kind = 'reference'").select("path", F.col("tid").alias("i"), F.col("qname").alias("name"))  # a row a reference of each file
     records = records.join(names.withColumnsRenamed({"i": "tid", "name": "rname"}), ["path", "tid"], "left").join(names.withColumnsRenamed({"i": "ntid", "name": "other"}), ["path", "ntid"], "left")
     same = F.when(F.col("ntid") < 0, "*").when(F.col("ntid") == F.col("tid"), "=").otherwise(F.col("other"))
-    return records.withColumns({"rname": F.coalesce("rname", F.lit("*")), "rnext": same}).select(*(f.split()[0] for f in _SAM.split(", ")), "tags")
+    return records.withColumns({"rname": F.coalesce("rname", F.lit("*")), "rnext": same}).select(*(f.split()[0] for f in _SAM.split(", ")), "tags", *(["path"] if with_path else []))
 
 
 def fraghap_of_records(records: DataFrame) -> DataFrame:

@@ -228,9 +228,11 @@ def fasta_index(seqs: DataFrame, width: int = 60) -> DataFrame:
     return seqs.select("name", F.length("seq").alias("length"), (F.coalesce(F.sum(size).over(w), F.lit(0)) + F.length("name") + 2).alias("offset"))
 
 
-def sorted_by_place(rows: DataFrame, chromosome: str, at: str, *ties: str) -> DataFrame:
-    """Rows in order of chromosome and place over range partitions: files of few chromosomes, whose statistics serve as an index."""
-    return rows.repartitionByRange(chromosome, at).sortWithinPartitions(chromosome, at, *ties)
+def sorted_by_place(rows: DataFrame, chromosome: str, at: str, *ties: str, files: int | None = None) -> DataFrame:
+    """Rows in order of chromosome and place over range partitions (`files` of them, by default as many as their bytes ask for):
+    files of few chromosomes, whose statistics serve as an index (`regions`)."""
+    dealt = rows.repartitionByRange(files, chromosome, at) if files else rows.repartitionByRange(chromosome, at)
+    return dealt.sortWithinPartitions(chromosome, at, *ties)
 
 
 def split_by(rows: DataFrame, chromosome: str, path: str, compression: str = "zstd") -> None:

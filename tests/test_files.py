@@ -218,3 +218,52 @@ def test_first_record_of_a_split():
     assert readers.bam_header(b"BAM\1") is None
     with pytest.raises(ValueError):
         readers.bam_header(b"SAM\1" + b"\0" * 20)
+
+
+def test_regions_are_read_from_the_files_that_hold_them(spark, tmp_path):
+    from fragloom.sources import regions
+
+    rows = spark.range(3_000).selectExpr("id", "concat('c', id % 3) chrom", "(id * 7919) % 100000 start").selectExpr("*", "start + id % 50 + 1 stop")
+    path = str(tmp_path / "placed")
+    writers.sorted_by_place(rows, "chrom", "start", files=8).write.parquet(path)
+    index = regions.index_of(spark.read.parquet(path), F.col("_metadata.file_path"), "chrom", "start", "stop").cache()
+    all_files = index.select("path").distinct().count()
+    for chrom, lo, hi in (("c0", 500, 900), ("c1", 0, 100_100), ("c2", 99_990, 99_999)):
+        got = regions.read_region(spark, index, regions.read_parquet, chrom, "chrom", "start", "stop", lo, hi)
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in rows.where(f"chrom = '{chrom}' and start < {hi} and stop > {lo}").collect())
+        assert len(got.inputFiles()) <= len(regions.files_of(index, chrom, lo, hi)) < all_files
+    assert regions.read_region(spark, index, regions.read_parquet, "c9", "chrom", "start", "stop", 0, 10) is None
+    # BAM files in order of place
+    lines = writers.sorted_by_place(rows, "chrom", "start", files=8).selectExpr("concat_ws('\\t', concat('r', id), 0, chrom, start + 1, 9, concat(stop - start, 'M'), '*', 0, 0, '*', '*') value")
+    writers.write_bam(lines, str(tmp_path / "bam"), [(f"c{i}", 200_000) for i in range(3)])
+    records = readers.read_bam(spark, str(tmp_path / "bam"), with_path=True)
+    begin, end = F.col("pos") - 1, F.col("pos") - 1 + regions.reference_length(F.col("cigar"))
+    index = regions.index_of(records, "path", "rname", begin, end).cache()
+    got = regions.read_region(spark, index, readers.read_bam, "c1", "rname", begin, end, 500, 900).collect()
+    assert sorted(int(r.qname[1:]) for r in got) == sorted(r.id for r in rows.where("chrom = 'c1' and start < 900 and stop > 500").collect()) and got
+    assert len(regions.files_of(index, "c1", 500, 900)) < index.select("path").distinct().count()
+
+
+def test_sequence_lengths_and_offsets(spark):
+    seqs = {"b": "ACGT" * 40, "a": "AC", "c": ""}
+    got = {r.name: (r.length, r.offset) for r in writers.fasta_index(spark.createDataFrame(list(seqs.items()), "name string, seq string"), 60).collect()}
+    text, expected = "", {}
+    for name in sorted(seqs):
+        text += f">{name}\n"
+        expected[name] = (len(seqs[name]), len(text))
+        text += "".join(seqs[name][i : i + 60] + "\n" for i in range(0, len(seqs[name]), 60))
+    assert got == expected
+
+
+def test_batches_up_to_a_limit(spark):
+    df = spark.range(3)
+    assert ingest.up_to(df, 100, 99).count() == 3 and ingest.up_to(df, 100, 100).count() == 0
+
+
+def test_ranks_of_snps(spark):
+    from fragloom.operators import variants
+
+    snps = spark.createDataFrame([(2, 5), (1, 9), (1, 3), (2, 1)], "sid long, soff long")
+    ranked = variants.with_rank(snps)
+    at = next(c for c in ranked.columns if c not in snps.columns)
+    assert [r[at] - ranked.agg(F.min(at)).first()[0] for r in ranked.where("sid = 1").orderBy("soff").collect()] == [0, 1]
