@@ -27,12 +27,16 @@ def files_of(index: DataFrame, chromosome: str, start: int, stop: int) -> list[s
     return sorted(r.path for r in hit.select("path").distinct().collect())
 
 
-def read_region(spark: SparkSession, index: DataFrame, read: Callable[[SparkSession, list[str]], DataFrame], chromosome: str, at: str, begin: Column | str, end: Column | str, start: int, stop: int) -> DataFrame | None:
-    """Rows that overlap [start, stop) of a chromosome (column `at`), by `read` from the files that the index names; None if it names none."""
+def read_region(spark: SparkSession, index: DataFrame, read: Callable[[SparkSession, list[str]], DataFrame], chromosome: str, at: str, begin: Column | str, end: Column | str, start: int, stop: int) -> DataFrame:
+    """Rows that overlap [start, stop) of a chromosome (column `at`), by `read` from the files that the index names; where it names none, no
+    rows of any file. An index without files is an error."""
     files = files_of(index, chromosome, start, stop)
-    if not files:
-        return None
     begin, end = (F.col(x) if isinstance(x, str) else x for x in (begin, end))
+    if not files:
+        some = index.agg(F.min("path")).first()[0]
+        if some is None:
+            raise ValueError("the index has no files")
+        return read(spark, [some]).limit(0)
     return read(spark, files).where((F.col(at).cast("string") == str(chromosome)) & (begin < stop) & (end > start))
 
 

@@ -232,7 +232,9 @@ def test_regions_are_read_from_the_files_that_hold_them(spark, tmp_path):
         got = regions.read_region(spark, index, regions.read_parquet, chrom, "chrom", "start", "stop", lo, hi)
         assert sorted(r.id for r in got.collect()) == sorted(r.id for r in rows.where(f"chrom = '{chrom}' and start < {hi} and stop > {lo}").collect())
         assert len(got.inputFiles()) <= len(regions.files_of(index, chrom, lo, hi)) < all_files
-    assert regions.read_region(spark, index, regions.read_parquet, "c9", "chrom", "start", "stop", 0, 10) is None
+    assert regions.read_region(spark, index, regions.read_parquet, "c9", "chrom", "start", "stop", 0, 10).count() == 0
+    with pytest.raises(ValueError):
+        regions.read_region(spark, index.limit(0), regions.read_parquet, "c9", "chrom", "start", "stop", 0, 10)
     # BAM files in order of place
     lines = writers.sorted_by_place(rows, "chrom", "start", files=8).selectExpr("concat_ws('\\t', concat('r', id), 0, chrom, start + 1, 9, concat(stop - start, 'M'), '*', 0, 0, '*', '*') value")
     writers.write_bam(lines, str(tmp_path / "bam"), [(f"c{i}", 200_000) for i in range(3)])
