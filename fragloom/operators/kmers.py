@@ -74,10 +74,10 @@ def extract_hashed(seqs: DataFrame, key: str, k: int, stride: int = 1) -> DataFr
         for batch in batches:
             held, rows = [], 0
             for i, seq in enumerate(batch.column("seq")):
-                h = hashes((seq.as_py() or "").encode("ascii", "replace"), k, stride)
-                for at in range(0, len(h), ROWS):
-                    part = h[at : at + ROWS]
-                    held.append((i, part, (at + np.arange(len(part), dtype=np.int64)) * stride))
+                text = (seq.as_py() or "").encode("ascii", "replace")
+                for at in range(0, max(0, len(text) - k + 1), ROWS * stride):  # so that the codes of a part alone are held
+                    part = hashes(text[at : at + (ROWS - 1) * stride + k], k, stride)
+                    held.append((i, part, at + np.arange(len(part), dtype=np.int64) * stride))
                     rows += len(part)
                     if rows >= ROWS:
                         yield made(batch.column(key), held)

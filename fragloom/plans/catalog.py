@@ -808,3 +808,6 @@ def subset_test(spark, d):
     kind = F.col("mapq") % 4
     tagged, others = F.collect_set(F.when(F.col("hp") > 0, kind)), F.collect_set(F.when(F.col("hp") == 0, kind))
     return A.frags(spark, d).groupBy("read_id").agg(tagged.alias("a"), others.alias("b")).select("read_id", sets.is_subset(F.col("a"), F.col("b")).alias("inside"))
+
+
+from . import file_queries  # noqa: E402, F401  registers its queries

@@ -119,9 +119,15 @@ def read_fastx(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
     return rows.select("name", normalised(F.col("raw")).alias("seq"), "qual", F.length("raw").alias("seq_size"))
 
 
+def in_ranges(rows: DataFrame, by: str) -> DataFrame:
+    """rows in order of `by` over range partitions, written once, with the number of each one's partition (_part) and its place (_at) in all."""
+    ranged = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id())
+    return written(ranged, "ranges").withColumn("_part", F.shiftright("_at", 33))
+
+
 def with_ids(seqs: DataFrame) -> DataFrame:
     """seqs with seq_id: dense numbers by name, from sums over ranges of names (a row a range), not from one sorted task."""
-    ranged = seqs.repartitionByRange("name").sortWithinPartitions("name").select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    ranged = in_ranges(seqs, "name")
     sums = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lead = sums.select("_part", (before - F.col("_first")).alias("_shift"))
@@ -134,12 +140,12 @@ def batches_of(seqs: DataFrame, bases: int) -> DataFrame:
     Ranges of names are sorted apart; of each, its sum alone is added up before it. A batch may so begin within a sequence's
     own bases of its even share, and never holds more than `bases` and its last sequence.
     """
-    ranged = seqs.repartitionByRange("name").sortWithinPartitions("name").withColumn("_part", F.spark_partition_id())
+    ranged = in_ranges(seqs, "name")
     sums = ranged.groupBy("_part").agg(F.sum("seq_size").alias("_own"))
     lead = sums.select("_part", F.coalesce(F.sum("_own").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
-    own = F.sum("seq_size").over(Window.partitionBy("_part").orderBy("name").rowsBetween(Window.unboundedPreceding, 0))
+    own = F.sum("seq_size").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
     upto = F.col("_before") + own - F.col("seq_size")
-    return ranged.join(F.broadcast(lead), "_part").withColumn("batch", F.floor(upto / bases)).drop("_part", "_before")
+    return ranged.join(F.broadcast(lead), "_part").withColumn("batch", F.floor(upto / bases)).drop("_part", "_at", "_before")
 
 
 def read_bed(spark: SparkSession, paths, names: DataFrame) -> DataFrame:
