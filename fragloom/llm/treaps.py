@@ -28,7 +28,7 @@ TOP = 10
 #: Bytes of query texts that are worked on at once: they and the statistics of their terms go to every task.
 BLOCK_BYTES = 4 << 20
 #: Postings of a shard; documents of a range that is scored as a whole; terms of ranges that are looked at at once.
-SHARD, RANGE, CELLS = 2_000_000, 64, 1_000_000
+SHARD, RANGE, CELLS = 2_000_000, 64, 200_000
 
 _PACKED = "docs array<long>, sizes binary, counts binary, terms binary, times binary"
 
@@ -162,7 +162,11 @@ class Shard:
         n = len(asked)
         todo = [(np.array(asked), np.zeros(n, np.int64), np.full(n, self.width - 1), size, node)]
         while todo:
-            for part in _cut(todo.pop()):
+            held, parts = 0, []
+            while todo and held < CELLS:
+                parts.append(todo.pop())
+                held += len(parts[-1][4])
+            for part in _cut(tuple(np.concatenate(x) for x in zip(*parts, strict=True))):
                 todo += self._step(*part, of, best)
         return best.found()
 
@@ -187,18 +191,19 @@ class Shard:
         cell = np.repeat(good, size)
         query, lo, hi, size, node, impact = query[good], lo[good], hi[good], size[good], node[cell], impact[cell]
         begin, state = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((impact, state))
-        split = self.doc[node[order[begin + size - 1]]]
+        most = np.flatnonzero(impact == np.maximum.reduceat(impact, begin)[state])
+        split = self.doc[node[most[np.append(True, state[most[1:]] != state[most[:-1]])]]]
         self._score(query, split, of, best)
         out = []
         for left in (True, False):
             a, b = (lo, split - 1) if left else (split + 1, hi)
-            at = node.copy()
-            while True:  # down to the root of what lies in the range
-                high, low = (self.doc[at] > b[state]) & (at >= 0), (self.doc[at] < a[state]) & (at >= 0)
-                if not (high | low).any():
-                    break
+            at, out_of = node.copy(), np.arange(len(node))
+            while len(out_of):  # down to the root of what lies in the range
+                doc = self.doc[at[out_of]]
+                high, low = out_of[doc > b[state[out_of]]], out_of[doc < a[state[out_of]]]
                 at[high], at[low] = self.left[at[high]], self.right[at[low]]
+                out_of = np.concatenate([high, low])
+                out_of = out_of[at[out_of] >= 0]
             stays = at >= 0
             many = np.bincount(state[stays], minlength=len(size))
             some = many > 0
