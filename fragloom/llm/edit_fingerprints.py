@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import blocks, docs_of, parts, written
+from .shared import blocks_apart, docs_of, parts, written
 from .textvec import U, mix, release, slices
 
 #: Steps of a walk: three times the upper bound of the length class; grid places of a walk; the least class (2 ** 8 characters).
@@ -285,7 +285,7 @@ def near_classes(prints: DataFrame, near: float = NEAR, bands: int = BANDS) -> D
     """fingerprint, class_id (smallest doc_id): classes of fingerprints (doc_id, fingerprint) linked by banding and verified.
 
     Copies collapse to one fingerprint first. Of a key, all are compared with the smallest, and where several parts are
-    left, the pairs across them in blocks; so any two near fingerprints that share a key are linked. Bands carry hashes of
+    left, the rows outside the largest part with all others, in blocks; so any two near fingerprints that share a key are linked. Bands carry hashes of
     fingerprints; the fingerprints themselves join the pairs that are left.
     """
     spark = prints.sparkSession
@@ -312,7 +312,7 @@ def near_classes(prints: DataFrame, near: float = NEAR, bands: int = BANDS) -> D
     part = connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("part"))
     state = written(shared.join(part, "id", "left").select("key", "id", "n", F.coalesce("part", "id").alias("part")), "parts")
     open_ = state.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    rest = blocks(state.join(open_, "key"), "id", BLOCK).join(texts, "id")
+    rest = blocks_apart(state.join(open_, "key"), "key", "id", "part", BLOCK).join(texts, "id")
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def join(table: pa.Table) -> pa.Table:

@@ -111,3 +111,23 @@ def blocks(rows: DataFrame, by: str, size: int) -> DataFrame:
     many = F.ceil(F.col("n") / size).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64(by), many).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), many - 1)))
     return dealt.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("with")
+
+
+def blocks_apart(rows: DataFrame, key: str, by: str, part: str, size: int) -> DataFrame:
+    """rows with own, lo and hi, as `blocks` has them, for keys whose rows are joined to parts already: the rows outside a key's largest
+    part meet one another and those of the largest, which need not meet among themselves.
+
+    Of n rows, r of them outside, about r * n / size more are made, and not n * n / size.
+    """
+    least = free_name(rows, "largest")
+    parts = rows.groupBy(F.col(key).alias(f"{least}k"), F.col(part).alias(f"{least}p")).agg(F.count("*").alias("n_part"))
+    largest = parts.groupBy(f"{least}k").agg(F.max(F.struct("n_part", f"{least}p")).alias(least), F.sum("n_part").alias(f"{least}n"))
+    joined = rows.join(largest, F.col(key) == F.col(f"{least}k"))
+    inside, rest = F.col(f"{least}.n_part"), F.col(f"{least}n") - F.col(f"{least}.n_part")
+    inner, outer = (F.greatest(F.lit(1), F.ceil(n / size)).cast("int") for n in (inside, rest))
+    main, hashed = F.col(part) == F.col(f"{least}.{least}p"), F.xxhash64(by)
+    own = F.when(main, -1 - F.pmod(hashed, inner)).otherwise(F.pmod(hashed, outer)).cast("int")
+    others = F.sequence(F.lit(0), outer - 1)
+    with_ = F.when(main, others).otherwise(F.concat(others, F.sequence(-inner, F.lit(-1))))
+    dealt = joined.where(rest > 0).withColumn("own", own).withColumn("with", F.explode(with_))
+    return dealt.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("with", least, f"{least}k", f"{least}n")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, merge
-from .shared import blocks, docs_of, free_name, numbered, written
+from .shared import blocks, blocks_apart, docs_of, free_name, numbered, written
 from .textvec import U, Words, mix, release, shingles, slices, utf8
 
 RADIUS, WIDTH, SEED = 2, 3, 42
@@ -299,7 +299,8 @@ def near_copies(docs: DataFrame, radius: int = NEAR) -> DataFrame:
     Texts of equal sets collapse to one. Fingerprints are dealt to shards by their least shingles, since at this radius no
     distance to a vantage tells most strangers apart; each shard is split by vantages as far as that helps, and returns a forest
     of candidates. Its links are verified on the sets themselves. Where that leaves a group of candidates in several parts,
-    the pairs across its parts are verified, too, until the parts are joined or no pair is left.
+    the pairs across its parts are verified, too, until the parts are joined or no pair is left; those within its largest part
+    are not.
     """
     spark = docs.sparkSession
     fps = written(wide_fingerprints(docs.where("doc_id is not null")), "wide")
@@ -332,8 +333,8 @@ def near_copies(docs: DataFrame, radius: int = NEAR) -> DataFrame:
     sure = written(alike_links(found, sets), "sure")
     part = connected_components(sure).withColumnRenamed("root", "part")
     state = written(groups.join(part, "node", "left").select(F.col("node").alias("same"), "root", F.coalesce("part", "node").alias("part")), "parts")
-    open_ = state.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high").select("root", "n")
-    rest = blocks(state.join(open_, "root"), "same", BLOCK).join(distinct.select("same", "fp"), "same").join(sets, "same")
+    open_ = state.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("root")
+    rest = blocks_apart(state.join(open_, "root"), "root", "same", "part", BLOCK).join(distinct.select("same", "fp"), "same").join(sets, "same")
 
     def join_parts(table: pa.Table) -> pa.Table:
         table = table.sort_by([("root", "ascending"), ("lo", "ascending"), ("hi", "ascending")])

@@ -9,7 +9,7 @@ import pytest
 from plain import edit_fingerprint, prose, words
 
 import corpus_pipeline
-from fragloom.llm import edit_fingerprints, mixing, pieces, substrings, toxicity
+from fragloom.llm import edit_fingerprints, mixing, pieces, shared, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -140,3 +140,22 @@ def test_mixing_stage_follows_its_rates(spark):
         assert math.floor(rate + 1e-6) <= often[r.doc_id] <= math.floor(rate) + 1
         total += rate * len(words(r.text))
     assert math.isclose(total, sum(report["expected"]), rel_tol=1e-6)
+
+
+def test_blocks_apart(spark):
+    """All pairs across parts meet, those within the largest part don't, and a key of 20,000 makes few rows."""
+    r = random.Random(9)
+    rows = [(k, 1000 * k + i, r.choice([0] * 30 + [1, 2, 3]) if k else 7) for k in range(3) for i in range(90)]
+    df = spark.createDataFrame(rows, "key long, id long, part long").selectExpr("*", "1 as largest", "2 as own_")
+    met = {}
+    for x in shared.blocks_apart(df, "key", "id", "part", 16).collect():
+        met.setdefault((x.key, x.lo, x.hi), []).append(x)
+    pairs = set()
+    for (_, lo, hi), own in met.items():
+        for i, x in enumerate(own):
+            pairs |= {frozenset((x.id, y.id)) for y in own[:i] if x.part != y.part and (lo == hi or x.own != y.own)}
+    parts = {i: (k, p) for k, i, p in rows}
+    expected = {frozenset((i, j)) for i in parts for j in parts if i < j and parts[i][0] == parts[j][0] and parts[i][1] != parts[j][1]}
+    assert pairs == expected and not any(parts[i][0] == 0 for p in pairs for i in p)
+    big = spark.range(20_000).selectExpr("1 as key", "id", "if(id < 10, id, 100) as part")
+    assert shared.blocks_apart(big, "key", "id", "part", 1024).count() == 19_990 + 10 * (1 + 20)
