@@ -99,7 +99,7 @@ def near_pairs(r, n, size, edits):
 
 @pytest.mark.parametrize(("size", "edits"), [(60, 1), (100, 2), (150, 3)])
 def test_near_passages_are_found(spark, size, edits):
-    """All pairs are compared by brute force: of those with a similar stretch of 50 words, nearly all are found."""
+    """The two texts of each pair are compared whole: of those with a similar stretch of 50 words, nearly all are found."""
     rows, _ = near_pairs(random.Random(size), 120, size, edits)
     code = {}
     items = []
