@@ -14,8 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pieces import pieces
+
 LARGEST = 31
 
+#: Bases of the pieces that intervals are cut from.
+PIECE = 1 << 16
+
 
 def normalised(seq: Column) -> Column:
     """Upper case, and every other character than ACGT as A."""
@@ -102,10 +107,18 @@ def text_of(hash_: Column, k: int) -> Column:
 def extract_intervals(seqs: DataFrame, regions: DataFrame, k: int, stride: int = 1) -> DataFrame:
     """(sid, hash, soff) of the k-mers inside intervals (chr, start, stop), every `stride` bases from each interval's start on.
 
-    Intervals are rows, so Spark deals them to tasks; only their own bases go to Python.
+    Intervals are rows, so Spark deals them to tasks; each meets the pieces of the sequence that it lies in, by equal keys, and only its
+    own bases there go to Python.
     """
-    cut = F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
-    rows = seqs.join(regions.withColumnRenamed("chr", "sid"), "sid").select(F.struct("sid", "start").alias("at"), cut.alias("seq"))
+    first, last = (F.floor(F.col(c) / PIECE) for c in ("start", "_last"))
+    rows = regions.select(F.col("chr").alias("sid"), "start", "stop", (F.col("stop") - 1).alias("_last")).where(F.col("stop") - F.col("start") >= k)
+    rows = rows.withColumn("piece", F.explode(F.sequence(first, last).cast("array<int>")))
+    parts = pieces(seqs, PIECE, after=k - 1).select("sid", "piece", F.col("start").alias("_from"), "part")
+    ahead = F.greatest(F.lit(0), F.ceil((F.col("_from") - F.col("start")) / stride)) * stride
+    rows = rows.join(parts, ["sid", "piece"]).withColumn("_at", (F.col("start") + ahead).cast("long"))
+    size = F.least(F.col("stop"), F.col("_from") + PIECE + k - 1) - F.col("_at")
+    cut = F.substring("part", (F.col("_at") - F.col("_from") + 1).cast("int"), size.cast("int"))
+    rows = rows.where(size >= k).select(F.struct("sid", F.col("_at").alias("start")).alias("at"), cut.alias("seq"))
     return extract_hashed(rows, "at", k, stride).select("at.sid", "hash", (F.col("at.start") + F.col("soff")).alias("soff"))
 
 

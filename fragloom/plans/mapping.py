@@ -1,4 +1,4 @@
-"""The mapper as a plan: seeds by joins, chains and alignments by grouped Arrow functions, qualities and names by expressions."""
+"""The mapper as a plan: seeds by joins, chains and alignments by Arrow functions over the reads in order, qualities and names by expressions."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import kmers
 from ..operators import mapping as M
 from ..operators.enzymes import CATALOGUE, Enzyme, parse, top_hits
+from ..operators.pieces import pieces as parts_of
+from ..operators.scans import streamed
 from ..sources.scratch import written
 from ..sources.writers import cigar
 
@@ -25,27 +27,29 @@ FRAGMENT = (
 
 def pieces(genome: DataFrame, size: int = PIECE) -> DataFrame:
     """(sid, piece, start, seq, ssize) of (sid, seq)."""
-    n = F.length("seq")
-    rows = genome.where(n > 0).withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))))
-    return rows.select("sid", "piece", (F.col("piece") * size).cast("long").alias("start"), F.substring("seq", F.col("piece") * size + 1, F.lit(size)).alias("seq"), n.cast("long").alias("ssize"))
+    return parts_of(genome, size).select("sid", "piece", "start", F.col("part").alias("seq"), F.col("length").alias("ssize"))
 
 
 def candidates(seeds: DataFrame, reads: DataFrame, k: int, options: M.Options = M.Options()) -> DataFrame:
-    """Chains of seeds (qid, strand, sid, qoff, soff), on the read's strand; one call for each read."""
-    rows = seeds.join(reads.select("qid", F.length("seq").alias("qsize")), "qid")
-
-    def run(table: pa.Table) -> pa.Table:
-        qid, size = table.column("qid")[0].as_py(), table.column("qsize")[0].as_py()
-        sid, strand, q, s = (table.column(c).to_numpy() for c in ("sid", "strand", "qoff", "soff"))
-        out = []
-        for c, d in sorted(set(zip(sid.tolist(), strand.tolist(), strict=True))):
-            own = (sid == c) & (strand == d)
-            out += [(qid, c, d, *hit) for hit in M.chain_seeds(q[own], s[own], k, size, options)]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-        columns = list(zip(*out, strict=True)) if out else [()] * 8
-        return pa.table({n.split()[0]: pa.array(c, t) for n, c, t in zip(CANDIDATE.split(", "), columns, kinds, strict=True)})
-
-    return rows.groupBy("qid").applyInArrow(run, CANDIDATE)
+    """Chains of seeds (qid, strand, sid, qoff, soff), on the read's strand. Reads stream by in order, each led by a row with its length."""
+    whole = lambda c, t="long": F.col(c).cast(t).alias(c)
+    found = seeds.select(whole("qid"), F.lit(1).alias("kind"), whole("sid"), whole("strand", "int"), whole("qoff"), whole("soff"))
+    none = F.lit(0).cast("long")
+    lengths = reads.select(whole("qid"), F.lit(0).alias("kind"), none.alias("sid"), F.lit(0).alias("strand"), F.length("seq").cast("long").alias("qoff"), none.alias("soff"))
+
+    def chained(table: pa.Table) -> list[tuple]:
+        kind, sid, strand, q, s = (table.column(c).to_numpy() for c in ("kind", "sid", "strand", "qoff", "soff"))
+        if kind[0] == 1 or kind[-1] == 0:  # no read, or no seeds
+            return []
+        lead = int(np.searchsorted(kind, 1))
+        cuts = [lead, *(np.flatnonzero((sid[1:] != sid[:-1]) | (strand[1:] != strand[:-1])) + 1).tolist(), len(sid)]
+        qid, size, out = table.column("qid")[0].as_py(), int(q[0]), []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lead <= lo < hi:
+                out += [(qid, int(sid[lo]), int(strand[lo]), *hit) for hit in M.chain_seeds(q[lo:hi], s[lo:hi], k, size, options)]
+        return out
+
+    return streamed(found.unionByName(lengths), "qid", ["kind", "sid", "strand"], chained, CANDIDATE)
 
 
 def ranked_chromosomes(chains: DataFrame) -> DataFrame:
@@ -58,8 +62,8 @@ def ranked_chromosomes(chains: DataFrame) -> DataFrame:
 
 def alignments(chains: DataFrame, reads: DataFrame, genome: DataFrame, enzyme: Enzyme | None, options: M.Options = M.Options(), choose: bool = True) -> DataFrame:
     """FRAGMENT rows of each read, from its chains and the pieces of the reference around them; without a choice a row for each chain
-    that extends to an alignment."""
-    parts = pieces(genome)
+    that extends to an alignment. Chains are written once; reads stream by in order, each with its chains and pieces."""
+    chains, parts = written(chains, "chains"), pieces(genome)
     reach = F.col("qsize") + options.pad + options.tail
     wide = chains.join(reads.select("qid", F.length("seq").alias("qsize")), "qid")
     asked = wide.select("qid", "sid", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("sbeg") - reach) / PIECE)).cast("int"), F.floor((F.col("send") + reach) / PIECE).cast("int"))).alias("piece")).distinct()
@@ -72,32 +76,33 @@ def alignments(chains: DataFrame, reads: DataFrame, genome: DataFrame, enzyme: E
         .unionByName(empty(reads.join(chains.select("qid").distinct(), "qid", "left_semi").select("qid", F.lit(0).alias("kind"), "seq"), names))
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        read = next((r["seq"] for r in rows if r["kind"] == 0), None)
-        sizes = {r["sid"]: r["ssize"] for r in rows if r["kind"] == 2}
-        ref = M.Reference([(r["sid"], r["start"], r["seq"]) for r in rows if r["kind"] == 2], sizes)
-        hits = [(r["sid"], r["strand"], (r["qbeg"], r["qend"], r["sbeg"], r["send"], r["seeds"])) for r in rows if r["kind"] == 1]
-        strands = (read, M.reverse(read or ""))
-        if read is not None and not choose:
-            chain, found, kind = [x for sid, d, hit in hits if (x := M.extend(hit, strands[d], ref, d, sid, options))], [], "hit"
+    def aligned(table: pa.Table) -> list[tuple]:
+        lo, hi = np.searchsorted(table.column("kind").to_numpy(), (1, 2)).tolist()
+        read = table.column("seq")[0].as_py() if lo else None
+        if read is None:
+            return []
+        own = table.slice(lo, hi - lo).select(["sid", "strand", "qbeg", "qend", "sbeg", "send", "seeds"]).to_pydict()
+        hits = [(sid, strand, tuple(hit)) for sid, strand, *hit in zip(*own.values(), strict=True)]
+        near = table.slice(hi).select(["sid", "start", "seq", "ssize"]).to_pydict()
+        sizes = dict(zip(near["sid"], near["ssize"], strict=True))
+        ref = M.Reference(list(zip(near["sid"], near["start"], near["seq"], strict=True)), sizes)
+        strands = (read, M.reverse(read))
+        if choose:
+            chain, found, kind = M.map_read(read, hits, ref, enzyme, options)
         else:
-            chain, found, kind = M.map_read(read, hits, ref, enzyme, options) if read is not None else ([], [], "")
-        out = []
+            chain, found, kind = [x for sid, d, hit in hits if (x := M.extend(hit, strands[d], ref, d, sid, options))], [], "hit"
+        qid, out = table.column("qid")[0].as_py(), []
         for i, x in enumerate(sorted(chain, key=lambda x: x.span)):
             y = found[x.other] if 0 <= x.other < len(found) else None
             sa = f"{'+-'[y.qdir]}:{y.span[0]}:{y.span[1]}:{y.sid}:{y.soff}:{y.send}:{y.pi:.4f}" if y else None
             same = int((np.frombuffer(x.a.encode(), np.uint8) == np.frombuffer(x.b.encode(), np.uint8)).sum())
             out.append(
-                (table.column("qid")[0].as_py(), i, x.qdir, x.qsize, *x.span, x.sid, sizes.get(x.sid, 0), x.soff, x.send, *x.eq, *x.es, same, len(x.a), round(x.pi, 6), x.mapq, kind, sa, x.a, x.b,
+                (qid, i, x.qdir, x.qsize, *x.span, x.sid, sizes.get(x.sid, 0), x.soff, x.send, *x.eq, *x.es, same, len(x.a), round(x.pi, 6), x.mapq, kind, sa, x.a, x.b,
                  cigar(x.a, x.b, x.qoff, x.qsize - x.qend), cigar(x.a, x.b), strands[x.qdir][x.qoff : x.qend])
             )
-        fields = [f.split() for f in FRAGMENT.split(",")]
-        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-        columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
-        return pa.table({n: pa.array(c, kinds[t]) for (n, t), c in zip(fields, columns, strict=True)})
+        return out
 
-    return rows.groupBy("qid").applyInArrow(run, FRAGMENT)
+    return streamed(rows, "qid", ["kind", "sid", "strand", "qbeg", "sbeg", "start"], aligned, FRAGMENT)
 
 
 def map_reads(reads: DataFrame, genome: DataFrame, enzyme: Enzyme | None = None, k: int = 15, stride: int = 4, fraction: float = 1e-4, least: int = 100, options: M.Options = M.Options()) -> DataFrame:
@@ -131,10 +136,7 @@ def infer_enzyme(reads: DataFrame, genome: DataFrame, catalogue: dict[str, str]
     wide = within + 8
     around = lambda seq, at: F.substring(seq, F.greatest(F.lit(1), at - wide + 1).cast("int"), (F.least(at, F.lit(wide)) + wide).cast("int"))
     # pieces that overlap by a window on either side hold the bases around any place whole
-    n = F.length("seq")
-    rows = genome.where(n > 0).withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int"))))
-    start = F.greatest(F.lit(0), F.col("piece") * PIECE - wide)
-    parts = rows.select(F.col("sid").alias("subject_id"), "piece", start.cast("long").alias("start"), F.substring("seq", (start + 1).cast("int"), F.lit(PIECE + 2 * wide)).alias("part"))
+    parts = parts_of(genome, PIECE, wide, wide).select(F.col("sid").alias("subject_id"), "piece", "start", "part")
     for end in ("soff", "send"):
         hits = hits.withColumn("piece", F.floor(F.least(F.col(end), F.col("ssize") - 1) / PIECE).cast("int")).join(parts, ["subject_id", "piece"])
         hits = hits.withColumn(f"at_{end}", around(F.col("part"), F.col(end) - F.col("start"))).drop("piece", "start", "part")

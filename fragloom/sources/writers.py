@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.pieces import pieces
+
 FORMATS = ("sam", "frag-sam", "bam", "frag-bam", "paf")
 DEFAULT_FORMAT = "paf"
 VERSION = "0.1"
@@ -200,8 +202,13 @@ def bed_lines(regions: DataFrame, names: DataFrame, seqs: DataFrame | None = Non
     rows = regions.join(names, "chr")
     columns = ["name", F.col("start").cast("string"), F.col("stop").cast("string")]
     if seqs is not None:
-        rows = rows.join(seqs, "chr")
-        columns.append(F.when(F.col("stop") - F.col("start") < shown, F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))))
+        size = 1 << 16
+        parts = pieces(seqs, size, after=shown, key="chr").select("chr", "piece", F.col("start").alias("_from"), "part")
+        short = F.col("stop") - F.col("start") < shown
+        rows = rows.join(seqs.select("chr"), "chr", "left_semi").withColumn("piece", F.when(short, F.floor(F.col("start") / size).cast("int")))
+        rows = rows.join(parts, ["chr", "piece"], "left")
+        bases = F.substring("part", (F.col("start") - F.col("_from") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+        columns.append(F.when(short, F.coalesce(bases, F.lit(""))))
     return rows.select(F.concat_ws("\t", *columns).alias("value"))
 
 

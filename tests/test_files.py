@@ -269,3 +269,13 @@ def test_ranks_of_snps(spark):
     ranked = variants.with_rank(snps)
     at = next(c for c in ranked.columns if c not in snps.columns)
     assert [r[at] - ranked.agg(F.min(at)).first()[0] for r in ranked.where("sid = 1").orderBy("soff").collect()] == [0, 1]
+
+
+def test_bases_of_short_regions(spark):
+    text = "".join("ACGT"[i * i % 7 % 4] for i in range(70_000))
+    regions = [(1, 65_530, 65_545), (1, 0, 3), (1, 10, 40_000), (1, 69_998, 70_003), (1, 70_010, 70_012), (2, 0, 5), (3, 0, 5)]
+    rows, names = spark.createDataFrame(regions, "chr long, start long, stop long"), spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "chr long, name string")
+    seqs = spark.createDataFrame([(1, text), (2, "")], "chr long, seq string")
+    got = sorted(r.value for r in writers.bed_lines(rows, names, seqs).collect())
+    shown = lambda c, a, b: "\t".join(["ab"[c - 1], str(a), str(b), *([text[a:b] if c == 1 else ""] if b - a < 500 else [])])
+    assert got == sorted(shown(*x) for x in regions if x[0] < 3)

@@ -1,10 +1,12 @@
 """Hand-made cases of the operators."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fragloom.operators import enzymes, haplotypes, intervals, kmers, mapping, masking, pairs, scans, select, stats, variants
+from fragloom.operators import enzymes, haplotypes, intervals, kmers, mapping, masking, pairs, pieces, scans, select, stats, variants
 
 
 def rows(df, *columns):
@@ -272,3 +274,47 @@ def test_budget_within_a_narrowed_range(spark):
     assert select.take_budget(df, ["i"], "n", 10**9).count() == 5_000
     same = df.selectExpr("1 i", "i j", "n")
     assert select.take_budget(same, ["i", "j"], "n", 100, most=10).count() == select.take_budget(df, ["i"], "n", 100).count()
+
+
+def test_pieces_of_sequences(spark):
+    r = random.Random(5)
+    seqs = [(1, "".join(r.choice("ACGT") for _ in range(1234))), (2, "ACG"), (3, ""), (4, None), (5, "A" * 100)]
+    got = {(x.sid, x.piece): (x.start, x.part, x.length) for x in pieces.pieces(spark.createDataFrame(seqs, "sid long, seq string"), 100, 7, 11).collect()}
+    expected = {(i, n): (max(0, n * 100 - 7), s[max(0, n * 100 - 7) : n * 100 + 111], len(s)) for i, s in seqs if s for n in range(-(-len(s) // 100))}
+    assert got == expected and len(got) == 15
+
+
+@pytest.mark.parametrize("stride", [1, 4, 130])
+def test_intervals_over_pieces(spark, monkeypatch, stride):
+    r = random.Random(6)
+    monkeypatch.setattr(kmers, "PIECE", 64)  # so that intervals lie across pieces
+    seqs = {1: "".join(r.choice("ACGT") for _ in range(900)), 2: "ACGTACGTA"}
+    regions = [(1, 0, 900), (1, 63, 64), (1, 50, 70), (1, 60, 260), (1, 128, 192), (1, 895, 2000), (1, 880, 2000), (1, 70, 70), (1, 90, 80), (2, 0, 9), (2, 3, 9), (3, 0, 50), (None, 0, 50), (1, None, 50)]
+    df = spark.createDataFrame(list(seqs.items()), "sid long, seq string")
+    got = kmers.extract_intervals(df, spark.createDataFrame(regions, "chr long, start long, stop long"), 8, stride).collect()
+    expected = []
+    for c, lo, hi in regions:
+        text = seqs.get(c, "")
+        if lo is not None:
+            expected += [(c, int(kmers.hashes(text[i : i + 8].encode(), 8)[0]), i) for i in range(lo, min(hi, len(text)) - 7, stride)]
+    assert sorted((x.sid, x.hash, x.soff) for x in got) == sorted(expected) and expected
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_streamed_keys(spark, batch):
+    r = random.Random(7)
+    rows = [(k, i, r.choice("abc") * r.randint(0, 5)) for k in range(40) for i in range(r.choice([1, 2, 9, 30]))] + [(None, 1, "x")]
+    r.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        each = lambda t: [(t.column("k")[0].as_py(), t.num_rows, "".join(t.column("s").to_pylist()))] * 7
+        df = spark.createDataFrame(rows, "k long, i int, s string")
+        got = scans.streamed(df, "k", ["i"], each, "k long, n int, s string").collect()
+        assert scans.streamed(df.limit(0), "k", ["i"], each, "k long, n int, s string").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    by = {}
+    for k, _, s in sorted(x for x in rows if x[0] is not None):
+        by.setdefault(k, []).append(s)
+    assert sorted(map(tuple, got)) == sorted((k, len(s), "".join(s)) for k, s in by.items() for _ in range(7))
