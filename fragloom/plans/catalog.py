@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align, waves
 from ..operators import enzymes, haplotypes, intervals, kmers, masking, pairs, select, sets, stats, variants
+from ..operators.pieces import bases
 from ..sources import readers, regions, writers
 from ..sources.scratch import folder, written
 from . import adapters as A
@@ -739,11 +740,10 @@ def local_alignment(spark, d):
     """For each read, strand and sequence that share seeds, the best alignment through the first of them."""
     first = _seeds(spark, d).groupBy("qid", "strand", "sid").agg(F.min(F.struct("qoff", "soff")).alias("at")).select("qid", "strand", "sid", "at.qoff", "at.soff")
     strands = kmers.both_strands(A.reads(spark, d)).withColumnRenamed("seq", "q")
-    rows = first.join(strands, ["qid", "strand"]).join(A.genome(spark, d), "sid")
     reach = F.length("q") * 2
-    start = F.greatest(F.lit(0), F.col("soff") - reach)
-    around = F.substring("seq", (start + 1).cast("int"), (F.col("soff") + reach - start).cast("int"))
-    rows = rows.select("qid", "strand", "sid", start.alias("start"), "q", around.alias("s"), F.col("qoff").alias("q0"), (F.col("soff") - start).alias("s0"))
+    places = first.join(strands, ["qid", "strand"]).select("qid", "strand", "sid", "qoff", "soff", F.greatest(F.lit(0), F.col("soff") - reach).alias("start"), (F.col("soff") + reach).alias("stop"))
+    rows = bases(places, A.genome(spark, d), "start", "stop", "s").join(strands, ["qid", "strand"])
+    rows = rows.select("qid", "strand", "sid", "start", "q", "s", F.col("qoff").alias("q0"), (F.col("soff") - F.col("start")).alias("s0"))
     found = waves.local_alignments(rows, "qid", "strand", "sid", "start")
     return found.select("qid", "strand", "sid", "qoff", "qend", (F.col("start") + F.col("soff")).alias("soff"), (F.col("start") + F.col("send")).alias("send"), "errors")
 

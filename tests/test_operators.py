@@ -318,3 +318,12 @@ def test_streamed_keys(spark, batch):
     for k, _, s in sorted(x for x in rows if x[0] is not None):
         by.setdefault(k, []).append(s)
     assert sorted(map(tuple, got)) == sorted((k, len(s), "".join(s)) for k, s in by.items() for _ in range(7))
+
+
+def test_bases_of_places(spark):
+    r = random.Random(8)
+    seqs = {1: "".join(r.choice("ACGT") for _ in range(1000)), 2: "ACGT", 3: ""}
+    places = [(1, 0, 1000), (1, 63, 65), (1, 64, 128), (1, 100, 900), (1, 990, 1200), (1, 1500, 1600), (2, 1, 3), (2, 2, 2), (3, 0, 4), (4, 0, 4), (1, 5, 2)]
+    df = spark.createDataFrame([*places, (1, 63, 65)], "sid long, a long, b long")
+    got = sorted(map(tuple, pieces.bases(df, spark.createDataFrame(list(seqs.items()), "sid long, seq string"), "a", "b", "s", 64).collect()), key=repr)
+    assert got == sorted(((i, a, b, seqs.get(i, "")[a:b] or None) for i, a, b in places), key=repr)
