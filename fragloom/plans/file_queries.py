@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import align
 from ..operators import variants
 from ..sources import readers, writers
-from ..sources.scratch import folder
+from ..sources.scratch import folder, written
 from . import adapters as A
 from . import catalog
 from .catalog import query
@@ -67,10 +67,11 @@ def batched_scan(spark, d):
 
 @query(A.GENOME, sql="select 'fasta' format, count(distinct 1) files from genome union all select 'fastq', count(distinct 1) from genome union all select 'unknown', count(distinct 1) from genome")
 def sniffed_formats(spark, d):
-    seqs = _sequences(spark, d)
+    """All sequences as three compressed files (Spark's, of as many parts as tasks write); each part is looked at, and a file counts once a format."""
+    seqs = written(_sequences(spark, d).where(F.length("seq") > 0), "sequences")
     kinds = (F.concat(F.lit("\n! none\n>"), "name", F.lit("\n"), "seq"), F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "seq"), F.col("seq"))
-    paths = [_stored(seqs.where(F.length("seq") > 0).select(k.alias("value")).coalesce(1), "kind") for k in kinds]
-    return readers.sniff_files(spark, paths).groupBy("format").agg(F.count("*").alias("files"))
+    paths = [_stored(seqs.select(k.alias("value")), "kind", compression="gzip") for k in kinds]
+    return readers.sniff_files(spark, paths).groupBy("format").agg(F.countDistinct(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)).alias("files"))
 
 
 @query(A.GENOME, NAMED, sql="select \"name\", cast(length(seq) as integer) length, cast(coalesce(sum(length(\"name\") + 2 + length(seq) + cast(ceil(length(seq) / 60) as bigint)) over (order by \"name\" rows between unbounded preceding and 1 preceding), 0) + length(\"name\") + 2 as bigint) \"offset\" from named")

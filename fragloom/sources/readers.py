@@ -27,10 +27,17 @@ def sniff(first: Column) -> Column:
 
 
 def sniff_files(spark: SparkSession, paths) -> DataFrame:
-    """(path, format) of text files, by the first line that is neither blank nor a comment."""
+    """(path, format) of text files, by the first line that is neither blank nor a comment.
+
+    Of each split a number alone is kept, of the line's place and format in one, so lines are neither sorted nor shuffled.
+    """
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    first = lines.where((F.trim("value") != "") & ~F.substring("value", 1, 1).isin(*COMMENTS)).groupBy("path").agg(F.min_by("value", F.struct("block", "at")).alias("value"))
-    return lines.select("path").distinct().join(first, "path", "left").select("path", sniff(F.col("value")).alias("format"))
+    kinds = ("fasta", "fastq", "unknown")
+    kind = F.coalesce(*(F.when(sniff(F.col("value")) == k, i) for i, k in enumerate(kinds))).cast("long")
+    counts = (F.trim("value") != "") & ~F.substring("value", 1, 1).isin(*COMMENTS)
+    splits = lines.groupBy("path", "block").agg(F.min(F.when(counts, F.shiftleft("at", 2).bitwiseOR(kind))).alias("first"))
+    first = splits.groupBy("path").agg(F.min_by("first", F.when(F.col("first").isNotNull(), F.col("block"))).alias("first"))
+    return first.select("path", F.coalesce(*(F.when(F.col("first").bitwiseAND(F.lit(3)) == i, k) for i, k in enumerate(kinds)), F.lit("empty")).alias("format"))
 
 
 def read_fasta(spark: SparkSession, paths) -> DataFrame:

@@ -279,3 +279,33 @@ def test_bases_of_short_regions(spark):
     got = sorted(r.value for r in writers.bed_lines(rows, names, seqs).collect())
     shown = lambda c, a, b: "\t".join(["ab"[c - 1], str(a), str(b), *([text[a:b] if c == 1 else ""] if b - a < 500 else [])])
     assert got == sorted(shown(*x) for x in regions if x[0] < 3)
+
+
+def test_formats_are_told_by_each_parts_first_line(spark, tmp_path, monkeypatch):
+    """Files of several splits and parts, comments longer than a split, and files without a line that counts."""
+    (tmp_path / "a.txt").write_text("! none\n" * 3000 + "\n  \n@r\nAC\n+\nII\n" + ">x\n" * 2000)
+    (tmp_path / "b.txt").write_text("; only\n\n")
+    (tmp_path / "c.txt").write_text("ACGT\n>x\n")
+    (tmp_path / "d.txt").write_text("  >x\nACGT\n" * 2000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+    try:
+        found = readers.sniff_files(spark, str(tmp_path))
+        got = {r.path.rsplit("/", 1)[1]: r.format for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {"a.txt": "fastq", "b.txt": "empty", "c.txt": "unknown", "d.txt": "fasta"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1  # lines are read once
+
+
+def test_formats_query_writes_in_parallel(spark, tmp_path, monkeypatch):
+    from fragloom.plans import catalog, file_queries
+
+    spark.createDataFrame([(i, "some words of a text " * 3) for i in range(40)], "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    parts, stored = [], file_queries._stored
+    monkeypatch.setattr(file_queries, "_stored", lambda lines, *a, **b: (parts.append(lines.rdd.getNumPartitions()), stored(lines, *a, **b))[1])
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        got = {r.format: r.files for r in catalog.QUERIES["sniffed_formats"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {"fasta": 1, "fastq": 1, "unknown": 1} and min(parts) > 1
