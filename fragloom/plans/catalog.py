@@ -661,7 +661,7 @@ def _named(spark, d):
         F.col("frag_size").alias("matches"), F.col("frag_size").alias("length"), "mapq", at.alias("enzyme_qoff"), (at + F.col("frag_size")).alias("enzyme_qend"), F.col("subject_offset").alias("enzyme_soff"),
         (F.col("subject_offset") + F.col("frag_size")).alias("enzyme_send"), F.format_string("%.4f", "identity").alias("pi"), F.lit(None).cast("string").alias("sa"),
         F.concat(F.col("frag_size").cast("string"), F.lit("M")).alias("frag_cigar"), F.lit("*").alias("frag_seq"), F.lit(None).cast("string").alias("frag_qual"),
-        F.concat(F.col("frag_size").cast("string"), F.lit("M")).alias("cigar"), F.lit("*").alias("seq"), F.lit(None).cast("string").alias("qual"),
+        F.concat(F.col("frag_size").cast("string"), F.lit("M")).alias("cigar"), F.lit("*").alias("seq"), F.lit(None).cast("string").alias("qual"), "hp",
     )
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from binascii import hexlify
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -231,6 +233,24 @@ def read_sam(spark: SparkSession, paths, tags: dict[str, str] | None = None) ->
 
 _BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 _SIZES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+#: Hexadecimal digits as letters, and values of qualities as characters.
+_LETTERS = bytearray(256)
+for _i, _c in enumerate(_BASES):
+    _LETTERS[ord(f"{_i:x}")] = ord(_c)
+_CHARACTERS = bytes((i + 33) % 256 for i in range(256))
+_FIXED, _INT = struct.Struct("<iiBBHHHiiii"), struct.Struct("<i")
+
+
+@lru_cache(4096)
+def _cigar(ops: bytes) -> str:
+    return "".join(f"{o >> 4}{_OPS[o & 15]}" for o in struct.unpack(f"<{len(ops) // 4}I", ops)) or "*"
+
+
+@lru_cache(4096)
+def _tag_kind(head: bytes) -> tuple[str, str, struct.Struct | None]:
+    """Name and kind of a tag, and how its value is packed, if it is a number."""
+    kind = chr(head[2])
+    return head[:2].decode(), kind, struct.Struct("<" + _SIZES[kind]) if kind in _SIZES else None
 
 
 def bam_header(raw: bytes) -> tuple[list[str], int] | None:
@@ -253,22 +273,24 @@ def bam_header(raw: bytes) -> tuple[list[str], int] | None:
 
 def bam_record(raw: bytes, at: int, end: int) -> tuple:
     """The record in raw[at:end], after its size: tid, ntid, SAM's fields (names of references left out) and tags."""
-    tid, pos, l_name, mapq, _, n_op, flag, l_seq, ntid, npos, tlen = struct.unpack_from("<iiBBHHHiiii", raw, at)
+    tid, pos, l_name, mapq, _, n_op, flag, l_seq, ntid, npos, tlen = _FIXED.unpack_from(raw, at)
     at += 32
     name = raw[at : at + l_name - 1].decode()
     at += l_name
-    ops = struct.unpack_from(f"<{n_op}I", raw, at)
+    cigar = _cigar(raw[at : at + 4 * n_op])
     at += 4 * n_op
-    packed = np.frombuffer(raw, np.uint8, (l_seq + 1) // 2, at)
-    codes = np.stack([packed >> 4, packed & 15], 1).ravel()[:l_seq]
+    seq = hexlify(raw[at : at + (l_seq + 1) // 2]).translate(_LETTERS)[:l_seq].decode() or "*"
     at += (l_seq + 1) // 2
     qual = raw[at : at + l_seq]
     at += l_seq
     tags = []
     while at < end:
-        tag, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
+        tag, kind, number = _tag_kind(raw[at : at + 3])
         at += 3
-        if kind in "ZH":
+        if number:
+            tags.append((tag, str(number.unpack_from(raw, at)[0])))
+            at += number.size
+        elif kind in "ZH":
             to = raw.index(0, at)
             tags.append((tag, raw[at:to].decode()))
             at = to + 1
@@ -276,16 +298,12 @@ def bam_record(raw: bytes, at: int, end: int) -> tuple:
             tags.append((tag, chr(raw[at])))
             at += 1
         elif kind == "B":
-            f = "<" + str(struct.unpack_from("<i", raw, at + 1)[0]) + _SIZES[chr(raw[at])]
+            f = "<" + str(_INT.unpack_from(raw, at + 1)[0]) + _SIZES[chr(raw[at])]
             tags.append((tag, ",".join(map(str, struct.unpack_from(f, raw, at + 5)))))
             at += 5 + struct.calcsize(f)
         else:
-            (v,) = struct.unpack_from("<" + _SIZES[kind], raw, at)
-            tags.append((tag, str(v)))
-            at += struct.calcsize(_SIZES[kind])
-    cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
-    seq = "".join(_BASES[c] for c in codes.tolist()) or "*"
-    return tid, ntid, name, flag, pos + 1, mapq, cigar, npos + 1, tlen, seq, "*" if not qual or qual[0] == 255 else bytes(q + 33 for q in qual).decode(), tags
+            raise ValueError(f"{name}: a tag of kind {kind}")
+    return tid, ntid, name, flag, pos + 1, mapq, cigar, npos + 1, tlen, seq, "*" if not qual or qual[0] == 255 else qual.translate(_CHARACTERS).decode(), tags
 
 
 def plausible(raw: bytes, at: int) -> int | None:
@@ -443,10 +461,14 @@ def read_bam(spark: SparkSession, paths, with_path: bool = False) -> DataFrame:
 
     crossing = edges.groupBy("path", "of").applyInArrow(lambda t: cross(t), _KIND)
     records = table.where("kind = 'record'").unionByName(crossing)
-    names = table.where("kind = 'reference'").select("path", F.col("tid").alias("i"), F.col("qname").alias("name"))  # a row a reference of each file
-    records = records.join(names.withColumnsRenamed({"i": "tid", "name": "rname"}), ["path", "tid"], "left").join(names.withColumnsRenamed({"i": "ntid", "name": "other"}), ["path", "ntid"], "left")
-    same = F.when(F.col("ntid") < 0, "*").when(F.col("ntid") == F.col("tid"), "=").otherwise(F.col("other"))
-    return records.withColumns({"rname": F.coalesce("rname", F.lit("*")), "rnext": same}).select(*(f.split()[0] for f in _SAM.split(", ")), "tags", *(["path"] if with_path else []))
+    own = F.array_sort(F.collect_list(F.struct("tid", "qname")))
+    heads = table.where("kind = 'reference'").groupBy("path").agg(F.transform(own, lambda x: x["qname"]).alias("names"))
+    heads = heads.withColumn("head", F.sha2(F.to_json("names"), 256))
+    # a row a file, and one a header (files of one writer have the same): records stay where they are
+    records = records.join(F.broadcast(heads.select("path", "head")), "path", "left").join(F.broadcast(heads.groupBy("head").agg(F.first("names").alias("names"))), "head", "left")
+    name = lambda c: F.when(F.col(c) >= 0, F.get("names", F.col(c)))
+    same = F.when(F.col("ntid") < 0, "*").when(F.col("ntid") == F.col("tid"), "=").otherwise(name("ntid"))
+    return records.withColumns({"rname": F.coalesce(name("tid"), F.lit("*")), "rnext": same}).select(*(f.split()[0] for f in _SAM.split(", ")), "tags", *(["path"] if with_path else []))
 
 
 def fraghap_of_records(records: DataFrame) -> DataFrame:

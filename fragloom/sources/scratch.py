@@ -25,9 +25,9 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet files in that folder, read again."""
+    """df as Parquet files in that folder, read again; compressed well, since scratch tables count against the disk."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

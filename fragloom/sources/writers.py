@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from binascii import unhexlify
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -116,22 +118,52 @@ def _bin(start: int, stop: int) -> int:
     return 0
 
 
+#: Letters as the hexadecimal digits of their codes, and characters of qualities as their values.
+_DIGITS = bytearray(b"f" * 256)
+for _c, _i in _LETTERS.items():
+    _DIGITS[ord(_c)] = _DIGITS[ord(_c.lower())] = ord(f"{_i:x}")
+_VALUES = bytes((i - 33) % 256 for i in range(256))
+_FIXED, _INT, _FLOAT = struct.Struct("<iiBBHHHiiii"), struct.Struct("<i"), struct.Struct("<f")
+
+
+@lru_cache(4096)
+def _cigar_codes(value: str) -> tuple[int, bytes, int]:
+    """How many operations a CIGAR has, their codes, and the reference bases that they cover (one at least)."""
+    runs = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", value)]
+    return len(runs), struct.pack(f"<{len(runs)}I", *(n << 4 | _OPS.index(op) for n, op in runs)), sum(n for n, op in runs if op in "MDN=X") or 1
+
+
+@lru_cache(4096)
+def _tag_head(head: str) -> tuple[bytes, str]:
+    """What a tag begins with, of texts like NM:i:, and its kind."""
+    key, kind, _ = head.split(":")
+    return key.encode() + (kind if kind in "if" else "Z").encode(), kind
+
+
 def bam_record(line: str, ids: dict[str, int]) -> bytes:
     """A SAM line as a BAM record; ids: numbers of the reference sequences."""
     name, flag, rname, pos, mapq, cigar_, rnext, pnext, tlen, seq, qual, *tags = line.split("\t")
-    runs = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar_)]
+    n_op, runs, reach = _cigar_codes(cigar_)
     tid, at = ids.get(rname, -1), int(pos) - 1
     size, seq = (0, "") if seq == "*" else (len(seq), seq)
-    codes = [_LETTERS.get(c, 15) for c in seq.upper()] + [0] * (size & 1)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
-    quality = b"\xff" * size if qual == "*" else bytes(ord(c) - 33 for c in qual)
-    reach = sum(n for n, op in runs if op in "MDN=X") or 1
-    body = struct.pack("<iiBBHHHiiii", tid, at, len(name) + 1, int(mapq), _bin(max(at, 0), max(at, 0) + reach), len(runs), int(flag), size, tid if rnext == "=" else ids.get(rnext, -1), int(pnext) - 1, int(tlen))
-    body += name.encode() + b"\0" + struct.pack(f"<{len(runs)}I", *(n << 4 | _OPS.index(op) for n, op in runs)) + packed + quality
+    digits = seq.encode("latin-1", "replace").translate(_DIGITS) + b"0" * (size & 1)
+    if qual == "*":
+        quality = b"\xff" * size
+    elif qual and min(qual) < "!":
+        raise ValueError(f"{name}: a quality below 0")
+    else:
+        quality = qual.encode("latin-1").translate(_VALUES)
+    name = name.encode()
+    parts = [
+        _FIXED.pack(tid, at, len(name) + 1, int(mapq), _bin(max(at, 0), max(at, 0) + reach), n_op, int(flag), size, tid if rnext == "=" else ids.get(rnext, -1), int(pnext) - 1, int(tlen)),
+        name, b"\0", runs, unhexlify(digits), quality,
+    ]
     for tag in tags:
-        key, kind, value = tag.split(":", 2)
-        body += key.encode() + (b"i" + struct.pack("<i", int(value)) if kind == "i" else b"f" + struct.pack("<f", float(value)) if kind == "f" else b"Z" + value.encode() + b"\0")
-    return struct.pack("<i", len(body)) + body
+        head, kind = _tag_head(tag[:5])
+        value = tag[5:]
+        parts += head, _INT.pack(int(value)) if kind == "i" else _FLOAT.pack(float(value)) if kind == "f" else value.encode() + b"\0"
+    body = b"".join(parts)
+    return _INT.pack(len(body)) + body
 
 
 def bam_head(names: list[tuple[str, int]]) -> bytes:
@@ -145,12 +177,12 @@ def bam_head(names: list[tuple[str, int]]) -> bytes:
 def bam_blocks(lines: Iterator[str], names: list[tuple[str, int]]) -> Iterator[bytes]:
     """The blocks of a BAM file of SAM lines, the empty one at the end included; a record may go on in the next block."""
     ids = {n: i for i, (n, _) in enumerate(names)}
-    held = bam_head(names)
+    held = bytearray(bam_head(names))
     for line in lines:
         held += bam_record(line, ids)
         while len(held) >= BLOCK:
             yield bgzf(held[:BLOCK])
-            held = held[BLOCK:]
+            del held[:BLOCK]
     if held:
         yield bgzf(held)
     yield bgzf(b"")

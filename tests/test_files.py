@@ -309,3 +309,20 @@ def test_formats_query_writes_in_parallel(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == {"fasta": 1, "fastq": 1, "unknown": 1} and min(parts) > 1
+
+
+def test_records_meet_their_names_without_a_shuffle(spark, tmp_path):
+    """References are looked up by a broadcast list a header; letters of either case, other letters, odd lengths and all kinds of tags."""
+    names = [("chr0", 1000), ("chr1", 2000)]
+    seqs = ("ACGTN", "acgtnrz", "A" * 500, "*")
+    lines = ["\t".join([f"q{i}", "0", f"chr{i % 2}", str(i + 1), "9", f"{len(s)}M" if s != "*" else "*", "=" if i % 3 else "chr0", "5", "0", s, "*" if i % 2 else "I" * len(s) if s != "*" else "*", f"ab:i:{-i}", "cd:f:1.5", "ef:Z:x:y"]) for i, s in enumerate(seqs * 3)]
+    writers.write_bam(spark.createDataFrame([(x,) for x in lines], "value string").repartition(3), str(tmp_path / "b"), names)
+    read = readers.read_bam(spark, str(tmp_path / "b"))
+    got = {r.qname: r for r in read.collect()}
+    for i, s in enumerate(seqs * 3):
+        r = got[f"q{i}"]
+        letters = "".join(c if c in "ACGTNR" else "N" for c in s.upper()) if s != "*" else "*"
+        assert (r.rname, r.rnext, r.seq, r.qual) == (f"chr{i % 2}", "=" if i % 3 or i % 2 == 0 else "chr0", letters, "*" if i % 2 or s == "*" else "I" * len(s))
+        assert r.tags == {"ab": str(-i), "cd": "1.5", "ef": "x:y"}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
