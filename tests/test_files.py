@@ -326,3 +326,18 @@ def test_records_meet_their_names_without_a_shuffle(spark, tmp_path):
         assert r.tags == {"ab": str(-i), "cd": "1.5", "ef": "x:y"}
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_tagged_lists_may_be_compressed(spark, tmp_path):
+    from fragloom.plans import catalog, tagging
+
+    spark.range(30).selectExpr("id div 3 l_orderkey", "id l_partkey", "id l_suppkey", "cast(id % 3 as int) l_linenumber", "cast(id + 1 as double) l_quantity", "1.0D l_extendedprice", "0.01D l_discount", "0.0D l_tax", "'A' l_returnflag", "'O' l_linestatus", "timestamp'2020-01-01' l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    paths, write = [], tagging.write_tagged
+    tagging.write_tagged = lambda *a, **b: (paths.append(a[3]), write(*a, **b))[1]
+    try:
+        rows = catalog.QUERIES["tagged_files"](spark, str(tmp_path)).collect()
+    finally:
+        tagging.write_tagged = write
+    files = spark._jvm.java.io.File(paths[0].removeprefix("file:") + "/" + tagging.IMPUTED).list()
+    assert [f for f in files if f.startswith("part")] and all(f.endswith(".txt.gz") for f in files if f.startswith("part"))
+    assert len(rows) == 30 and all(r.imputed == r.record == 1 and r.tagged == 0 for r in rows)
